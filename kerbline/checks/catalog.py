@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from kerbline.checks import settlement  # noqa: F401
+from kerbline.checks import occupancy, settlement  # noqa: F401
 from kerbline.checks.registry import ORACLES, QUERIES, runnable  # noqa: F401

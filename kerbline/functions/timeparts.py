@@ -46,12 +46,12 @@ def to_stamp(text: Column) -> Column:
 
 def minute_index(ts: Column) -> Column:
     """Whole minutes since the epoch, rounded down."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
+    return F.floor(F.unix_micros(ts.cast("timestamp_ltz")) / F.lit(60_000_000)).cast("bigint")
 
 
 def minute_index_up(ts: Column) -> Column:
     """Whole minutes since the epoch, rounded up."""
-    return F.ceil(F.unix_micros(ts.cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
+    return F.ceil(F.unix_micros(ts.cast("timestamp_ltz")) / F.lit(60_000_000)).cast("bigint")
 
 
 def minute_stamp(index: Column) -> Column:
@@ -74,7 +74,7 @@ def datediff_minute(start: Column, end: Column) -> Column:
 
 def datediff_second(start: Column, end: Column) -> Column:
     """Second boundaries crossed."""
-    return F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
+    return F.unix_seconds(end.cast("timestamp_ltz")) - F.unix_seconds(start.cast("timestamp_ltz"))
 
 
 def datediff_day(start: Column, end: Column) -> Column:
