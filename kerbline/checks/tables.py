@@ -125,6 +125,24 @@ view("work_orders", """
          on l_orderkey = o_orderkey""")
 
 
+view("shifts", """
+    select o_orderkey shift_id, cast(o_orderdate as date) - cast(datediff(day, timestamp '1995-01-01 00:00:00', o_orderdate) % 7 as int) week_start,
+           case cast(datediff(day, timestamp '1995-01-01 00:00:00', o_orderdate) % 7 as int) when 0 then 'Sun' when 1 then 'Mon' when 2 then 'Tue' when 3 then 'Wed'
+                when 4 then 'Thu' when 5 then 'Fri' else 'Sat' end day_of_week,
+           concat('Garage ', cast(o_custkey % 7 as varchar(5))) location, cast(o_custkey % 4 as int) booth,
+           cast(5 + o_orderkey % 13 as double) + 0.5 start_hour, cast(9 + o_orderkey % 13 + o_custkey % 6 as double) end_hour,
+           o_custkey, o_orderstatus
+    from {orders}""")
+view("shift_assignments", """
+    select o_orderkey * 2 assignment_id, o_orderkey shift_id, o_custkey employee_id from {orders} where o_orderstatus <> 'P'""")
+view("employees", """
+    select c_custkey employee_id, c_name first_name, c_mktsegment last_name, c_nationkey job from {customer}""")
+view("time_off", """
+    select o_orderkey request_id, o_custkey employee_id, o_orderdate + 3 * interval '1' day request_date, o_orderdate submit_date,
+           o_custkey + 1 submit_by, case when o_orderkey % 4 = 0 then o_custkey + 2 end updated_by, o_orderkey % 10 = 0 is_cancelled
+    from {orders}""")
+
+
 def names_in(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
@@ -162,7 +180,8 @@ def duckdb_sql(text: str) -> str:
                 needed.append(name)
 
     def plain(sql: str) -> str:
-        return re.sub(r"\{(\w+)\}", lambda m: f"v_{m.group(1)}" if m.group(1) in VIEWS else m.group(1), sql)
+        named = re.sub(r"\{(\w+)\}", lambda m: f"v_{m.group(1)}" if m.group(1) in VIEWS else m.group(1), sql)
+        return named.replace("datediff(day,", "datediff('day',")
 
     collect(text)
     ctes = ", ".join(f"v_{n} as ({plain(VIEWS[n])})" for n in needed)

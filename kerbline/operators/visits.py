@@ -174,8 +174,9 @@ def permit_movements(history: DataFrame, current: DataFrame, holders: DataFrame,
     c = F.col
     lo, hi = _ntz(start), _ntz(end)
     entry, left = c("entry_ts"), c("exit_ts")
-    closed = history.filter((c("ticket") != 0) & (entry != left))
-    present = current.filter((c("ticket") != 0) & (c("state") != 2)).withColumn("exit_ts", F.lit(None).cast(tp.NTZ))
+    own = [n for n in MOVEMENT if n not in holders.columns or n == "media"]
+    closed = history.select(*own).filter((c("ticket") != 0) & (entry != left))
+    present = current.select(*own).filter((c("ticket") != 0) & (c("state") != 2)).withColumn("exit_ts", F.lit(None).cast(tp.NTZ))
     if variant == "v1":
         closed = closed.filter((entry < hi) & (left >= lo))
         present = present.filter(F.to_date(entry).cast(tp.NTZ) < hi)
