@@ -29,7 +29,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", app: str = "kerbline", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "8", app: str = "kerbline", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -38,25 +38,30 @@ def local_session(cores: str = "8", app: str = "kerbline", shuffle_partitions: i
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
-    for key, value in SQL_SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
+_fallback_dirs: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    fallback = tempfile.mkdtemp(prefix="kerbline-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _fallback_dirs:
+        _fallback_dirs[app] = tempfile.mkdtemp(prefix="kerbline-checkpoint-")
+    return _fallback_dirs[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so a lost executor does not replay the whole plan."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
