@@ -33,7 +33,8 @@ view("assign", """
     select s_suppkey * 3 + k assignment_id, s_suppkey device_id, (s_nationkey + k) % 25 location_id,
            timestamp '1995-01-01 00:00:00' + (k * 800) * interval '1' day assign_date,
            case when k < 2 then timestamp '1995-01-01 00:00:00' + (k * 800 + 700) * interval '1' day end end_date
-    from {supplier} cross join (select 0 k union all select 1 union all select 2) ks where s_suppkey % 10 <> 9""")
+    from (select s_suppkey, s_nationkey, 0 k from {supplier} union all select s_suppkey, s_nationkey, 1 from {supplier}
+          union all select s_suppkey, s_nationkey, 2 from {supplier}) x where s_suppkey % 10 <> 9""")
 view("location", """
     select n_nationkey location_id, n_nationkey facility_id,
            case when n_nationkey % 5 = 4 then n_nationkey + 100 end space_id from {nation}""")
@@ -42,7 +43,7 @@ view("space", """
     where n_nationkey % 5 = 4""")
 view("charge", """
     select n_nationkey * 10 + p charge_code_id, 82000 + n_regionkey charge_code, n_nationkey location_id, p program_type_id
-    from {nation} cross join (select 1 p union all select 2) ps where n_nationkey <> 24""")
+    from (select n_nationkey, n_regionkey, 1 p from {nation} union all select n_nationkey, n_regionkey, 2 from {nation}) x where n_nationkey <> 24""")
 view("method", """
     select cast(dense_rank() over (order by b) as int) payment_method_id, b payment_method_brand,
            case when b in ('Visa', 'Mastercard') then 'card' when b = 'Cash' then 'cash' else 'other' end payment_method_type
