@@ -8,35 +8,53 @@ from pyspark.sql import functions as F
 NTZ = "timestamp_ntz"
 FAR_FUTURE = "9999-12-31 00:00:00"
 
-# The time-of-day spellings that report files use, tried in order.
-TIME_FORMATS = ("h:mm:ss a", "h:mm a", "H:mm:ss", "H:mm", "HHmmss", "HHmm")
+# The time-of-day spellings that report files use, tried in order, each with
+# the shape of its text. Only the format whose shape fits is parsed: a failed parse costs
+# far more than a pattern test.
+TIME_FORMATS = (
+    (r"\d{1,2}:\d{2}:\d{2} [AaPp][Mm]", "h:mm:ss a"),
+    (r"\d{1,2}:\d{2} [AaPp][Mm]", "h:mm a"),
+    (r"\d{1,2}:\d{2}:\d{2}", "H:mm:ss"),
+    (r"\d{1,2}:\d{2}", "H:mm"),
+    (r"\d{6}", "HHmmss"),
+    (r"\d{4}", "HHmm"),
+)
 
-# Date spellings tried in order when a text column is coerced to a timestamp.
+# Date spellings of report files, each with the shape of its text.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy h:mm a",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
+    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "yyyy-MM-dd HH:mm:ss"),
+    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}", "yyyy-MM-dd HH:mm"),
+    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "M/d/yyyy H:mm:ss"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]", "M/d/yyyy h:mm:ss a"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]", "M/d/yyyy h:mm a"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}", "M/d/yyyy H:mm"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
 )
 
 # Holidays that fall on the same (month, day) each year.
 FIXED_HOLIDAYS = ((1, 1), (6, 19), (11, 11), (12, 24), (12, 25), (12, 31))
 
 
-def parse_first(text: Column, formats: tuple[str, ...]) -> Column:
-    """First format that parses wins; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast(NTZ)
+def parse_first(text: Column, formats: tuple[tuple[str, str], ...], day: Column | None = None) -> Column:
+    """Timestamp by the format whose shape the text has; NULL when it has none or is no valid time.
+
+    With `day` (yyyy-MM-dd) the text is a time of that day.
+    """
+    out = F.lit(None).cast(NTZ)
+    for shape, form in reversed(formats):
+        if day is None:
+            parsed = F.try_to_timestamp(text, F.lit(form))
+        else:
+            parsed = F.try_to_timestamp(F.concat(day, F.lit(" "), text), F.lit(f"yyyy-MM-dd {form}"))
+        out = F.when(text.rlike(f"^{shape}$"), parsed.cast(NTZ)).otherwise(out)
+    return out
 
 
 def combine_date_time(date: Column, time_text: Column) -> Column:
     """The date part of `date` with the time of day in `time_text`; NULL when the text is unreadable."""
-    stamp = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), F.trim(time_text))
-    return parse_first(stamp, tuple(f"yyyy-MM-dd {f}" for f in TIME_FORMATS))
+    return parse_first(F.trim(time_text), TIME_FORMATS, F.date_format(date, "yyyy-MM-dd"))
 
 
 def to_stamp(text: Column) -> Column:

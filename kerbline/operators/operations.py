@@ -269,17 +269,18 @@ def lookup_directory(dim: DataFrame, sort_by: str, wanted: Column | None = None)
 def shift_overlap(shifts: DataFrame) -> DataFrame:
     """Pairs of shifts of one week and day whose hours overlap, each pair once.
 
-    A shift is laid out over the full hours it touches and meets others hour by
-    hour; a pair counts in the first hour both touch.
+    A shift is laid out over the four-hour slots it touches and meets others
+    slot by slot; a pair counts in the first slot both touch.
     """
     c = F.col
+    slot = 4
     spans = shifts.filter(c("start_hour") < c("end_hour")).withColumn(
-        "_slots", F.sequence(F.floor(c("start_hour")).cast("int"), (F.ceil(c("end_hour")) - 1).cast("int"))
+        "_slots", F.sequence(F.floor(c("start_hour") / slot).cast("int"), (F.ceil(c("end_hour") / slot) - 1).cast("int"))
     )
     laid = spans.select("week_start", "day_of_week", "shift_id", "start_hour", "end_hour", F.explode("_slots").alias("_slot"))
     a = laid.select("week_start", "day_of_week", "_slot", *[c(n).alias(f"a_{n}") for n in ("shift_id", "start_hour", "end_hour")])
     b = laid.select("week_start", "day_of_week", "_slot", *[c(n).alias(f"b_{n}") for n in ("shift_id", "start_hour", "end_hour")])
-    first_common = F.floor(F.greatest("a_start_hour", "b_start_hour"))
+    first_common = F.floor(F.greatest("a_start_hour", "b_start_hour") / slot)
     return a.join(b, ["week_start", "day_of_week", "_slot"]).filter(
         (c("a_shift_id") < c("b_shift_id")) & (c("a_start_hour") < c("b_end_hour")) & (c("b_start_hour") < c("a_end_hour")) & (c("_slot") == first_common)
     ).select("week_start", "day_of_week", c("a_shift_id").alias("first_id"), c("b_shift_id").alias("second_id"))

@@ -35,6 +35,7 @@ def local_session(cores: str = "8", app: str = "kerbline", shuffle_partitions: i
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
