@@ -173,7 +173,9 @@ def occupancy_incremental(summary: DataFrame, old: DataFrame, new: DataFrame, la
     moved = shifts.filter(" or ".join(f"{t} <> 0" for t in CUSTOMER_TYPES))
     touched = moved.select("garage_id", day.alias("_day")).distinct()
     shift_rows = fill_minutes(shifts.withColumn("_day", day).join(touched, ["garage_id", "_day"], "left_semi"))
-    have = summary.filter(c("date") <= _ntz(last_minute)).withColumn("_day", F.floor(_minute(c("date")) / MINUTES_PER_DAY))
+    # Only rows from the first change on are read: a filter that prunes the table's day partitions.
+    since = tp.minute_stamp(first)
+    have = summary.filter((c("date") >= F.date_trunc("day", since).cast(tp.NTZ)) & (c("date") <= _ntz(last_minute))).withColumn("_day", F.floor(_minute(c("date")) / MINUTES_PER_DAY))
     held = have.join(touched, ["garage_id", "_day"], "left_semi")
     plus = shift_rows.filter(c("date") <= _ntz(last_minute)).select("garage_id", "date", *[c(t).alias(f"_{t}") for t in CUSTOMER_TYPES])
     redone = held.join(plus, ["garage_id", "date"], "left").select(
@@ -190,14 +192,14 @@ def occupancy_incremental(summary: DataFrame, old: DataFrame, new: DataFrame, la
 
 
 def apply_increment(summary: DataFrame, increment: DataFrame) -> DataFrame:
-    """O3: the summary with the increment's days replaced, as one DataFrame (replace_range does it on a table)."""
-    c = F.col
-    columns = ["garage_id", "date", *CUSTOMER_TYPES, "total"]
-    days = increment.select("garage_id", F.to_date("date").alias("_d"), "date").groupBy("garage_id", "_d").agg(F.min("date").alias("_from"))
-    kept = summary.withColumn("_d", F.to_date("date")).join(days, ["garage_id", "_d"], "left").filter(
-        c("_from").isNull() | (c("date") < c("_from"))
-    )
-    return kept.select(*columns).unionByName(increment.select(*columns))
+    """O3: the summary with the increment's rows in place of its own, as one DataFrame.
+
+    On a stored summary use replace_range, which rewrites the touched days only.
+    """
+    counts = [*CUSTOMER_TYPES, "total"]
+    versions = [df.select("garage_id", "date", F.struct(*counts).alias("_v"), F.lit(i).alias("_i")) for i, df in enumerate((summary, increment))]
+    newest = versions[0].unionByName(versions[1]).groupBy("garage_id", "date").agg(F.max_by("_v", "_i").alias("_v"))
+    return newest.select("garage_id", "date", "_v.*")
 
 
 def occupancy_delta_carry(base: DataFrame, visits: DataFrame, start, end) -> DataFrame:
