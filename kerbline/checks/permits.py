@@ -45,7 +45,7 @@ def access_policies(t: Tables):
 _LOG = """lg as (select event_id log_id, user_id card_id, ts, case when event_id % 5 = 0 then 104 when event_type = 'signup' then 2 when event_type = 'view' then 999 else 110 end property_type,
       case when event_id % 5 = 0 then concat(lpad(cast(event_id % 27 + 1 as varchar(2)), 2, '0'), '-Jan-2024') when event_type = 'error' then 'True' else 'False' end new_value,
       case when event_type = 'signup' and event_id % 4 = 0 then 'G: LOST CARDS' when event_type = 'signup' then concat('G: group ', cast(cast(floor(value) as int) % 5 as varchar(5)))
-           else concat('G: group ', cast(user_id % 5 as varchar(5))) end group_detail, concat('owner ', cast(user_id % 9 as varchar(5))) customer from {events} where event_id % 3 <> 1)"""
+           else concat('G: group ', cast(user_id % 5 as varchar(5))) end group_detail, concat('owner ', cast(user_id % 9 as varchar(5))) customer from {events})"""
 
 
 def log(t: Tables):
@@ -101,8 +101,7 @@ _GRID_IN = """pp as (select concat('L', cast(o_custkey as varchar(20))) permit,
       case when o_custkey % 17 = 0 then null else case o_custkey % 5 when 0 then 'M-F 6-18' when 1 then 'X 24/7' when 2 then 'M-Su 17-8' when 3 then 'Sa-Su 0-23' else 'M-F 18-6 & Sa-Su 0-23' end end access_policy from {orders}),
     vv as (select concat('L', cast(o_custkey as varchar(20))) permit, l_shipdate + (l_partkey % 1440) * interval '1' minute entry_ts,
       case when l_linenumber % 5 <> 0 then l_shipdate + (l_partkey % 1440 + l_suppkey * 17) * interval '1' minute end exit_ts, min(garage_id) garage_id
-      from (select l_orderkey, l_shipdate, l_partkey, l_linenumber, l_suppkey, cast(l_suppkey % 7 as int) garage_id from {lineitem}) l join {orders} on o_orderkey = l_orderkey
-      where l_linenumber <= 5 group by 1, 2, 3)"""
+      from (select l_orderkey, l_shipdate, l_partkey, l_linenumber, l_suppkey, cast(l_suppkey % 7 as int) garage_id from {lineitem}) l join {orders} on o_orderkey = l_orderkey group by 1, 2, 3)"""
 END = "2001-12-31"
 
 

