@@ -189,6 +189,7 @@ def ips_cash_candidates(staging: DataFrame, file_id: int | None = None) -> DataF
 DEVICE_COLUMN = {"payments_insider_sales_staging": "terminal_id"}
 SETTLEMENT_NAME = {"windcave_staging": "Windcave", "payments_insider_sales_staging": "PI"}
 METER_SETTLEMENT = "IPS"
+CASH_ONLY = ("ips_cash_staging",)
 METER_SOURCES = ("ips_staging", "ips_cc_staging", "ips_mobile_staging", "ips_cash_staging")
 
 
@@ -209,8 +210,13 @@ def resolve(candidates: DataFrame, dims: Dimensions, source: str, *, legacy_orde
     placed = assignment_join(named, dims.assignments, "lookup_ts", how="left")
     charges = dims.charge_codes.select("location_id", c("program_type_id").alias("program_id"), "charge_code_id")
     coded = placed.join(charges, ["location_id", "program_id"], "left")
-    methods = dims.payment_methods.select(c("payment_method_brand").alias("brand"), "payment_method_id")
-    settled = coded.join(methods, "brand", "left").withColumn(
+    if source in CASH_ONLY:
+        # A join on a constant brand has no key: look the one id up instead.
+        paid = coded.withColumn("payment_method_id", constant_key(dims.payment_methods, "payment_method_brand", CASH, "payment_method_id"))
+    else:
+        methods = dims.payment_methods.select(c("payment_method_brand").alias("brand"), "payment_method_id")
+        paid = coded.join(methods, "brand", "left")
+    settled = paid.withColumn(
         "settlement_system_id",
         constant_key(dims.settlement_systems, "system_name", SETTLEMENT_NAME.get(source, METER_SETTLEMENT), "settlement_system_id"),
     )

@@ -26,7 +26,7 @@ def test_plans_without_cross_products(spark):
     for name, fn in entry_point.queries().items():
         out = io.StringIO()
         with redirect_stdout(out):
-            fn(spark, SF).explain("formatted")
+            fn(spark, SF).explain()
         plan = out.getvalue()
         found[name] = [w for w in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "BroadcastNestedLoopJoin") if w in plan]
     assert {n: w for n, w in found.items() if w} == {}
