@@ -8,11 +8,12 @@ import pytest
 import __spark_entry__ as entry_point
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry_point.queries())
+# Queries of the training-data part have tests of their own.
+NAMES = sorted(n for n in entry_point.queries() if n != "pipeline" and not (n.startswith("op") and n[2].isdigit()))
 
 
 def test_every_oracle_belongs_to_a_query():
-    assert set(entry_point.oracle_sql()) <= set(NAMES)
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert set(NAMES) - set(entry_point.oracle_sql()) <= {"group_split"}
 
 
@@ -23,7 +24,8 @@ def test_entry(spark):
 
 def test_plans_without_cross_products(spark):
     found = {}
-    for name, fn in entry_point.queries().items():
+    for name in NAMES:
+        fn = entry_point.queries()[name]
         out = io.StringIO()
         with redirect_stdout(out):
             fn(spark, SF).explain()
