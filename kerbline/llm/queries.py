@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontamination, fingerprints, jaccard, licenses, packing, sharding, toxicity
+from kerbline.llm import decontamination, fingerprints, jaccard, licenses, packing, pii, sharding, toxicity
 from kerbline.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.find(docs, pii.train(pii.labelled_table(docs))))
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_fingerprints": op3_fingerprints,
@@ -49,6 +54,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
+    "op10_pii": op10_pii,
 }
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
