@@ -8,7 +8,7 @@ around tokens with a digit or "@" are decoded: no token without either begins or
 so the others are O. A decoded span joins the result when it touches no pattern span.
 
 The labelled table is made here from `sample_runs` runs (the smallest hashes of their documents) labelled by the
-patterns; `train` takes any such table. All documents are scanned whole, where they are read.
+patterns, and such runs again with phone numbers without their country code; `train` takes any such table. All documents are scanned whole, where they are read.
 
 Defined results. Null and empty texts have no spans. Repeated rows are scanned alike. Without any labelled run the field
 finds nothing. Extra columns are ignored.
@@ -235,6 +235,17 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 8, rate: float
     return out
 
 
+def without_country(tokens: list[str], labels: list[str]) -> tuple[list[str], list[str]] | None:
+    """The run with phone numbers as people write them at home, which no pattern finds: without the country code."""
+    out = []
+    for i, (token, label) in enumerate(zip(tokens, labels)):
+        if label == "B-phone" and re.fullmatch(r"\+[0-9]{1,3}", token) and labels[i + 1:i + 2] == ["I-phone"]:
+            continue
+        home = label == "I-phone" and i and labels[i - 1] == "B-phone" and (not out or out[-1][0] != tokens[i - 1])
+        out.append((token, "B-phone" if home else label))
+    return None if len(out) == len(tokens) else ([t for t, _ in out], [x for _, x in out])
+
+
 def labelled_table(docs: DataFrame, sample_runs: int = 1500, longest: int = 40) -> list[tuple[list[str], list[str]]]:
     """A bounded table of token runs labelled by the patterns; half of it at least holds a pattern where there are enough."""
     batches(docs.sparkSession)
@@ -247,7 +258,11 @@ def labelled_table(docs: DataFrame, sample_runs: int = 1500, longest: int = 40)
                 spans = base_spans(text) if found else []
                 for k, run in enumerate(found[:20]):
                     labels = labels_of(run, spans)[:longest]
-                    out.append((order, k, any(x != "O" for x in labels), [t for t, _ in run][:longest], labels))
+                    tokens = [t for t, _ in run][:longest]
+                    out.append((order, k, any(x != "O" for x in labels), tokens, labels))
+                    local = without_country(tokens, labels)
+                    if local:
+                        out.append((order, k, True, *local))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())))], names=["place", "k", "hit", "tokens", "labels"])
 
