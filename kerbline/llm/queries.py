@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontamination, fingerprints, jaccard, licenses, packing, pii, sharding, toxicity
+from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, packing, pii, sharding, toxicity
 from kerbline.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.train(docs.where(~lm_scoring.held_out())))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_fingerprints": op3_fingerprints,
     "op4_sharding": op4_sharding,
