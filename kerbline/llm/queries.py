@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, packing, pii, sharding, toxicity
+from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, packing, pii, secrets, sharding, toxicity
 from kerbline.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.report(pii.find(docs, pii.train(pii.labelled_table(docs))))
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_licenses": op8_licenses,
+    "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
 }
 
