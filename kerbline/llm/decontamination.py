@@ -132,4 +132,4 @@ def report(found: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no window of any item, with their own columns."""
-    return find_items(docs, benchmark, into="_found").where(F.size("_found.spans") == 0).drop("_found")
+    return find_items(docs, benchmark, into="_kerbline_found").where(F.size("_kerbline_found.spans") == 0).drop("_kerbline_found")

@@ -34,7 +34,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_kerbline_score").alias("score"), F.col("_kerbline_predicted").alias("predicted"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

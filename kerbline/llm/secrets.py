@@ -157,7 +157,7 @@ def thresholds(docs: DataFrame, shares: dict[str, float], rate: float = RATE, mo
     return out
 
 
-def find_spans(docs: DataFrame, into: str = "_spans") -> DataFrame:
+def find_spans(docs: DataFrame, into: str = "_kerbline_spans") -> DataFrame:
     """`docs` with an array of spans (start, rank of the kind, stop), by start and then kind."""
     texts = docs.select("text")
     shares = symbol_shares(texts)
@@ -166,10 +166,10 @@ def find_spans(docs: DataFrame, into: str = "_spans") -> DataFrame:
     chosen = lambda c: _passes(c, least) & (c["p"] >= ALPHA)
     kind = "array<struct<start: long, rank: int, stop: long>>"
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"], s["rank"], s["stop"]))
-    out = docs.withColumn("_base", base.cast(kind)).withColumn("_tested", F.filter(tested(text, shares), chosen))
-    fresh = F.filter("_tested", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    out = docs.withColumn("_kerbline_base", base.cast(kind)).withColumn("_kerbline_tested", F.filter(tested(text, shares), chosen))
+    fresh = F.filter("_kerbline_tested", lambda c: ~F.exists("_kerbline_base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     added = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["stop"].alias("stop"))).cast(kind)
-    return out.withColumn(into, F.array_sort(F.concat("_base", added))).drop("_base", "_tested")
+    return out.withColumn(into, F.array_sort(F.concat("_kerbline_base", added))).drop("_kerbline_base", "_kerbline_tested")
 
 
 def _passes(c: Column, least: dict[int, int]) -> Column:
@@ -183,10 +183,10 @@ def report(found: DataFrame) -> DataFrame:
     """Counts per kind, a digest of the pattern spans, and all spans as text."""
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))))
-    n = lambda rank: F.size(F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
+    n = lambda rank: F.size(F.filter("_kerbline_spans", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
-        F.sha2(shown(F.filter("_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), shown(F.col("_spans")).alias("spans"))
+        F.sha2(shown(F.filter("_kerbline_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), shown(F.col("_kerbline_spans")).alias("spans"))
 
 
 def redact(found: DataFrame, marker: str = "[secret]") -> DataFrame:
@@ -196,5 +196,5 @@ def redact(found: DataFrame, marker: str = "[secret]") -> DataFrame:
     cut = lambda a, s: F.when(s["stop"] <= a["at"], a).when(
         s["start"] < a["at"], F.struct(a["out"].alias("out"), s["stop"].alias("at"))).otherwise(F.struct(
             F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(marker)).alias("out"), s["stop"].alias("at")))
-    new = F.aggregate("_spans", start, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, new).otherwise(text)).drop("_spans")
+    new = F.aggregate("_kerbline_spans", start, cut, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn("text", F.when(F.size("_kerbline_spans") > 0, new).otherwise(text)).drop("_kerbline_spans")

@@ -196,11 +196,11 @@ def measured(text: str | None, automaton, exceptions: set[str]) -> tuple[float,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with _score (0 to 1) and _predicted (1 from 0.5 on)."""
+    """`docs` with _kerbline_score (0 to 1) and _kerbline_predicted (1 from 0.5 on)."""
     spark = docs.sparkSession
     batches(spark)
     held = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name not in ("_score", "_predicted")], T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name not in ("_kerbline_score", "_kerbline_predicted")], T.StructField("_kerbline_score", T.DoubleType()), T.StructField("_kerbline_predicted", T.IntegerType())])
     own = [F.col(f"`{f.name}`") for f in schema.fields[:-2]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
