@@ -100,7 +100,7 @@ def runs(text: str, around: int = 2) -> list[list[tuple[str, int]]]:
     marked = [i for i, (t, _) in enumerate(tokens) if _TELLING.search(t)]
     out, start, stop = [], -1, -1
     for i in marked:
-        if i - around > stop:
+        if start < 0 or i - around > stop:
             if start >= 0:
                 out.append(tokens[start:stop + 1])
             start = max(0, i - around)
@@ -288,7 +288,7 @@ def decoded_spans(text: str, run: list[tuple[str, int]], path: np.ndarray) -> It
         start, stop = run[first][1], run[i - 1][1] + len(run[i - 1][0])
         while stop > start + 1 and not text[stop - 1].isalnum():
             stop -= 1
-        while start < stop - 1 and not (text[start].isalnum() or text[start] == "+"):
+        while start < stop - 1 and not (text[start].isalnum() or text[start] in "+("):
             start += 1
         yield start, f"crf-{kind}", stop
 

@@ -5,10 +5,11 @@ plain letters, and turns what separates words into blanks. Lexicon entries are f
 of words (" idio"), so that one pass of the automaton finds both.
 
 The lexicon is learned from labelled training documents: each word and each beginning of a word is counted once per
-document and label, by all tasks; entries with a log-odds of at least `least_odds` stay, the weight is the log-odds. A
-beginning is kept only where it stands for several words, and words it covers as well are left out. Exceptions are pairs
-of a lexicon match and the word before or after it that training documents of label 0 hold at least as often as those of
-label 1, smoothed; matches within an exception count nothing.
+document and label, by all tasks; entries whose log-odds are surely above `least_sure` are candidates. A beginning is
+kept only where it stands for several words, and words it covers as well are left out. Exceptions are pairs of a
+candidate's match and the word before or after it that training documents of label 0 hold at least as often as those of
+label 1, smoothed; matches within an exception count nothing. Candidates whose other matches have log-odds of at least
+`least_odds` make the lexicon, and the log-odds is the weight.
 
 Score: a logistic function of the summed weights, their density per word, and whether anything matched, fitted on the
 same documents. Only `sample_rows` labelled rows (a hash of doc_id picks them) train; all documents are scored whole.
@@ -76,8 +77,8 @@ def around(text: str, start: int, entry: str) -> tuple[str, str, str]:
     return word, left[-1] if left else "", right[0] if right else ""
 
 
-def matched(text: str, automaton, exceptions: set[str]) -> tuple[float, list[tuple[int, str, str, str]]]:
-    """Summed weight of a folded text, one per word start (the heaviest entry), and the matches that counted."""
+def matched(text: str, automaton, exceptions: set[str]) -> tuple[float, list[tuple[str, str, str, str]]]:
+    """Summed weight of a folded text, one per word start (the heaviest entry), and the (entry, word, left, right) that counted."""
     best: dict[int, tuple[float, str]] = {}
     for last, (entry, weight) in automaton.iter(text):
         start = last - len(entry) + 1
@@ -89,7 +90,7 @@ def matched(text: str, automaton, exceptions: set[str]) -> tuple[float, list[tup
         if exceptions and (f"{left} {word}" in exceptions or f"{word} {right}" in exceptions):
             continue
         total += weight
-        found.append((start, word, left, right))
+        found.append((entry, word, left, right))
     return total, found
 
 
@@ -115,7 +116,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_entries: int = 4_000, least_odds: float = 3.0, least_docs: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_entries: int = 4_000, least_odds: float = 3.0, least_sure: float = 1.0, least_docs: int = 4) -> Model:
     """Learn lexicon, exceptions and logistic coefficients; only aggregates and at most `sample_rows` pairs of numbers reach the driver."""
     spark = docs.sparkSession
     batches(spark)
@@ -148,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_en
     if totals is None or not totals.n1 or not totals.n0:
         return Model(coefficients=(20.0 if totals is not None and totals.n1 else -20.0, 0.0, 0.0, 0.0))
     odds = F.log((F.col("n1") + 0.5) / (totals.n1 + 1)) - F.log((F.col("n0") + 0.5) / (totals.n0 + 1))
-    strong = counts.where(f"entry <> '' and n1 >= {least_docs}").withColumn("odds", odds).where(F.col("odds") >= least_odds)
+    sure = odds - 1.64 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    strong = counts.where(f"entry <> '' and n1 >= {least_docs}").withColumn("odds", odds).where(sure >= least_sure)
     # A beginning of one word only says what the word says: both are counted, the word is the more exact.
     top = strong.orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "entry").limit(most_entries).collect()
     known = {r.entry: (r.odds, r.n1) for r in top}
@@ -174,7 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_en
 
     phrases = rows.mapInArrow(contexts, "entry string, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     harmless = phrases.where("n0 >= 3").withColumn("odds", odds).where("odds <= 0").orderBy(F.desc("n0"), "entry").limit(most_entries)
-    model = Model(weights, {r.entry for r in harmless.collect()})
+    exceptions = {r.entry for r in harmless.collect()}
+
+    def others(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, seen = Model(held.value).automaton(), (Counter(), Counter())
+        for part in parts:
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                seen[toxic].update({e for e, *_ in matched(fold(text), automaton, exceptions)[1]})
+        yield from flushed(seen)
+
+    final = rows.mapInArrow(others, "entry string, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    model = Model({r.entry: r.odds for r in final.where(f"n1 >= {least_docs}").withColumn("odds", odds).where(F.col("odds") >= least_odds).collect()}, exceptions)
     held_model = spark.sparkContext.broadcast(model)
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
