@@ -224,7 +224,8 @@ def temporal_split(t: Tables):
     return fe.temporal_split(features(t), "1999-12-31", "2000-12-31").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("showed_up").alias("showed"))
 
 
-@query("group_split")
+@query("group_split", f"""with {_FEATURES}, k as (select * from feat where pd > 0 and r10 is not null and r20 is not null and wd > 0 and lastv is not null)
+    select case when cast(concat('0x', left(md5(permit), 8)) as bigint) % 100 < 20 then 'test' else 'train' end split, count(*) n, count(distinct permit) permits from k group by 1""")
 def group_split(t: Tables):
     return fe.group_split(features(t)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("permit").alias("permits"))
 

@@ -366,11 +366,12 @@ def stored_visits(t: Tables):
 _RECON = f"""nv as ({_visit_sql('new')}), sv as ({_visit_sql('stored')}),
     cand as (select n.trip_id, s.trip_id sid, s.status ss, s.entry_ts se, s.exit_ts sx,
                case when n.exit_ts = s.exit_ts then 1 when n.entry_ts = s.entry_ts then 2 when s.entry_ts is null or s.exit_ts is null then 3
-                    when abs(date_diff('minute', s.exit_ts, coalesce(n.entry_ts, n.exit_ts))) <= 7 * 1440 then 4 end pr
+                    else 4 end pr,
+               coalesce(abs(date_diff('minute', s.exit_ts, coalesce(n.entry_ts, n.exit_ts))), 99999) > 7 * 1440 far
              from nv n join sv s on s.garage_id = n.garage_id and s.ticket = n.ticket),
     best as (select * from (select *, row_number() over (partition by trip_id order by pr, coalesce(se, sx) desc, sid desc) rn from cand where pr is not null) q where rn = 1),
     r as (select n.*, b.sid stored_trip_id, b.ss stored_status, b.se stored_entry_ts, b.sx stored_exit_ts,
-            case when b.ss is null then case n.status when 'Complete' then 'Insert 2' when 'Entry Only' then 'Insert 3' when 'Entry Only - Permit Holder' then 'Insert 4' else 'Insert 5' end
+            case when b.pr = 4 and b.far then 'Report' when b.ss is null then case n.status when 'Complete' then 'Insert 2' when 'Entry Only' then 'Insert 3' when 'Entry Only - Permit Holder' then 'Insert 4' else 'Insert 5' end
                  when n.status = 'Complete' then case b.ss when 'Complete' then 'Ignore 1' when 'Entry Only' then 'Update 2' when 'Entry Only - Permit Holder' then 'Update 3'
                       else case when n.exit_ts = b.sx then 'Ignore' else 'Insert 6' end end
                  when n.status = 'Entry Only' then case b.ss when 'Complete' then case when n.entry_ts = b.se then 'Ignore' else 'Insert 8' end when 'Entry Only' then 'Update 4' else 'Report' end
@@ -417,6 +418,34 @@ def apply_visit_updates(t: Tables):
     return done.select(*[c.strip() for c in _KEEP.split(",")])
 
 
+_UNRECONCILED = f"""{_RECON}, ins as (select case when handler in ('Insert 1', 'Insert 5') then {_trip("(exit_ts - interval '204' minute)")} else trip_id end tid, trip_id, status, handler, exit_ts from r where handler like 'Insert%'),
+    ord as (select *, row_number() over (partition by tid order by exit_ts desc nulls last, status desc, trip_id desc) rn from ins),
+    un as (select trip_id, status, handler, case when stored_status = 'Complete' then 'stored visit too far away' else 'no rule' end reason from r where handler = 'Report'
+           union all select trip_id, status, handler, case when tid in (select trip_id from sv) then 'id already stored' else 'id repeated in the batch' end from ord
+           where rn > 1 or tid in (select trip_id from sv))"""
+
+
+@query("unreconciled_visits", f"with {_UNRECONCILED} select * from un")
+def unreconciled_visits(t: Tables):
+    stored = stored_visits(t)
+    return vs.unreconciled_visits(stored, vs.reconcile_visits(new_visits(t), stored), NOW)
+
+
+@query("visit_conservation", f"""with {_UNRECONCILED} select count(*) n_new, count(*) filter (handler like 'Ignore%') ignored, count(*) filter (handler like 'Update%') updated,
+    (select count(*) from ord where rn = 1 and tid not in (select trip_id from sv)) inserted, (select count(*) from un) unreconciled,
+    count(*) - count(*) filter (handler like 'Ignore%') - count(*) filter (handler like 'Update%') - (select count(*) from ord where rn = 1 and tid not in (select trip_id from sv))
+      - (select count(*) from un) lost from r""")
+def visit_conservation(t: Tables):
+    stored = stored_visits(t)
+    done = vs.reconcile_visits(new_visits(t), stored)
+    before, after = stored.count(), vs.apply_visit_updates(stored, done, NOW).count()
+    left = vs.unreconciled_visits(stored, done, NOW).count()
+    n = lambda kind: F.count(F.when(F.col("handler").startswith(kind), 1))
+    return done.agg(F.count(F.lit(1)).alias("n_new"), n("Ignore").alias("ignored"), n("Update").alias("updated")).select(
+        "*", F.lit(after - before).alias("inserted"), F.lit(left).alias("unreconciled"),
+        (F.col("n_new") - F.col("ignored") - F.col("updated") - (after - before) - left).alias("lost"))
+
+
 STALE = "1999-06-01 00:00:00"
 
 

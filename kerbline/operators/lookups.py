@@ -6,11 +6,10 @@ threshold and sort-merges it otherwise, splitting a hot key's partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions.timeparts import end_or_forever, in_interval
-from kerbline.operators.ordered import MONTH, chunk_of, ordered_scan
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
@@ -113,17 +112,13 @@ def overlap_detect(assignments: DataFrame) -> DataFrame:
         .withColumn("_end", end_or_forever(F.col("end_date")))
         .filter(F.col("assign_date") < F.col("_end"))
     )
-    swept = ordered_scan(
-        spans, ["device_id"], ["assign_date", "assignment_id"], chunk_of("assign_date", MONTH),
-        highs={"_reach": F.col("_end")},
-    )
+    # The assignments of one device are a handful by nature, so one plain window serves both steps.
+    along = Window.partitionBy("device_id").orderBy("assign_date", "assignment_id")
+    reach = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("_reach").isNull() | (F.col("assign_date") >= F.col("_reach")), 1).otherwise(0)
-    numbered = ordered_scan(
-        swept, ["device_id"], ["assign_date", "assignment_id"], chunk_of("assign_date", MONTH),
-        sums={"_cluster": fresh},
-    )
-    crowded = numbered.groupBy("device_id", "_cluster").count().filter("count > 1").drop("count")
-    members = numbered.join(crowded, ["device_id", "_cluster"])
+    numbered = spans.withColumn("_reach", reach).withColumn("_cluster", F.sum(fresh).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.count(F.lit(1)).over(Window.partitionBy("device_id", "_cluster"))
+    members = numbered.withColumn("_size", size).filter("_size > 1")
     a = members.select("device_id", "_cluster", *[F.col(c).alias(f"a_{c}") for c in ("assignment_id", "assign_date", "_end")])
     b = members.select("device_id", "_cluster", *[F.col(c).alias(f"b_{c}") for c in ("assignment_id", "assign_date", "_end")])
     return (

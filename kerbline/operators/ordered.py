@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY, MONTH = "day", "month"
 
@@ -20,6 +21,17 @@ def chunk_of(ts: str | Column, unit: str = DAY) -> Column:
     return d if unit == DAY else F.trunc(d, unit)
 
 
+def null_safe(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Columns to partition and join by, in which a NULL of any of `columns` equals itself."""
+    out = {}
+    for n in columns:
+        kind = df.schema[n].dataType
+        stand_in = F.lit("").cast(kind) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit("1970-01-01").cast(kind) if isinstance(
+            kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(0).cast(kind)
+        out |= {f"_null_{n}": F.col(n).isNull(), f"_safe_{n}": F.coalesce(F.col(n), stand_in)}
+    return out
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -41,11 +53,16 @@ def ordered_scan(
     nexts: value of the next row; NULL on a key's last row.
     prevs: value of the previous row; NULL on a key's first row.
     highs: greatest value of the rows before.
-    Keys must not be NULL and chunks must rise with `order`.
+    Chunks must rise with `order`. No row is lost: a NULL key is a key of its
+    own, and rows with a NULL chunk are the key's first chunk.
     """
     sums, lasts, nexts, prevs, highs = sums or {}, lasts or {}, nexts or {}, prevs or {}, highs or {}
     inputs = {f"_in_{n}": c for part in (sums, lasts, nexts, prevs, highs) for n, c in part.items()}
     cut = df.withColumns({**inputs, "_chunk": chunk})
+    safe = null_safe(cut, [*keys, "_chunk"])
+    cut = cut.withColumns(safe)
+    of_key = [n for n in safe if not n.endswith("_chunk")]
+    of_chunk = list(safe)
     at = F.struct(*[F.col(c) for c in order])
 
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -54,9 +71,9 @@ def ordered_scan(
     aggs += [F.min(F.struct(at.alias("at"), F.col(f"_in_{n}").alias("v"))).alias(f"_c_{n}") for n in nexts]
     aggs += [F.max(F.struct(at.alias("at"), F.col(f"_in_{n}").alias("v"))).alias(f"_c_{n}") for n in prevs]
     aggs += [F.max(f"_in_{n}").alias(f"_c_{n}") for n in highs]
-    per_chunk = cut.groupBy(*keys, "_chunk").agg(*aggs)
+    per_chunk = cut.groupBy(*of_chunk).agg(*aggs)
 
-    along = Window.partitionBy(*keys).orderBy("_chunk")
+    along = Window.partitionBy(*of_key).orderBy(F.desc("_null__chunk"), "_safe__chunk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = {"_before_rows": F.coalesce(F.sum("_rows").over(before), F.lit(0))}
     carried |= {f"_k_{n}": F.sum(f"_c_{n}").over(before) for n in sums}
@@ -64,9 +81,9 @@ def ordered_scan(
     carried |= {f"_k_{n}": F.lead(f"_c_{n}").over(along)["v"] for n in nexts}
     carried |= {f"_k_{n}": F.lag(f"_c_{n}").over(along)["v"] for n in prevs}
     carried |= {f"_k_{n}": F.max(f"_c_{n}").over(before) for n in highs}
-    carry = per_chunk.select(*keys, "_chunk", *[c.alias(n) for n, c in carried.items()])
+    carry = per_chunk.select(*of_chunk, *[c.alias(n) for n, c in carried.items()])
 
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = Window.partitionBy(*of_chunk).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = {f"_w_{n}": F.sum(f"_in_{n}").over(upto) for n in sums}
@@ -77,7 +94,7 @@ def ordered_scan(
     if row_number:
         local["_w_row"] = F.row_number().over(inside)
 
-    joined = cut.withColumns(local).join(carry, [*keys, "_chunk"])
+    joined = cut.withColumns(local).join(carry, of_chunk)
     zero = F.lit(0)
     out = {n: F.coalesce(F.col(f"_w_{n}"), zero) + F.coalesce(F.col(f"_k_{n}"), zero) for n in sums}
     out |= {n: F.coalesce(f"_w_{n}", f"_k_{n}") for n in lasts}

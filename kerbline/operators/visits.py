@@ -86,8 +86,10 @@ def kp_visits(gate: DataFrame, payments: DataFrame, tickets: DataFrame, start: s
     base = tickets.join(entry, TICKET, "left").select(
         *TICKET, c("pick.ts").alias("entry_ts"), c("pick.station").alias("entry_station"), F.coalesce("pick.ts", floor).alias("_from")
     )
-    left = first_after(base, gate.filter(c("txn_type").isin(*st.PAIRING_EXITS)), TICKET, "_from", 48, ["ts", "station"], ["ts", "event_id"])
-    paid = first_after(base, payments, TICKET, "_from", 48, ["cost", "paid"], ["ts", "payment_id"])
+    # Every base time lies in [floor, ceiling), so nothing outside is within 48 hours after one.
+    reach = (c("ts") >= floor) & (c("ts") <= tp.add_minutes(ceiling, 48 * 60))
+    left = first_after(base, gate.filter(c("txn_type").isin(*st.PAIRING_EXITS) & reach), TICKET, "_from", 48, ["ts", "station"], ["ts", "event_id"])
+    paid = first_after(base, payments.filter(reach), TICKET, "_from", 48, ["cost", "paid"], ["ts", "payment_id"])
     joined = base.join(left.withColumnRenamed("pick", "x"), TICKET, "left").join(paid.withColumnRenamed("pick", "p"), TICKET, "left")
     exit_ts = c("x.ts")
     return joined.filter(F.coalesce(exit_ts, c("entry_ts")) >= _ntz(start)).select(
@@ -322,8 +324,10 @@ def match_stored(new: DataFrame, stored: DataFrame, days: int = 7) -> DataFrame:
     """The one stored visit a new visit is judged against, as struct column `s`.
 
     In turn: the same exit time, the same entry time, the latest stored visit
-    that is still open on one side, the latest that ended within `days` of the
-    new one. Each is one row per key, so no ticket is paired with all its past.
+    that is still open on one side, the latest that ended. Each is one row per
+    key, so no ticket is paired with all its past. `far` tells that the only
+    candidate ended more than `days` from the new visit: too far to be judged
+    against, too suspicious to pass as absent.
     """
     c = F.col
     recency = F.struct(F.coalesce("entry_ts", "exit_ts"), "trip_id")
@@ -337,8 +341,9 @@ def match_stored(new: DataFrame, stored: DataFrame, days: int = 7) -> DataFrame:
     joined = new.join(by_exit, [*TICKET, "exit_ts"], "left").join(by_entry, [*TICKET, "entry_ts"], "left").join(last, TICKET, "left")
     at = F.coalesce("entry_ts", "exit_ts")
     gap = F.abs(tp.datediff_minute(c("s_closed.exit_ts"), at))
-    near = F.when(gap <= days * 1440, c("s_closed"))
-    return joined.withColumn("s", F.coalesce("s_exit", "s_entry", "s_open", near)).drop("s_exit", "s_entry", "s_open", "s_closed")
+    closer = F.coalesce("s_exit", "s_entry", "s_open")
+    far = closer.isNull() & c("s_closed").isNotNull() & ~F.coalesce(gap <= days * 1440, F.lit(False))
+    return joined.withColumns({"s": F.coalesce(closer, "s_closed"), "far": far}).drop("s_exit", "s_entry", "s_open", "s_closed")
 
 
 def handler(status: Column, stored: Column, same_entry: Column, same_exit: Column) -> Column:
@@ -370,7 +375,7 @@ def reconcile_visits(new: DataFrame, stored: DataFrame, days: int = 7) -> DataFr
     return m.select(
         *new.columns, c("s.trip_id").alias("stored_trip_id"), c("s.status").alias("stored_status"),
         c("s.entry_ts").alias("stored_entry_ts"), c("s.exit_ts").alias("stored_exit_ts"),
-        handler(c("status"), c("s.status"), same_entry, same_exit).alias("handler"),
+        F.when(c("far"), UNRECONCILED).otherwise(handler(c("status"), c("s.status"), same_entry, same_exit)).alias("handler"),
     )
 
 
@@ -380,11 +385,49 @@ CLOSING_UPDATES = ("Update 1", "Update 2", "Update 6", "Update 7")
 IMPUTED_INSERTS = ("Insert 1", "Insert 5")
 
 
+def _inserted_rows(reconciled: DataFrame, now: str, minutes: int) -> DataFrame:
+    """New visits with an Insert handler as they are stored, a missing entry imputed."""
+    c = F.col
+    stamp = F.lit(now).cast(tp.NTZ)
+    inserts = reconciled.filter(c("handler").startswith("Insert"))
+    made_up = c("handler").isin(*IMPUTED_INSERTS)
+    entry = F.when(made_up, tp.add_minutes(c("exit_ts"), -minutes)).otherwise(c("entry_ts"))
+    return inserts.withColumns({
+        "new_trip_id": c("trip_id"),
+        "trip_id": F.when(made_up, st.trip_id(c("garage_id"), c("ticket"), entry)).otherwise(c("trip_id")),
+        "length_of_stay": F.when(made_up, F.lit(float(minutes))).otherwise(c("length_of_stay")),
+        "impute_duration": F.when(made_up, F.lit(float(minutes))).otherwise(c("impute_duration")),
+        "entry_ts": entry, "load_ts": stamp, "update_ts": F.lit(None).cast(tp.NTZ),
+    })
+
+
+NO_RULE, TOO_FAR, ID_STORED, ID_REPEATED = "no rule", "stored visit too far away", "id already stored", "id repeated in the batch"
+
+
+def unreconciled_visits(stored: DataFrame, reconciled: DataFrame, now: str, minutes: int = st.TYPICAL_STAY) -> DataFrame:
+    """New visits that are neither ignored, nor update a stored visit, nor are inserted, with the reason.
+
+    Those without a rule, those whose only candidate is too far away, and
+    inserts whose id is stored already or taken by another insert.
+    """
+    c = F.col
+    why = F.when(c("stored_status") == st.COMPLETE, TOO_FAR).otherwise(NO_RULE)
+    left = reconciled.filter(c("handler") == UNRECONCILED).select("trip_id", "status", "handler", why.alias("reason"))
+    rows = _inserted_rows(reconciled, now, minutes)
+    known = stored.select("trip_id", F.lit(True).alias("_stored")).distinct()
+    first = rows.groupBy("trip_id").agg(F.max(F.struct("exit_ts", "status", "new_trip_id")).alias("_kept"))
+    judged = rows.join(known, "trip_id", "left").join(first, "trip_id")
+    reason = F.when(c("_stored"), ID_STORED).when(F.struct("exit_ts", "status", "new_trip_id") != c("_kept"), ID_REPEATED)
+    clash = judged.select(c("new_trip_id").alias("trip_id"), "status", "handler", reason.alias("reason")).filter("reason is not null")
+    return left.unionByName(clash)
+
+
 def apply_visit_updates(stored: DataFrame, reconciled: DataFrame, now: str, minutes: int = st.TYPICAL_STAY) -> DataFrame:
     """The stored visits after the batch: exits filled in by Updates 1, 2, 6 and 7, and new visits inserted.
 
     Updates 3, 4, 5 and 8 change nothing. A stored visit hit by several new
-    ones takes the latest exit.
+    ones takes the latest exit. What is neither stored nor changed by this is
+    in `unreconciled_visits`.
     """
     c = F.col
     detail = [n for n in EXIT_FIELDS if n in reconciled.columns and n in stored.columns]
@@ -406,15 +449,7 @@ def apply_visit_updates(stored: DataFrame, reconciled: DataFrame, now: str, minu
         changed["exit_classification"] = F.when(~hit, c("exit_classification"))
     kept = stored.join(closing, "trip_id", "left").withColumns(changed).select(*stored.columns)
 
-    inserts = reconciled.filter(c("handler").startswith("Insert"))
-    made_up = c("handler").isin(*IMPUTED_INSERTS)
-    entry = F.when(made_up, tp.add_minutes(c("exit_ts"), -minutes)).otherwise(c("entry_ts"))
-    inserts = inserts.withColumns({
-        "trip_id": F.when(made_up, st.trip_id(c("garage_id"), c("ticket"), entry)).otherwise(c("trip_id")),
-        "length_of_stay": F.when(made_up, F.lit(float(minutes))).otherwise(c("length_of_stay")),
-        "impute_duration": F.when(made_up, F.lit(float(minutes))).otherwise(c("impute_duration")),
-        "entry_ts": entry, "load_ts": stamp, "update_ts": F.lit(None).cast(tp.NTZ),
-    }).select(*stored.columns)
+    inserts = _inserted_rows(reconciled, now, minutes).select(*stored.columns)
     once = inserts.groupBy("trip_id").agg(F.max_by(F.struct(*[n for n in stored.columns if n != "trip_id"]), F.struct("exit_ts", "status")).alias("r"))
     fresh = once.join(stored.select("trip_id"), "trip_id", "left_anti").select("trip_id", "r.*").select(*stored.columns)
     return kept.unionByName(fresh)
