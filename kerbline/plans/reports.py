@@ -159,7 +159,7 @@ def revenue_summary(by_period: DataFrame) -> DataFrame:
 
 
 def filter_options(dims: dict[str, DataFrame]) -> DataFrame:
-    """Distinct non-NULL values of the six filter columns, in long form."""
+    """Distinct non-NULL values of the six filter columns, in long form, sorted within each filter."""
     wanted = [
         ("settlement", "system_name"), ("method", "payment_method_type"), ("charge_code", "charge_code"),
         ("device", "device_type"), ("facility", "facility_type"), ("facility", "facility_name"),
@@ -170,7 +170,7 @@ def filter_options(dims: dict[str, DataFrame]) -> DataFrame:
             F.lit(column).alias("filter"), F.col(column).cast("string").alias("value")
         ).distinct()
         out = values if out is None else out.unionByName(values)
-    return out
+    return out.orderBy("filter", "value")
 
 
 def facility_wow(fact: DataFrame, dims: dict[str, DataFrame], as_of: str) -> DataFrame:

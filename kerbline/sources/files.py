@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Filename rules, tried in order on the lower-cased name.
 SOURCE_RULES = (
@@ -64,22 +67,32 @@ def file_dedup(files: DataFrame, registry: DataFrame) -> DataFrame:
     return first.join(known, "file_hash", "left_anti").select(*files.columns)
 
 
-def header_names(line: str) -> list[str]:
-    """Column names of a plain comma-separated header line."""
-    return [part.strip('"') for part in line.rstrip("\r\n").split(",")]
+def header_names(lines: list[str]) -> list[str]:
+    """Column names of the CSV record that starts with the first line; quoted names may hold commas and line breaks."""
+    return next(csv.reader([line.rstrip("\r\n") + "\n" for line in lines]))
 
 
-def read_report(spark: SparkSession, path: str, *, skip_rows: int = 0, encoding: str = "UTF-8") -> DataFrame:
+def read_report(spark: SparkSession, path: str, *, skip_rows: int = 0, encoding: str = "UTF-8", multi_line: bool = False, header_lines: int = 20) -> DataFrame:
     """A CSV report with every column as text.
 
     With `skip_rows`, `path` names one file with that many lines above its
-    header. Only those lines reach the driver; they and the header are then
-    left out by their text, so the file itself may be split over many tasks.
+    header. They are left out by their place: the first lines of the file's
+    first block; a data row of the same text stays, and the file may be split
+    over many tasks. With `multi_line` quoted fields and names may hold line
+    breaks (a header record of at most `header_lines` lines); Spark reads such
+    a file in one task.
     """
     if skip_rows == 0:
-        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding)
-    lines = spark.read.option("encoding", encoding).text(path)
-    head = [r[0] for r in lines.limit(skip_rows + 1).collect()]
-    schema = ", ".join(f"`{name}` string" for name in header_names(head[skip_rows]))
-    body = lines.filter(~F.col("value").isin(head) & (F.trim("value") != ""))
-    return body.select(F.from_csv("value", F.lit(schema)).alias("row")).select("row.*")
+        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=multi_line, escape='"' if multi_line else "\\")
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_block_start").alias("_block"))
+    head = [r[0] for r in lines.filter("_block = 0").limit(skip_rows + (header_lines if multi_line else 1)).collect()]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header_names(head[skip_rows:])])
+    # Ids rise by one within a block's partition, and a file's first block is the first of its partition.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    if multi_line:
+        records = spark.read.csv(path, schema=schema, header=False, encoding=encoding, multiLine=True, escape='"', enforceSchema=True)
+        return records.withColumn("_place", place).filter(F.col("_place") > skip_rows).drop("_place")
+    placed = lines.withColumn("_place", place)
+    body = placed.filter(((F.col("_block") > 0) | (F.col("_place") > skip_rows)) & (F.trim("value") != ""))
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+    return body.select(F.from_csv("value", F.lit(ddl)).alias("row")).select("row.*")

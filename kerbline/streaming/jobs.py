@@ -15,10 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kerbline.functions import timeparts as tp
 from kerbline.operators.occupancy import CUSTOMER_TYPES, fill_minutes, running_counts
-from kerbline.session import checkpoint_dir
 from kerbline.sources.files import file_name
 
 
+def stream_folder(spark: SparkSession) -> str:
+    """Where streams keep their progress. It must outlive the session: a restart in a new folder would write over batch 0."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a shared folder before a stream is started")
+    return f"{named}/streams"
+
+
 def stage_stream(
     spark: SparkSession, folder: str, columns: list[str], stage: Callable[[DataFrame], DataFrame], out: str, *, name: str,
     files_per_batch: int = 1000, encoding: str = "UTF-8",
@@ -39,35 +46,36 @@ def stage_stream(
         stage(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/batch={epoch}")
 
     return (
-        raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint_dir(spark)}/streams/{name}")
+        raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{stream_folder(spark)}/{name}")
         .trigger(availableNow=True).start()
     )
 
 
-def gate_minutes(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Net change per garage, customer type and minute of a stream of gate events (garage_id, customer_type, ts, step).
+def gate_minutes(events: DataFrame) -> DataFrame:
+    """Net change per garage, customer type and minute of gate events (garage_id, customer_type, ts, step).
 
     step is +1 for an entry and -1 for an exit. An entry counts in its minute,
-    an exit from the next full minute on. State is bounded by the watermark;
-    events later than it are left to the incremental update.
+    an exit from the next full minute on.
     """
-    at = F.when(F.col("step") > 0, tp.floor_minute(F.col("ts"))).otherwise(tp.ceil_minute(F.col("ts")))
-    marked = events.withColumn("at", at.cast("timestamp_ltz")).withWatermark("at", late)
-    return marked.groupBy(F.window("at", "1 minute"), "garage_id", "customer_type").agg(F.sum("step").alias("step")).select(
-        "garage_id", "customer_type", tp.minute_index(F.col("window.start")).alias("minute"), "step"
-    )
+    at = F.when(F.col("step") > 0, tp.minute_index(F.col("ts"))).otherwise(tp.minute_index_up(F.col("ts")))
+    return events.groupBy("garage_id", "customer_type", at.alias("minute")).agg(F.sum("step").alias("step"))
 
 
-def occupancy_stream(events: DataFrame, out: str, *, name: str, late: str = "10 minutes") -> StreamingQuery:
-    """Append closed minutes of net change to `out`, one folder per micro-batch."""
+def occupancy_stream(events: DataFrame, out: str, *, name: str) -> StreamingQuery:
+    """Net change of each micro-batch to `out`, one folder per batch.
+
+    Changes only add up, so each batch is summed by itself and the sums are
+    added when they are read: there is no state, no watermark, and an event
+    that comes late or last is counted like any other.
+    """
     spark = events.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/batch={epoch}")
+        gate_minutes(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/batch={epoch}")
 
     return (
-        gate_minutes(events, late).writeStream.outputMode("append").foreachBatch(write)
-        .option("checkpointLocation", f"{checkpoint_dir(spark)}/streams/{name}").trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{stream_folder(spark)}/{name}").trigger(availableNow=True).start()
     )
 
 

@@ -61,3 +61,27 @@ def test_overlaps_by_brute_force(spark):
     df = spark.createDataFrame(spans, "assignment_id int, device_id int, assign_date timestamp_ntz, end_date timestamp_ntz")
     got = lookups.overlap_detect(df).collect()
     assert len(got) == len(want) and {(r.first_id, r.second_id) for r in got} == want
+
+
+def test_rows_with_null_keys_and_times_stay(spark, rows):
+    df = log(spark, 60).unionByName(spark.createDataFrame([(900, None, None, "a", 1), (901, 1, None, "b", 2), (902, None, dt.datetime(2023, 2, 2), "a", 3), (903, 1, None, None, 4)],
+                                                          "id int, k int, ts timestamp_ntz, s string, v int"))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    got = ordered.ordered_scan(df, ["k"], ["ts", "id"], ordered.chunk_of("ts", "day"), row_number="rn", sums={"total": F.col("v")}, nexts={"nxt": F.col("s")}, prevs={"prv": F.col("s")})
+    want = df.withColumns({"rn": F.row_number().over(w).cast("bigint"), "total": F.sum("v").over(upto), "nxt": F.lead("s").over(w), "prv": F.lag("s").over(w)})
+    assert rows(got.select(*want.columns), "id") == rows(want, "id") and got.count() == df.count()
+    for scan in (ordered.event_order(df, "k", "ts", "id"), ordered.carry_forward(df, "k", "ts", "id", {"b": F.col("s")}), ordered.period_end(df, "k", "ts", "id"), ordered.islands(df, "k", "ts", "id", "s")):
+        assert scan.count() == df.count()
+
+
+def test_history_keeps_rows_with_nulls(spark):
+    from kerbline.operators import operations
+
+    schema = "device int, start_date timestamp_ntz, end_date timestamp_ntz, place string"
+    dim = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), None, "a"), (1, None, None, "b"), (None, dt.datetime(2024, 1, 2), None, "c")], schema)
+    done = operations.scd2_apply(dim, spark.createDataFrame([(1, dt.datetime(2024, 3, 1), None, "d")], schema), ["device"])
+    assert sorted((r.place, r.end_date is None) for r in done.collect()) == [("a", False), ("b", False), ("c", True), ("d", True)]
+    events = spark.createDataFrame([(1, None, "out", None, 1), (None, dt.datetime(2024, 1, 1), "out", None, 2), (1, dt.datetime(2024, 1, 3), "return", None, 3)],
+                                   "space int, ts timestamp_ntz, kind string, date_returned timestamp_ntz, event_id int")
+    assert sorted(r.event_id for r in operations.space_intervals(events).collect()) == [1, 2]

@@ -79,6 +79,50 @@ def test_stage_stream_reads_each_file_once(spark, tmp_path):
     assert run() == ["one.csv", "two.csv"]
 
 
+def test_late_last_and_restarted_events_are_counted(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m, 0)
+    schema = "garage_id int, customer_type string, ts timestamp_ntz, step int"
+    source, out = str(tmp_path / "events"), str(tmp_path / "changes")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.occupancy_stream(spark.readStream.schema(schema).parquet(source), out, name=f"late-{tmp_path.name}").awaitTermination()
+        got = jobs.occupancy_from_stream(spark.read.parquet(out), "2024-01-01 10:00:00", "2024-01-01 10:04:00")
+        return [r.total for r in sorted(got.collect(), key=lambda r: r.date)]
+
+    assert run([(1, "transient", at(10, 3), 1)]) == [0, 0, 0, 1]  # the last minute is not withheld
+    assert run([(1, "transient", at(13, 0), 1)]) == [0, 0, 0, 1]  # a restart adds a batch
+    assert run([(1, "permit", at(10, 1), 1)]) == [0, 1, 1, 2]  # hours late
+
+
+def test_streams_need_a_lasting_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        jobs.stream_folder(Bare)
+    assert jobs.stream_folder(spark) == f"{named}/streams"
+
+
+def test_preamble_is_dropped_by_place(spark, tmp_path):
+    text = 'Report\nTotals by day\n\n"Name, full",b\nTotals by day,\nx,1\nReport,2\n\n'
+    got = files.read_report(spark, write(tmp_path, "p.csv", text), skip_rows=3)
+    assert got.columns == ["Name, full", "b"]
+    assert [tuple(r) for r in got.collect()] == [("Totals by day", None), ("x", "1"), ("Report", "2")]
+
+
+def test_line_breaks_in_names_and_fields(spark, tmp_path):
+    text = 'Report\n"Name\nfull",b\n"x\ny",1\nReport,2\n'
+    got = files.read_report(spark, write(tmp_path, "m.csv", text), skip_rows=1, multi_line=True)
+    assert got.columns == ["Name\nfull", "b"] and [tuple(r) for r in got.collect()] == [("x\ny", "1"), ("Report", "2")]
+    plain = files.read_report(spark, write(tmp_path, "n.csv", '"Name\nfull",b\n"x\ny","say ""hi"""\n'), multi_line=True)
+    assert [tuple(r) for r in plain.collect()] == [("x\ny", 'say "hi"')]
+
+
 def test_occupancy_stream(spark, tmp_path):
     import datetime as dt
 

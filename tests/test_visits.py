@@ -46,10 +46,12 @@ def test_every_status_pair(spark):
     assert got == want
 
 
-def test_recycled_ticket_is_a_new_visit(spark):
+def test_a_far_stored_visit_is_reported_not_passed_as_absent(spark):
     new = spark.createDataFrame([visit("n", 1, C, A, B)], NEW)
     old = spark.createDataFrame([visit("s", 1, C, A - dt.timedelta(days=40), B - dt.timedelta(days=40))], NEW)
-    assert vs.reconcile_visits(new, old).first().handler == "Insert 2"
+    done = vs.reconcile_visits(new, old)
+    assert done.first().handler == "Report"
+    assert vs.unreconciled_visits(old, done, "2024-06-01 00:00:00").first().reason == vs.TOO_FAR
 
 
 def test_updates_and_inserts(spark):
