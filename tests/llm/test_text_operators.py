@@ -56,10 +56,12 @@ def test_lm_filter_read_back_and_both_ways_alike(small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     random = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64)
     levels = np.arange(10_000) % 9 + 1
-    bits = np.zeros(lm_scoring.SEGMENT_BYTES, np.uint8)
-    lm_scoring.set_bits(bits, random[:10_000], levels)
+    flags = np.zeros(lm_scoring.SEGMENT_BYTES * 8, np.uint8)
+    lm_scoring.set_flags(flags, random[:10_000], levels)
+    bits = np.packbits(flags, bitorder="little")
     assert (lm_scoring.read_levels(bits, 1, random[:10_000]) >= levels).all()
     assert (lm_scoring.read_levels(bits, 1, random[10_000:]) > 0).mean() < 0.01
+    assert abs(lm_scoring.distinct_pairs(sorted(map(int, random * np.uint64(2)))[:lm_scoring.SKETCH]) / 20_000 - 1) < 0.15
 
 
 def shingle_sets(rows):
