@@ -45,13 +45,14 @@ def sales(t: Tables):
 
 
 def payouts(t: Tables):
-    rows = t.staging.filter("l_returnflag = 'R'")
-    return rows.select(
-        c("l_partkey").cast("string").alias("card_number"), c("l_suppkey").cast("string").alias("authorization_code"),
+    # Only returned lines are paid out; the others pay cards that sold nothing.
+    card = F.when(c("l_returnflag") == "R", c("l_partkey")).otherwise(-c("l_partkey"))
+    return t.staging.select(
+        card.cast("string").alias("card_number"), c("l_suppkey").cast("string").alias("authorization_code"),
         c("id").alias("payment_id"), c("l_shipdate").alias("payment_date"), c("settle_amount").alias("payment_amount"))
 
 
-_PAY = "p as (select l_partkey pk, l_suppkey sk, id payment_id, l_shipdate payment_date, settle_amount from {staging} where l_returnflag = 'R')"
+_PAY = "p as (select case when l_returnflag = 'R' then l_partkey else -l_partkey end pk, l_suppkey sk, id payment_id, l_shipdate payment_date, settle_amount from {staging})"
 
 
 @query("sales_payments_match", f"""with {_PAY} select s.id, p.payment_id, p.payment_date, cast(p.settle_amount as double) payment_amount,
@@ -169,8 +170,8 @@ def charge_code_at(t: Tables):
 _WO = """wo as (select o_orderkey wo_id, o_orderstatus status, case o_orderkey % 5 when 0 then 'No Parking Sign Check' when 1 then 'Hood Install' when 2 then 'Hood Removal' else 'Other' end description,
       case when o_orderkey % 2 = 0 then '217' else '1586' end template, o_orderdate proj_start, o_orderdate + interval '3' day proj_finish, o_orderdate initiate_ts,
       case when o_orderkey % 7 <> 0 then o_orderdate + (o_custkey % 40) * interval '1' day end finish_ts, case when o_orderkey % 3 = 0 then o_orderdate end closed_ts from {orders}),
-    links as (select o_orderkey dest_id, o_orderkey - 3 source_id, 'WorkOrder' dest_type, case when o_orderkey % 11 = 0 then 'Request' else 'WorkOrder' end source_type,
-      case when o_orderkey % 13 = 0 then 'Related' else 'Parent' end link_type from {orders} where o_orderkey % 4 <> 0)"""
+    links as (select case when o_orderkey % 4 = 0 then -o_orderkey else o_orderkey end dest_id, o_orderkey - 3 source_id, 'WorkOrder' dest_type, case when o_orderkey % 11 = 0 then 'Request' else 'WorkOrder' end source_type,
+      case when o_orderkey % 13 = 0 then 'Related' else 'Parent' end link_type from {orders})"""
 
 
 def wo(t: Tables):
@@ -223,7 +224,7 @@ def refuse_overlaps(t: Tables):
 
 
 @query("close_assignments", """select a.assignment_id, case when a.end_date is null and s.s_suppkey % 2 = 0 then timestamp '2002-01-01' else a.end_date end end_date,
-      case when a.end_date is null and s.s_suppkey % 2 = 0 and s.s_suppkey % 3 = 0 then ' | Closed: ' || s.s_name end notes from {assign} a join {supplier} s on s.s_suppkey = a.device_id""")
+      case when a.end_date is null and s.s_suppkey % 2 = 0 and s.s_suppkey % 3 = 0 then ' | Closed: ' || s.s_name end notes from {assign} a left join {supplier} s on s.s_suppkey = a.device_id""")
 def close_assignments(t: Tables):
     names = t.supplier.select(c("s_suppkey").alias("device_id"), F.when(c("s_suppkey") % 3 == 0, c("s_name")).alias("note"))
     closures = t.assign.join(names, "device_id").filter("device_id % 2 = 0").select("assignment_id", F.lit("2002-01-01").cast(tp.NTZ).alias("end_date"), "note")
@@ -332,11 +333,12 @@ def uncovered_shifts(t: Tables):
 _MATCH_KEYS = "location, booth, day_of_week, start_hour, end_hour"
 
 
-@query("kth_match", f"""with a as (select *, row_number() over (partition by {_MATCH_KEYS} order by shift_id) k from {{shifts}} where o_orderstatus <> 'P'),
-      b as (select *, row_number() over (partition by {_MATCH_KEYS} order by shift_id) k from {{shifts}} where o_orderstatus <> 'F')
+@query("kth_match", f"""with a as (select *, row_number() over (partition by {_MATCH_KEYS} order by shift_id) k from (select * replace (case when o_orderstatus = 'P' then booth + 100 else booth end as booth) from {{shifts}}) s1),
+      b as (select *, row_number() over (partition by {_MATCH_KEYS} order by shift_id) k from (select * replace (case when o_orderstatus = 'F' then booth + 200 else booth end as booth) from {{shifts}}) s2)
     select a.shift_id, b.shift_id * 7 employee_id from a join b using ({_MATCH_KEYS}, k)""")
 def kth_match(t: Tables):
-    return op.kth_match(t.shifts.filter("o_orderstatus <> 'F'").withColumn("employee_id", c("shift_id") * 7), t.shifts.filter("o_orderstatus <> 'P'"), step=5000)
+    moved = lambda status, by: t.shifts.withColumn("booth", F.when(c("o_orderstatus") == status, c("booth") + by).otherwise(c("booth")))
+    return op.kth_match(moved("F", 200).withColumn("employee_id", c("shift_id") * 7), moved("P", 100), step=5000)
 
 
 @query("employee_weeks", "select distinct employee_id, week_start::varchar week_start from {shift_assignments} join {shifts} using (shift_id)")
@@ -466,9 +468,9 @@ def latest_per_key(t: Tables):
 
 # --- set operations ---
 
-@query("union_all", "select l_orderkey k, 'a' part from {lineitem} where l_returnflag = 'A' union all select o_orderkey, 'b' from {orders}")
+@query("union_all", "select l_orderkey k, 'a' part from {lineitem} union all select o_orderkey, 'b' from {orders}")
 def union_all(t: Tables):
-    a = t.lineitem.filter("l_returnflag = 'A'").select(c("l_orderkey").alias("k"), F.lit("a").alias("part"))
+    a = t.lineitem.select(c("l_orderkey").alias("k"), F.lit("a").alias("part"))
     return a.unionByName(t.orders.select(c("o_orderkey").alias("k"), F.lit("b").alias("part")))
 
 

@@ -34,8 +34,8 @@ _STAGED = {
         cast(0.45 as decimal(10,2)) convenience_fee, brand partner_name, l_linenumber % 6 = 0 processed_to_final from {staging}""",
     "ips_cash_staging": """select id, source_file_id, o_orderdate collection_date, '1437' collection_time, terminal pole_ser_no, amount coin_revenue, l_linenumber % 6 = 0 processed_to_final from {staging}""",
 }
-_PAYMENTS = """select concat('4*', cast(l_partkey as varchar(20))) card_number, cast(l_suppkey as varchar(20)) authorization_code, id payment_id, l_shipdate payment_date,
-    cast(settle_amount as decimal(12,2)) payment_amount, l_orderkey % 9 = 0 processed_to_final, source_file_id from {staging} where l_returnflag = 'R'"""
+_PAYMENTS = """select concat(case when l_returnflag = 'R' then '4*' else '9*' end, cast(l_partkey as varchar(20))) card_number, cast(l_suppkey as varchar(20)) authorization_code, id payment_id, l_shipdate payment_date,
+    cast(settle_amount as decimal(12,2)) payment_amount, l_orderkey % 9 = 0 processed_to_final, source_file_id from {staging}"""
 
 _LATEST = f"""pay as ({_PAYMENTS}), lp as (select * from (select *, row_number() over (partition by card_number, authorization_code order by payment_date desc, payment_id desc) rn from pay) q where rn = 1)"""
 
@@ -165,7 +165,7 @@ def conservation_check(t: Tables):
 _CASH = """cash as (select l_orderkey * 10 + l_linenumber ticket, cast(l_partkey % 24 as int) garage_id, cast(l_suppkey as int) gate_location_id, o_orderdate date, '10:30:00' as time,
         cast(quantity * 100 as int) amount, case when l_linenumber = 7 then 1 else 0 end pay_method from {staging}),
     stn as (select s_nationkey garage_id0, s_suppkey gate_location_id, case when s_suppkey % 10 = 3 then concat('A', s_name) when s_suppkey % 10 <> 4 then s_name end station from {supplier}),
-    reb as (select l_orderkey * 10 + l_linenumber ticket_id, o_orderdate date, cast(l_partkey % 5 as decimal(12,2)) rebate_amount from {staging} where l_returnflag = 'R')"""
+    reb as (select case when l_returnflag = 'R' then 1 else -1 end * (l_orderkey * 10 + l_linenumber) ticket_id, o_orderdate date, cast(l_partkey % 5 as decimal(12,2)) rebate_amount from {staging})"""
 
 
 @query("post_zms_cash", f"""with {_CASH}, rs as (select ticket_id, date, sum(rebate_amount) rebate from reb group by 1, 2)

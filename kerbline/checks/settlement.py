@@ -271,19 +271,19 @@ def list_filters_open(t: Tables):
 _FILES = """
     files as (select o_orderkey id, case when o_orderkey % 11 <> 0 then (o_orderkey % 4) * 2 end records_processed, o_orderkey % 3 <> 0 is_processed,
                      o_orderdate upload_date from {orders}),
-    log as (select l_orderkey source_file_id, case l_linenumber % 4 when 0 then 'complete' when 1 then 'failed' when 2 then 'running' else 'completed' end status,
+    log as (select case when l_returnflag = 'R' then l_orderkey else -l_orderkey end source_file_id, case l_linenumber % 4 when 0 then 'complete' when 1 then 'failed' when 2 then 'running' else 'completed' end status,
                    l_linenumber + 1 records_processed, l_linenumber records_created, 1 records_failed,
                    case when l_linenumber % 4 = 1 then 'bad row ' || cast(l_suppkey as varchar(20)) end error_message
-            from {lineitem} where l_returnflag = 'R')"""
+            from {lineitem})"""
 
 
 def file_tables(t: Tables):
     files = t.sql("""select o_orderkey id, case when o_orderkey % 11 <> 0 then (o_orderkey % 4) * 2 end records_processed, o_orderkey % 3 <> 0 is_processed,
         o_orderdate upload_date from {orders}""")
-    log = t.sql("""select l_orderkey source_file_id, case l_linenumber % 4 when 0 then 'complete' when 1 then 'failed' when 2 then 'running' else 'completed' end status,
+    log = t.sql("""select case when l_returnflag = 'R' then l_orderkey else -l_orderkey end source_file_id, case l_linenumber % 4 when 0 then 'complete' when 1 then 'failed' when 2 then 'running' else 'completed' end status,
         l_linenumber + 1 records_processed, l_linenumber records_created, 1 records_failed,
         case when l_linenumber % 4 = 1 then 'bad row ' || cast(l_suppkey as varchar(20)) end error_message
-        from {lineitem} where l_returnflag = 'R'""")
+        from {lineitem}""")
     return files, log
 
 

@@ -26,15 +26,16 @@ view("facility", """
            case n_nationkey % 3 when 0 then 'garage' when 1 then 'lot' else 'meter' end facility_type,
            n_regionkey region_id from {nation}""")
 view("device", """
-    select s_suppkey device_id, s_name device_terminal_id, s_name terminal_id,
+    select s_suppkey device_id, case when s_suppkey % 10 = 8 then concat('none ', s_name) else s_name end device_terminal_id,
+           case when s_suppkey % 10 = 8 then concat('none ', s_name) else s_name end terminal_id,
            case s_suppkey % 4 when 0 then 'Exit' when 1 then 'Cashier' when 2 then 'Portable CC Reader' end device_type
-    from {supplier} where s_suppkey % 10 <> 8""")
+    from {supplier}""")
 view("assign", """
-    select s_suppkey * 3 + k assignment_id, s_suppkey device_id, (s_nationkey + k) % 25 location_id,
+    select s_suppkey * 3 + k assignment_id, case when s_suppkey % 10 = 9 then -s_suppkey else s_suppkey end device_id, (s_nationkey + k) % 25 location_id,
            timestamp '1995-01-01 00:00:00' + (k * 800) * interval '1' day assign_date,
            case when k < 2 then timestamp '1995-01-01 00:00:00' + (k * 800 + 700) * interval '1' day end end_date
     from (select s_suppkey, s_nationkey, 0 k from {supplier} union all select s_suppkey, s_nationkey, 1 from {supplier}
-          union all select s_suppkey, s_nationkey, 2 from {supplier}) x where s_suppkey % 10 <> 9""")
+          union all select s_suppkey, s_nationkey, 2 from {supplier}) x""")
 view("location", """
     select n_nationkey location_id, n_nationkey facility_id,
            case when n_nationkey % 5 = 4 then n_nationkey + 100 end space_id from {nation}""")
@@ -42,18 +43,19 @@ view("space", """
     select n_nationkey + 100 space_id, concat('S-', n_name) space_number, n_nationkey facility_id from {nation}
     where n_nationkey % 5 = 4""")
 view("charge", """
-    select n_nationkey * 10 + p charge_code_id, 82000 + n_regionkey charge_code, n_nationkey location_id, p program_type_id
-    from (select n_nationkey, n_regionkey, 1 p from {nation} union all select n_nationkey, n_regionkey, 2 from {nation}) x where n_nationkey <> 24""")
+    select n_nationkey * 10 + p charge_code_id, 82000 + n_regionkey charge_code, case when n_nationkey = 24 then -1 else n_nationkey end location_id, p program_type_id
+    from (select n_nationkey, n_regionkey, 1 p from {nation} union all select n_nationkey, n_regionkey, 2 from {nation}) x""")
 view("method", """
     select cast(dense_rank() over (order by b) as int) payment_method_id, b payment_method_brand,
            case when b in ('Visa', 'Mastercard') then 'card' when b = 'Cash' then 'cash' else 'other' end payment_method_type
     from (select distinct case o_orderpriority when '1-URGENT' then 'Visa' when '2-HIGH' then 'Mastercard'
-                 when '3-MEDIUM' then 'Cash' else o_orderpriority end b
-          from {orders} where o_orderpriority <> '5-LOW') t""")
+                 when '3-MEDIUM' then 'Cash' when '5-LOW' then 'None' else o_orderpriority end b
+          from {orders}) t""")
 view("settlement", """
     select r_regionkey settlement_system_id,
            case r_regionkey when 0 then 'IPS' when 1 then 'PI' when 2 then 'Windcave' else r_name end system_name
     from {region}""")
+# Rows that are to find no match keep their place in a table with a key nothing else has.
 # One staging row per line item, with the six-column row key as its id.
 view("staging", """
     select cast(l_orderkey as varchar(20)) || '-' || cast(l_partkey as varchar(20)) || '-' || cast(l_suppkey as varchar(20))
@@ -135,7 +137,7 @@ view("shifts", """
            o_custkey, o_orderstatus
     from {orders}""")
 view("shift_assignments", """
-    select o_orderkey * 2 assignment_id, o_orderkey shift_id, o_custkey employee_id from {orders} where o_orderstatus <> 'P'""")
+    select o_orderkey * 2 assignment_id, case when o_orderstatus = 'P' then -o_orderkey else o_orderkey end shift_id, o_custkey employee_id from {orders}""")
 view("employees", """
     select c_custkey employee_id, c_name first_name, c_mktsegment last_name, c_nationkey job from {customer}""")
 view("time_off", """
