@@ -15,7 +15,7 @@ Score: a logistic function of the summed weights, their density per word, and wh
 same documents. Only `sample_rows` labelled rows (a hash of doc_id picks them) train; all documents are scored whole.
 
 Defined results. Null and empty texts get the score of a text without matches. Without training labels of both kinds
-every score is the share of label 1 (0 without any). Labels that are null or repeated with a doc_id count once per row.
+every score is the share of label 1 (0 without any). Labels that are null do not train; repeated rows train once.
 Extra columns stay.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.llm.common import batches
+from kerbline.llm.common import batches, scratch
 
 # Letters that look like Latin ones, and digits and signs used for letters.
 LOOK_ALIKE = {
@@ -120,10 +120,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_en
     """Learn lexicon, exceptions and logistic coefficients; only aggregates and at most `sample_rows` pairs of numbers reach the driver."""
     spark = docs.sparkSession
     batches(spark)
-    usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
+    usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
     share = min(1.0, sample_rows / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", "text").join(usable, F.col("doc_id") == F.col("_id")).select("text", "_toxic")
+    # About `sample_rows` pairs of numbers, so a broadcast is bounded and only the sample's texts are ever moved.
+    sample = docs.select("doc_id", "text").join(F.broadcast(usable), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic")
+    rows = scratch(sample.dropDuplicates(), "toxicity-sample").select("text", "_toxic")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
