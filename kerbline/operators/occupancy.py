@@ -105,7 +105,10 @@ def count_occupancy(visits: DataFrame, start, end, *, one_sided: bool = False, i
     reported too; every stay still open then is clipped to close in it.
     """
     first, last = _minute(start), _minute(end)
-    clipped = visits.withColumns({
+    # Stays outside the range clip to nothing: the filter only spares reading them.
+    touching = visits if one_sided or include_end else visits.filter(
+        (F.col("entry_ts") < _ntz(end)) & (F.col("exit_ts").isNull() | (F.col("exit_ts") > _ntz(start))))
+    clipped = touching.withColumns({
         "entry_ts": F.when(F.col("entry_ts").isNotNull(), F.least(F.greatest("entry_ts", _ntz(start)), _ntz(end))),
         "exit_ts": F.when(F.col("exit_ts").isNotNull(), F.least(F.greatest("exit_ts", _ntz(start)), _ntz(end))),
     })

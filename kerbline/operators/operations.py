@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions import timeparts as tp
 from kerbline.functions.filters import WEEKDAYS, weekday_rank
 from kerbline.functions.policies import full_name, paid_hours
-from kerbline.operators.lookups import overlap_detect
+from kerbline.functions.timeparts import end_or_forever
 from kerbline.operators.ordered import MONTH, chunk_of, ordered_scan
 
 # Work order states and the parent descriptions that date a sign or hood job.
@@ -91,10 +91,15 @@ def scd2_apply(dim: DataFrame, changes: DataFrame, keys: list[str], start: str =
 
 def refuse_overlaps(assignments: DataFrame, changes: DataFrame) -> DataFrame:
     """New device assignments, flagged `accepted` unless their interval overlaps another one of the device."""
+    c = F.col
     columns = ["assignment_id", "device_id", "assign_date", "end_date"]
-    pairs = overlap_detect(assignments.select(*columns).unionByName(changes.select(*columns)))
-    clashing = pairs.select(F.explode(F.array("first_id", "second_id")).alias("assignment_id")).distinct().withColumn("_clash", F.lit(True))
-    return changes.join(clashing, "assignment_id", "left").withColumn("accepted", F.col("_clash").isNull()).drop("_clash")
+    spans = assignments.select(*columns).unionByName(changes.select(*columns)).withColumn("_end", end_or_forever(c("end_date")))
+    # Sorted by start, an interval overlaps another when one before it reaches into it or the next one starts within it.
+    along = Window.partitionBy("device_id").orderBy("assign_date", "assignment_id")
+    reach, following = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lead("assign_date").over(along)
+    clash = F.coalesce(reach > c("assign_date"), F.lit(False)) | F.coalesce(following < c("_end"), F.lit(False))
+    clashing = spans.filter((c("assign_date") < c("_end")) & c("device_id").isNotNull()).withColumn("_clash", clash).filter("_clash").select("assignment_id", "_clash").distinct()
+    return changes.join(clashing, "assignment_id", "left").withColumn("accepted", c("_clash").isNull()).drop("_clash")
 
 
 def close_assignments(assignments: DataFrame, closures: DataFrame) -> DataFrame:
