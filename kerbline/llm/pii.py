@@ -7,7 +7,7 @@ likelihood of a small labelled table of token runs and decoded by Viterbi for ma
 around tokens with a digit or "@" are decoded: no token without either begins or continues a labelled span in training,
 so the others are O. A decoded span joins the result when it touches no pattern span.
 
-The labelled table is made here from `sample_runs` runs (the smallest hashes of their documents) labelled by the
+The labelled table is made here from `sample_runs` runs of about `sample_docs` documents (the smallest hashes) labelled by the
 patterns, and such runs again with phone numbers without their country code; `train` takes any such table. All documents are scanned whole, where they are read.
 
 Defined results. Null and empty texts have no spans. Repeated rows are scanned alike. Without any labelled run the field
@@ -246,7 +246,7 @@ def without_country(tokens: list[str], labels: list[str]) -> tuple[list[str], li
     return None if len(out) == len(tokens) else ([t for t, _ in out], [x for _, x in out])
 
 
-def labelled_table(docs: DataFrame, sample_runs: int = 1500, longest: int = 40) -> list[tuple[list[str], list[str]]]:
+def labelled_table(docs: DataFrame, sample_runs: int = 1500, sample_docs: int = 60_000, longest: int = 40) -> list[tuple[list[str], list[str]]]:
     """A bounded table of token runs labelled by the patterns; half of it at least holds a pattern where there are enough."""
     batches(docs.sparkSession)
 
@@ -266,8 +266,10 @@ def labelled_table(docs: DataFrame, sample_runs: int = 1500, longest: int = 40)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())))], names=["place", "k", "hit", "tokens", "labels"])
 
-    # Training sample only: documents by the order of a hash, at most 20 runs of each.
-    telling = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    # Training sample only: about `sample_docs` documents by a hash, at most 20 runs of each, so the driver sees a bounded table.
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    telling = picked.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("place"), "text")
     labelled = telling.mapInArrow(label, "place long, k int, hit boolean, tokens array<string>, labels array<string>")
     halves = [labelled.where(F.col("hit") == hit).orderBy("place", "k").limit(sample_runs // 2).collect() for hit in (True, False)]
     return [(r.tokens, r.labels) for half in halves for r in half]
