@@ -32,6 +32,7 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_DOTTED = re.compile(r"[0-9]\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
@@ -76,15 +77,13 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     out = []
     if "@" in text:
         out += [(a, 0, b) for a, b in emails(text)]
-    digits = "." in text and _CARD.search(text)
-    if digits or _CARD.search(text):
-        if digits:
-            out += [(a, 1, b) for a, b in addresses(text)]
-        for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 12:
-                number = re.sub(r"[ -]", "", m.group())
-                if 12 <= len(number) <= 19 and luhn(number):
-                    out.append((m.start(), 2, m.end()))
+    if "." in text and _DOTTED.search(text):
+        out += [(a, 1, b) for a, b in addresses(text)]
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 12:
+            number = re.sub(r"[ -]", "", m.group())
+            if 12 <= len(number) <= 19 and luhn(number):
+                out.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 9 <= sum("0" <= c <= "9" for c in m.group()) <= 15:

@@ -183,6 +183,12 @@ def test_patterns_equal_the_plain_expressions():
     assert pii.base_spans("a" * 300_000 + "@") == [] and pii.base_spans("1" * 300_000 + " .") == []
 
 
+def test_addresses_of_single_digits_are_found():
+    for text in ("8.8.8.8", "dns 8.8.8.8 ok", "1.1.1.1", "1.1.1.1.8.8.8.8", "1.2.3", "a 1.2.3.4, b", "9.9.9.9@", "1 .2.3.4"):
+        assert pii.base_spans(text) == pii_expected(text), text
+    assert pii.base_spans("dns 8.8.8.8 ok") == [(4, "ip", 11)]
+
+
 def test_pii_report_and_field(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     model = pii.train(pii.labelled_table(docs))
