@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.llm import fingerprints, jaccard, lm_scoring, packing, sharding
 from kerbline.llm.common import hash_blank_separated, word_hashes, words
@@ -64,6 +65,28 @@ def test_lm_filter_read_back_and_both_ways_alike(small):
     assert abs(lm_scoring.distinct_pairs(sorted(map(int, random * np.uint64(2)))[:lm_scoring.SKETCH]) / 20_000 - 1) < 0.15
 
 
+@pytest.mark.parametrize("copies", [1, 20])
+def test_lm_filter_is_sized_by_the_levels_of_the_corpus(spark, copies):
+    random = np.random.default_rng(2)
+    texts = [(i, " ".join(f"w{k}" for k in random.integers(0, 3000, 600))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").crossJoin(spark.range(copies).select()).repartition(4)
+    model = lm_scoring.train(docs)
+    bits = np.concatenate([np.frombuffer(r.bits, np.uint8) for r in model.table.collect()])
+    assert len(bits) == model.segments * lm_scoring.SEGMENT_BYTES
+    # 1 - exp(-6 / 12) = 0.39 of all bits when every entry has its 12.
+    assert np.unpackbits(bits).mean() < 0.43
+    unseen = random.integers(0, 1 << 63, 50_000, dtype=np.uint64)
+    stored = np.zeros(model.segments * lm_scoring.SEGMENT_BYTES, np.uint8)
+    for r in model.table.collect():
+        stored[r.segment * lm_scoring.SEGMENT_BYTES:(r.segment + 1) * lm_scoring.SEGMENT_BYTES] = np.frombuffer(r.bits, np.uint8)
+    assert (lm_scoring.read_levels(stored, model.segments, unseen) > 0).mean() < 0.01
+    # The sketch holds whole counts: its pairs have those of all pairs counted.
+    counted = lambda of_pairs, kind: {r.hash: r.c for r in lm_scoring.ngram_counts(docs, of_pairs, stretch=50_000).where(f"kind = {kind}").groupBy("hash").agg(F.sum("c").alias("c")).collect()}
+    every, sketch = counted(True, 1), counted(False, 2)
+    smallest = sorted(sketch, key=lambda h: h % (1 << 64))[:lm_scoring.SKETCH]
+    assert smallest == sorted(every, key=lambda h: h % (1 << 64))[:lm_scoring.SKETCH] and all(sketch[h] == every[h] for h in smallest)
+
+
 def shingle_sets(rows):
     out = []
     for i, t in rows:
