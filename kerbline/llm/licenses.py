@@ -1,7 +1,8 @@
 """License scans: ordered signature rules with a keyword prefilter, priorities and suppression of contained spans.
 
-A rule is a regular expression over the words of a text (lower-case, joined by single blanks), with a label, a priority
-and a keyword that must stand in the text before the expression is tried at all. All detections are sorted by priority,
+A rule is a regular expression over the words of a text (lower-case, joined by single blanks), with a label, a priority,
+a keyword that must stand in the text and names of which one must, before the expression is tried at all. Every match
+holds the keyword and one of the names, so the gate refuses none. All detections are sorted by priority,
 then length, then start; a detection whose span lies within an accepted one of the same or a higher priority is
 suppressed. The rest gives labels and a score: the strongest rule's weight, lifted by further evidence.
 
@@ -26,50 +27,50 @@ from kerbline.llm.common import batches, words
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Licence families: label, the names people write (expressions over words), the keyword every name holds.
+# Licence families: label, the names people write (expressions over words), texts of which every such name holds one.
 FAMILIES = [
-    ("agpl", r"(?:gnu )?affero general public licen[sc]e|agpl(?:v?3)?", "a"),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl(?:v?[23])?", "l"),
-    ("gpl", r"gnu general public licen[sc]e|gnu gpl|gpl(?:v?[23])?", "g"),
-    ("gfdl", r"gnu free documentation licen[sc]e|gfdl", "g"),
-    ("apache", r"apache(?: software)? licen[sc]e|apache 2(?: 0)?|asl 2(?: 0)?", "a"),
-    ("mit", r"(?:the )?mit licen[sc]e|expat licen[sc]e|mit x11 licen[sc]e", "licen"),
-    ("bsd-2-clause", r"(?:simplified|freebsd|2 clause|two clause) bsd licen[sc]e|bsd 2 clause", "bsd"),
-    ("bsd-3-clause", r"(?:new|modified|revised|3 clause|three clause) bsd licen[sc]e|bsd 3 clause", "bsd"),
-    ("bsd", r"bsd licen[sc]e|bsd style licen[sc]e", "bsd"),
-    ("mpl", r"mozilla public licen[sc]e|mpl 2 0", "m"),
-    ("epl", r"eclipse public licen[sc]e|epl 2 0", "e"),
-    ("cddl", r"common development and distribution licen[sc]e|cddl", "cddl"),
-    ("cpl", r"common public licen[sc]e", "licen"),
-    ("eupl", r"european union public licen[sc]e|eupl", "eu"),
-    ("isc", r"isc licen[sc]e", "isc"),
-    ("zlib", r"zlib licen[sc]e|zlib libpng licen[sc]e", "zlib"),
-    ("boost", r"boost software licen[sc]e|bsl 1 0", "b"),
-    ("artistic", r"artistic licen[sc]e", "artistic"),
-    ("python", r"python software foundation licen[sc]e|psf licen[sc]e", "p"),
-    ("php", r"php licen[sc]e", "php"),
-    ("postgresql", r"postgresql licen[sc]e", "postgresql"),
-    ("openssl", r"openssl licen[sc]e", "openssl"),
-    ("unlicense", r"the unlicense|unlicense", "unlicense"),
-    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "w"),
-    ("ofl", r"sil open font licen[sc]e|open font licen[sc]e", "font"),
-    ("odbl", r"open database licen[sc]e|odbl", "o"),
-    ("openrail", r"openrail m?|responsible ai licen[sc]e", "rai"),
-    ("cc0", r"cc0|cc zero|creative commons zero", "cc"),
-    ("cc-by-nc-nd", r"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s", "c"),
-    ("cc-by-nc-sa", r"cc by nc sa|creative commons attribution non ?commercial share ?alike", "c"),
-    ("cc-by-nd", r"cc by nd|creative commons attribution no ?deriv(?:ative)?s", "c"),
-    ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial", "c"),
-    ("cc-by-sa", r"cc by sa|creative commons attribution share ?alike", "c"),
-    ("cc-by", r"cc by|creative commons attribution", "c"),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain|public domain dedication", "public domain"),
-    ("proprietary", r"all rights reserved|proprietary and confidential", "r"),
+    ("agpl", r"(?:gnu )?affero general public licen[sc]e|agpl(?:v?3)?", ("affero", "agpl")),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl(?:v?[23])?", ("general public", "lgpl")),
+    ("gpl", r"gnu general public licen[sc]e|gnu gpl|gpl(?:v?[23])?", ("general public", "gpl")),
+    ("gfdl", r"gnu free documentation licen[sc]e|gfdl", ("free documentation", "gfdl")),
+    ("apache", r"apache(?: software)? licen[sc]e|apache 2(?: 0)?|asl 2(?: 0)?", ("apache", "asl 2")),
+    ("mit", r"(?:the )?mit licen[sc]e|expat licen[sc]e|mit x11 licen[sc]e", ("mit", "expat")),
+    ("bsd-2-clause", r"(?:simplified|freebsd|2 clause|two clause) bsd licen[sc]e|bsd 2 clause", ("bsd",)),
+    ("bsd-3-clause", r"(?:new|modified|revised|3 clause|three clause) bsd licen[sc]e|bsd 3 clause", ("bsd",)),
+    ("bsd", r"bsd licen[sc]e|bsd style licen[sc]e", ("bsd",)),
+    ("mpl", r"mozilla public licen[sc]e|mpl 2 0", ("mozilla public", "mpl 2")),
+    ("epl", r"eclipse public licen[sc]e|epl 2 0", ("eclipse public", "epl 2")),
+    ("cddl", r"common development and distribution licen[sc]e|cddl", ("common development", "cddl")),
+    ("cpl", r"common public licen[sc]e", ("common public",)),
+    ("eupl", r"european union public licen[sc]e|eupl", ("european union", "eupl")),
+    ("isc", r"isc licen[sc]e", ("isc",)),
+    ("zlib", r"zlib licen[sc]e|zlib libpng licen[sc]e", ("zlib",)),
+    ("boost", r"boost software licen[sc]e|bsl 1 0", ("boost software", "bsl 1")),
+    ("artistic", r"artistic licen[sc]e", ("artistic",)),
+    ("python", r"python software foundation licen[sc]e|psf licen[sc]e", ("python software", "psf")),
+    ("php", r"php licen[sc]e", ("php",)),
+    ("postgresql", r"postgresql licen[sc]e", ("postgresql",)),
+    ("openssl", r"openssl licen[sc]e", ("openssl",)),
+    ("unlicense", r"the unlicense|unlicense", ("unlicense",)),
+    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", ("wtfpl", "do what the")),
+    ("ofl", r"sil open font licen[sc]e|open font licen[sc]e", ("font",)),
+    ("odbl", r"open database licen[sc]e|odbl", ("open database", "odbl")),
+    ("openrail", r"openrail m?|responsible ai licen[sc]e", ("openrail", "responsible ai")),
+    ("cc0", r"cc0|cc zero|creative commons zero", ("cc0", "cc zero", "creative commons zero")),
+    ("cc-by-nc-nd", r"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s", ("cc by", "creative commons")),
+    ("cc-by-nc-sa", r"cc by nc sa|creative commons attribution non ?commercial share ?alike", ("cc by", "creative commons")),
+    ("cc-by-nd", r"cc by nd|creative commons attribution no ?deriv(?:ative)?s", ("cc by", "creative commons")),
+    ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial", ("cc by", "creative commons")),
+    ("cc-by-sa", r"cc by sa|creative commons attribution share ?alike", ("cc by", "creative commons")),
+    ("cc-by", r"cc by|creative commons attribution", ("cc by", "creative commons")),
+    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain|public domain dedication", ("public domain",)),
+    ("proprietary", r"all rights reserved|proprietary and confidential", ("rights reserved", "proprietary and")),
 ]
-# Ways to state a licence around its name: expression, keyword, priority, weight.
+# Ways to state a licence around its name: expression, keyword (besides the name), priority, weight.
 FRAMES = [
     (r"spdx licen[sc]e identifier {name}", "spdx", 1, 1.0),
     (r"(?:licen[sc]ed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:{name})", "under", 2, 0.95),
-    (r"(?:{name}) (?:version|v) ?[0-9]+(?: [0-9]+)*", "licen", 3, 0.9),
+    (r"(?:{name}) (?:version|v) ?[0-9]+(?: [0-9]+)*", "", 3, 0.9),
     (r"see (?:the )?(?:{name})(?: for details| for more details)?", "see", 3, 0.8),
     (r"under (?:the )?(?:conditions of )?(?:the )?(?:{name})", "under", 4, 0.8),
     (r"(?:{name})", "", 5, 0.7),
@@ -100,15 +101,16 @@ class Rule:
     keyword: str
     priority: int
     weight: float
+    names: tuple[str, ...] = ("",)
 
 
 def build_rules() -> list[Rule]:
     """All signatures, and every way to state a licence for every family: some two hundred rules in priority order."""
     rules = [Rule(re.compile(rf"(?<![^ ]){p}(?![^ ])"), label, key, priority, weight) for p, label, key, priority, weight in SIGNATURES]
-    for label, name, key in FAMILIES:
+    for label, name, names in FAMILIES:
         for frame, frame_key, priority, weight in FRAMES:
             pattern = frame.replace("{name}", f"(?:{name})" if "spdx" in frame else name)
-            rules.append(Rule(re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), label, frame_key or key, priority, weight))
+            rules.append(Rule(re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), label, frame_key, priority, weight, names))
     return sorted(rules, key=lambda r: (r.priority, r.label, r.pattern.pattern))
 
 
@@ -118,16 +120,20 @@ ANY_KEYWORD = ("licen", "gpl", "gfdl", "apache 2", "asl 2", "bsd 2", "bsd 3", "m
                "redistribution and", "neither the name", "free software", "in compliance with", "source code form", "plainly marked", "unencumbered")
 
 
-def detections(joined: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """Accepted spans (characters of the joined words) with their rules."""
-    if not any(k in joined for k in ANY_KEYWORD):
+def detections(joined: str, rules: list[Rule], gated: bool = True) -> list[tuple[int, int, Rule]]:
+    """Accepted spans (characters of the joined words) with their rules; the gate only saves time."""
+    if gated and not any(k in joined for k in ANY_KEYWORD):
         return []
     has: dict[str, bool] = {}
+
+    def holds(key: str) -> bool:
+        if key not in has:
+            has[key] = key in joined
+        return has[key]
+
     found = []
     for rule in rules:
-        if rule.keyword not in has:
-            has[rule.keyword] = rule.keyword in joined
-        if has[rule.keyword]:
+        if not gated or holds(rule.keyword) and any(map(holds, rule.names)):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
     found.sort(key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].label))
     accepted: list[tuple[int, int, Rule]] = []

@@ -122,6 +122,51 @@ def test_license_rules_priorities_and_containment():
         assert not rule.pattern.search(sample) or any(k in sample for k in licenses.ANY_KEYWORD)
 
 
+def alternatives(parsed):
+    """A text for every way through an expression: all branches, optional parts with and without, repeats once or twice."""
+    texts = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(a[0] if str(o) == "RANGE" else a) for o, a in arg]
+        elif op == "ANY":
+            more = ["x"]
+        elif op == "BRANCH":
+            more = [t for branch in arg[1] for t in alternatives(branch)]
+        elif op == "SUBPATTERN":
+            more = alternatives(arg[-1])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * k for k in sorted({arg[0], min(arg[1], arg[0] + 1)}) for t in alternatives(arg[2])]
+        else:
+            assert op == "ASSERT_NOT", op
+            more = [""]
+        texts = [a + b for a in texts for b in dict.fromkeys(more)]
+    return texts
+
+
+def test_the_license_gate_refuses_no_alternative_of_any_rule():
+    rules = licenses.build_rules()
+    for rule in rules:
+        for text in dict.fromkeys(alternatives(re._parser.parse(rule.pattern.pattern))):
+            assert rule.pattern.search(text), (rule.pattern.pattern, text)
+            assert any(k in text for k in licenses.ANY_KEYWORD), text
+            assert rule.keyword in text and any(n in text for n in rule.names), (rule, text)
+    names = [t for _, name, _ in licenses.FAMILIES for t in alternatives(re._parser.parse(name))]
+    signatures = [t for p, *_ in licenses.SIGNATURES for t in alternatives(re._parser.parse(p))]
+    for text in [*names, *(f"{t} version 3" for t in names), *signatures]:
+        found = licenses.detections(text, rules)
+        assert found and found == licenses.detections(text, rules, gated=False), text
+
+
+def test_license_names_without_the_word_license_are_found():
+    rules = licenses.build_rules()
+    said = {t: [(r.label, r.priority) for _, _, r in licenses.detections(t, rules)] for t in (
+        "this is creative commons zero", "a responsible ai licence", "a common development and distribution license", "gpl version 3", "lgpl v2", "cddl version 1")}
+    assert list(said.values()) == [[("cc0", 5)], [("openrail", 5)], [("cddl", 5)], [("gpl", 3)], [("lgpl", 3)], [("cddl", 3)]]
+
+
 SECRET = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 
 
