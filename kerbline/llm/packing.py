@@ -14,11 +14,13 @@ executor cannot shift an offset.
 Ids are those of the `tokenizers` file; they are made with `tiktoken` from the same vocabulary, which gives equal ids
 several times faster. A text is cut before every space that follows a visible character. No token of this vocabulary
 spans such a place, so each piece is encoded once per worker and remembered.
+Added tokens of the file ("<|endoftext|>") that stand in a text are one id each and cut it, as the file's tokenizer does.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,23 +41,32 @@ _SPLIT = re.compile(r"(?<=\S) ")
 
 
 class PieceEncoder:
-    """Token ids of a text as little-endian unsigned 16-bit numbers."""
+    """Token ids of a text as little-endian unsigned 16-bit numbers. Without `added` tokens all of it is plain text."""
 
-    def __init__(self, vocabulary: str, remembered: int = 400_000):
+    def __init__(self, vocabulary: str, remembered: int = 400_000, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        if max(ranks.values()) >= 1 << 16:
+        added = added or {}
+        if max([*ranks.values(), *added.values()]) >= 1 << 16:
             raise ValueError("ids above 65535 do not fit")
         self._ids = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._most, self._memo = remembered, {}
+        self._added = {t: np.array([i], "<u2").tobytes() for t, i in added.items()}
+        self._cut = re.compile(f"({'|'.join(re.escape(t) for t in sorted(added, key=len, reverse=True))})")
 
     def _bytes(self, piece: str) -> bytes:
         return np.array(self._ids(piece), "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            # Every second part is an added token; the parts between are texts of their own.
+            return b"".join(self._added[part] if i % 2 else self._plain(part) for i, part in enumerate(self._cut.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         pieces = _SPLIT.split(text) if _AFTER_WHITE.search(text) else text.split(" ")
@@ -91,13 +102,28 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Token ids with the end id, per document, in the written table that fixes the order."""
+def default_added() -> dict[str, int]:
+    """Added tokens of the default vocabulary's `tokenizers` file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that are not plain texts")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def tokenise(docs: DataFrame, vocabulary: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
+    """Token ids with the end id, per document, in the written table that fixes the order.
+
+    A vocabulary of one's own comes with its own added tokens.
+    """
     batches(docs.sparkSession)
+    added = default_added() if vocabulary is None and added is None else added
     vocabulary = vocabulary or default_vocabulary()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = PieceEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, at = PieceEncoder(vocabulary, added=added), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u2").tobytes()
         for batch in parts:
             rows = []
@@ -136,6 +162,6 @@ def concatenate_and_cut(tokens: DataFrame, window: int = 1024, keep_ids: bool =
     return placed.mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, window: int = 1024, keep_ids: bool = True, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, keep_ids: bool = True, vocabulary: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise, concatenate and cut."""
-    return concatenate_and_cut(tokenise(docs, vocabulary), window, keep_ids)
+    return concatenate_and_cut(tokenise(docs, vocabulary, added), window, keep_ids)

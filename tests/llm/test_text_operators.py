@@ -184,6 +184,19 @@ def test_pieces_give_the_ids_of_the_tokenizer():
         assert np.frombuffer(encode(text), "<u2").tolist() == ids, repr(text)
 
 
+def test_added_tokens_in_a_text_are_those_of_the_tokenizer_at_its_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f" {end}  x", f"a{end}b", f"{end} a  {end}\n c ", f"<|endoftext| {end}|>", f"a {end[:-1]} b", "a  b", "", f"é {end} 雪 don't"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {p.doc_id: np.frombuffer(p.ids, "<u2").tolist() for p in pieces} == {i: ids + [packing.END_ID] for i, ids in enumerate(want)}
+    assert all(p.ids_crc32 == zlib.crc32(np.array([*want[p.doc_id], packing.END_ID], "<u4").tobytes()) for p in pieces)
+
+
 def test_packing_is_an_exact_round_trip(small, odd, none):
     for docs in (small.select("doc_id", "text"), odd):
         pieces = packing.pack(docs).collect()
