@@ -4,8 +4,8 @@ passages go, secrets are blotted out, and what is left is packed into token sequ
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`. `run`
 writes every stage's rows to the shared folder and reads them back for the next one.
 
-A null doc_id is an id of its own kind and takes part like any other. Rows that repeat a doc_id with the same text are
-copies, and one stays. Null texts count as empty and stay null until they are packed.
+A null doc_id is an id of its own kind and takes part like any other. Near duplicates are told apart by row, not by id:
+rows that repeat a doc_id, or have none, stay or go by their own texts, and one row of each class stays. Null texts count as empty and stay null until they are packed.
 """
 
 from __future__ import annotations
@@ -28,12 +28,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of documents connected by similarity 0.8 or more."""
-    kept = jaccard.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kerbline_times"))
-    kept = scratch(kept.withColumnRenamed("doc_id", "_kerbline_kept"), "kept")
-    marked = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kerbline_kept"]))
-    # Only ids that came more than once need a look at their texts.
-    repeated = marked.where("_kerbline_times > 1").dropDuplicates(["doc_id", "text"])
+    """One row of each class of documents connected by similarity 0.8 or more: that of the smallest doc_id, null last."""
+    rows = jaccard.classes(docs).groupBy("class_node", "doc_id", "node").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "node", "times")).alias("first")
+    kept = rows.groupBy("class_node").agg(first).select(
+        F.col("first.doc_id").alias("_kerbline_kept"), F.col("first.node").alias("_kerbline_kept_node"), F.col("first.times").alias("_kerbline_times"))
+    kept = scratch(kept, "kept")
+    with_node = jaccard.with_nodes(docs, "_kerbline_node")
+    marked = with_node.join(kept, with_node["doc_id"].eqNullSafe(kept["_kerbline_kept"]) & (with_node["_kerbline_node"] == kept["_kerbline_kept_node"]))
+    # Rows of one id and one set of n-grams are copies, of which one stays.
+    repeated = marked.where("_kerbline_times > 1").dropDuplicates(["doc_id", "_kerbline_node"])
     return _own(marked.where("_kerbline_times = 1").unionByName(repeated), docs)
 
 

@@ -85,6 +85,19 @@ def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
     return scratch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, SIGNED), "signatures")
 
 
+def with_nodes(docs: DataFrame, name: str, n: int = WORDS) -> DataFrame:
+    """All columns and the node of each row's text."""
+    batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            nodes = [digest(shingles(text, n)) for text in part.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary())], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 JOB = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()),
     T.StructField("block", T.IntegerType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("signature", T.BinaryType()),
@@ -157,6 +170,11 @@ def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = 200) -> DataFrame:
     """doc_id, class_id (smallest doc_id of all documents connected by links), n_links (documents of similarity >= threshold)."""
+    return classes(docs, n, threshold, recall, rows, block).select("doc_id", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = 200) -> DataFrame:
+    """The columns of `join`, node, and class_node: one node of the class, which tells classes apart whatever their ids."""
     spark = docs.sparkSession
     bands = plan_bands(threshold, recall, rows)
     # Agreement of bands * rows hashes is within 0.25 of the similarity but once in far more than 10**9 pairs.
@@ -235,7 +253,7 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     first = labels.join(nodes.select("node", "first_doc"), "node").groupBy("label").agg(F.min("first_doc").alias("class_id"))
-    linked = labels.join(first, "label").join(counted, "node").select("node", "class_id", "links")
+    linked = labels.join(first, "label").join(counted, "node").select("node", "label", "class_id", "links")
     of_nodes = nodes.select("node", "n", "first_doc").join(linked, "node", "left").select(
-        "node", F.coalesce("class_id", "first_doc").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "node").join(of_nodes, "node").select("doc_id", "class_id", "n_links")
+        "node", F.coalesce("label", "node").alias("class_node"), F.coalesce("class_id", "first_doc").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "node").join(of_nodes, "node").select("doc_id", "node", "class_node", "class_id", "n_links")

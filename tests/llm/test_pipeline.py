@@ -43,6 +43,20 @@ def test_one_document_of_each_group_stays(spark, small, odd):
         assert sorted(map(str, first.values())) == sorted(str(r.doc_id) for r in got.collect())
 
 
+def test_rows_that_share_an_id_stay_or_go_by_their_own_texts(spark):
+    random = np.random.default_rng(6)
+    a, b, c, d = ([f"w{k}" for k in random.integers(0, 5000, 60)] for _ in range(4))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    a, b, c, d, near_a, near_b = *(" ".join(t) for t in (a, b, c, d)), near(a), near(b)
+    rows = [(1, a), (None, near_a), (None, d),  # a near copy without an id goes, another row without an id stays
+            (2, b), (7, near_b), (7, c),  # one text of id 7 goes, the other stays
+            (8, "some words, that differ in punctuation only here"), (8, "Some words that differ in punctuation only: here!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in STAGES["near_duplicates"](spark, docs, SF).collect()]
+    assert len(got) == 5 and {t for i, t in got if i != 8} == {a, b, c, d}
+    assert sorted(str(i) for i, _ in got) == ["1", "2", "7", "8", "None"]
+
+
 def test_filters_keep_clean_documents(spark, small, odd):
     bench = [WORD.findall(low(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     grams = {tuple(b[k:k + 10]) for b in bench for k in range(len(b) - 9)}
