@@ -47,6 +47,16 @@ def test_lm_base_scores_equal_brute_force(small, odd, head_words):
         assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lm_base_scores_hold_when_no_head_fits(spark):
+    docs = spark.createDataFrame([(1, "often " * 100_500 + "once"), (2, "often once never")], "doc_id long, text string")
+    model = lm_scoring.train(docs.where("doc_id = 1"))
+    train = {"often": 100_500, "once": 1, None: 1}
+    n, v = sum(train.values()), len(train)
+    got = {r.doc_id: r for r in lm_scoring.score(docs, model, head_words=0).collect()}[2]
+    want = sum(math.log10((train.get(w, 0) + 1) / (n + v + 1)) for w in ("often", "once", "never", None))
+    assert got.n_known == 3 and math.isclose(got.base_score, want, abs_tol=1e-6)
+
+
 def test_lm_filter_read_back_and_both_ways_alike(small):
     docs = small.select("doc_id", "text")
     model = lm_scoring.train(docs.where(~lm_scoring.held_out()))
