@@ -1,11 +1,11 @@
-"""Queries op1 to op10, the corpus pipeline, and their DuckDB text where SQL can express them."""
+"""Queries op1 to op11 and their DuckDB text where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, packing, pii, secrets, sharding, toxicity
+from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, merkle, packing, pii, secrets, sharding, toxicity
 from kerbline.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(docs, pii.train(pii.labelled_table(docs))))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(merkle.prove(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op11_merkle": op11_merkle,
 }
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -84,4 +89,41 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)""",
+    "op11_merkle": """
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, text,
+                   list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS f,
+                   xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(unicode(ch) AS BIGINT))),
+                       lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+            FROM documents),
+        e AS (SELECT rid, doc_id, source, sha256(array_to_string(f, '')) AS leaf,
+                     CASE WHEN crc % 2 = 0 AND text IS NOT NULL THEN sha256(array_to_string(f[1:4], '') || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''))
+                          ELSE sha256(array_to_string(f, '')) END AS broken FROM d),
+        p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM e),
+        trees AS (
+            SELECT k, 0 AS level, list(leaf ORDER BY pos) AS h FROM p GROUP BY k
+            UNION ALL
+            SELECT k, level + 1, list_transform(range((len(h) + 2) // 3), lambda i: sha256(array_to_string(h[3 * i + 1:3 * i + 3], ''))) FROM trees WHERE len(h) > 1),
+        subroots AS (SELECT k, h[1] AS subroot FROM trees WHERE len(h) = 1),
+        top AS (
+            SELECT 0 AS level, list(subroot ORDER BY k) AS h FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range((len(h) + 2) // 3), lambda i: sha256(array_to_string(h[3 * i + 1:3 * i + 3], ''))) FROM top WHERE len(h) > 1),
+        climb AS (
+            SELECT rid, k, pos, 0 AS level, broken AS folded, '' AS proof FROM p
+            UNION ALL
+            SELECT rid, c.k, c.pos // 3, c.level + 1,
+                   sha256(array_to_string(h[c.pos - c.pos % 3 + 1:c.pos], '') || folded || array_to_string(h[c.pos + 2:c.pos - c.pos % 3 + 3], '')),
+                   proof || array_to_string(h[c.pos - c.pos % 3 + 1:c.pos], '') || array_to_string(h[c.pos + 2:c.pos - c.pos % 3 + 3], '')
+            FROM climb c JOIN trees t ON t.k = c.k AND t.level = c.level WHERE len(h) > 1),
+        over AS (
+            SELECT rid, k AS pos, 0 AS level, folded, proof FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS last FROM climb) WHERE last = 1
+            UNION ALL
+            SELECT rid, c.pos // 3, c.level + 1,
+                   sha256(array_to_string(h[c.pos - c.pos % 3 + 1:c.pos], '') || folded || array_to_string(h[c.pos + 2:c.pos - c.pos % 3 + 3], '')),
+                   proof || array_to_string(h[c.pos - c.pos % 3 + 1:c.pos], '') || array_to_string(h[c.pos + 2:c.pos - c.pos % 3 + 3], '')
+            FROM over c JOIN top t ON t.level = c.level WHERE len(h) > 1),
+        done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS last FROM over) WHERE last = 1)
+        SELECT doc_id, leaf, subroot, h[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h[1] AS verified
+        FROM p JOIN subroots USING (k) JOIN done USING (rid) JOIN top ON len(h) = 1""",
 }
