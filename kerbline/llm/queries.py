@@ -1,11 +1,11 @@
-"""Queries op1 to op11 and their DuckDB text where SQL can express them."""
+"""Queries op1 to op13 and their DuckDB text where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, merkle, packing, pii, secrets, sharding, toxicity
+from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, merkle, packing, periodicity, pii, secrets, sharding, toxicity
 from kerbline.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(merkle.prove(table(spark, sf_dir, "documents")))
 
 
+def op13_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodicity.report(periodicity.find(docs, plant=True, keep_text=False))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -71,6 +76,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
     "op11_merkle": op11_merkle,
+    "op13_periodicity": op13_periodicity,
 }
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
