@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, merkle, packing, periodicity, pii, secrets, sharding, toxicity
+from kerbline.llm import decontamination, fingerprints, jaccard, licenses, lm_scoring, merkle, packing, periodicity, pii, secrets, sharding, suffix_dedup, toxicity
 from kerbline.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(merkle.prove(table(spark, sf_dir, "documents")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.find(table(spark, sf_dir, "documents")))
+
+
 def op13_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodicity.report(periodicity.find(docs, plant=True, keep_text=False))
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
     "op11_merkle": op11_merkle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodicity": op13_periodicity,
 }
 
@@ -132,4 +137,17 @@ ORACLES = {
         done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS last FROM over) WHERE last = 1)
         SELECT doc_id, leaf, subroot, h[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h[1] AS verified
         FROM p JOIN subroots USING (k) JOIN done USING (rid) JOIN top ON len(h) = 1""",
+    "op12_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT rid, o, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT rid, o, h, unnest(range(len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+        hits AS (SELECT rid, i FROM (SELECT rid, i, o, min(o) OVER (PARTITION BY s) AS first FROM w) WHERE first < o),
+        parts AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS part
+                  FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hits)),
+        spans AS (SELECT rid, part, min(i) AS a, max(i) + 50 AS b FROM parts GROUP BY rid, part),
+        cuts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans),
+        kept AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS after, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k
+                 FROM cuts JOIN d USING (rid) GROUP BY rid)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(after, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (rid)""",
 }
