@@ -7,13 +7,14 @@ put together, digests as hex text.
 Building. Texts are read once and leave as two digests. Leaves are numbered by a range shuffle and prefix sums over
 (partition, source), so that no source is ordered in one task. Then storeys are built: one storey is `STOREY` levels,
 so at most 3 ** STOREY neighbours and all their ancestors up to one node are hashed in one group. A node row holds its
-digest, the siblings it meets on the way through its storey, and the link to its parent in the next storey; the top
-storey of a source's tree links to the source's place in the top tree. Each storey is a written table.
+digest, the siblings it meets on the way through its storey, and the link to its parent in the next storey; the way of a
+source's last storey goes on through the first storey of the top tree. Leaves lie in the rows of their runs: the up to
+three leaves under one parent, which share the way from there. Each storey is a written table.
 
-Climbing. A Spark recursive query starts with every leaf's own row and follows one parent link a step, appending siblings
-and folding the tampered digest, until a row has no parent: 3 or 4 steps where single levels would need 20. A node under
-which many leaves lie has one copy for each `LOT` of them, and a leaf asks for the copy its hash names, so that no join
-key gathers more than about LOT rows.
+Climbing. A Spark recursive query starts with every leaf, folds its tampered digest along its row's way and follows one
+parent link a step, appending siblings and folding each leaf on, until a row has no parent: 2 to 4 steps where single
+levels would need 20. A node under which many leaves lie has one copy for each `LOT` of them, and a row asks for the copy
+its hash names, so that no join key gathers more than about LOT leaves.
 
 Defined results. Null doc_ids come first within a source; ties in doc_id go by leaf digest (equal leaves may change
 places, which changes no value). The null source is a source of its own, the first. Rows without a doc_id are not
@@ -39,13 +40,16 @@ LOT = 100_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = 0
 
+_PATH = T.ArrayType(T.StructType([T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]))
+_MEMBERS = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("tampered", T.BinaryType())]))
 NODES = T.StructType([
-    T.StructField("tree", T.LongType()), T.StructField("storey", T.IntegerType()), T.StructField("pos", T.LongType()),
-    T.StructField("digest", T.BinaryType()),
+    T.StructField("tree", T.LongType()), T.StructField("storey", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("n", T.LongType()),
+    # The leaves of a run, in order; null above them.
+    T.StructField("members", _MEMBERS),
     # The siblings met on the way up through the storey, level by level; empty at levels where a node has none.
-    T.StructField("path", T.ArrayType(T.StructType([T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]))),
+    T.StructField("path", _PATH),
     # The digest the way ends with, and how many leaves lie beneath that node.
-    T.StructField("up", T.BinaryType()), T.StructField("up_weight", T.LongType()), T.StructField("id", T.LongType()), T.StructField("tampered", T.BinaryType()),
+    T.StructField("up", T.BinaryType()), T.StructField("up_weight", T.LongType()),
 ])
 
 
@@ -73,21 +77,25 @@ def leaves(docs: DataFrame) -> DataFrame:
                        leaf_digest(list(fields.values())).alias("digest"), F.when(broken, changed).alias("tampered"))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with `pos`, their number from 0 within the keys, and a table of the keys with their count `n`.
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaves with `pos`, their number from 0 within their source; and (tree_key, place, n) of the sources, by rank.
 
-    Rows are dealt by ranges of (keys, order) and counted within partitions; the counts before a partition are added.
-    The count tables have one row per key and partition that meet.
+    Leaves are dealt by ranges of (source, doc_id, digest) and counted within partitions; the counts before a partition
+    are added. The count tables have one row per source and partition that meet, and the one ordered sum over all of a
+    table is over partitions.
     """
-    spread = rows.withColumn("_row", F.monotonically_increasing_id())
-    at = scratch(spread.repartitionByRange(*keys, *order, "_row").sortWithinPartitions(*keys, *order, "_row").drop("_row")
-                 .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), name)
-    extents = at.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_part") if keys else W.orderBy("_part")
-    starts = extents.withColumn("_base", F.coalesce(F.sum("_n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("a._part") == F.col("s._part"))
-    placed = at.alias("a").join(starts.alias("s"), same).select(*[f"a.{c}" for c in rows.columns], (F.col("_at") - F.col("_first") + F.col("_base")).alias("pos"))
-    return placed, extents.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    order = ["tree_key", "id", "digest", "_row"]
+    spread = scratch(rows.withColumn("_row", F.monotonically_increasing_id()), "merkle-digests")
+    at = scratch(spread.repartitionByRange(*order).sortWithinPartitions(*order).drop("_row").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "merkle-leaves")
+    extents = at.groupBy("tree_key", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("tree_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = extents.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = at.alias("a").join(starts.alias("s"), (F.col("a._part") == F.col("s._part")) & F.col("a.tree_key").eqNullSafe(F.col("s.tree_key")))
+    placed = placed.select(*[f"a.{c}" for c in rows.columns], (F.col("_at") - F.col("_first") + F.col("_base")).alias("pos"))
+    # Sources that begin in a partition are ranked there; the sources of earlier partitions come before them.
+    sources = extents.groupBy("tree_key").agg(F.min("_part").alias("_part"), F.sum("_n").alias("n")).withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy("tree_key")))
+    begun = sources.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return placed, sources.join(begun, "_part").select("tree_key", (F.col("_base") + F.col("_rank") - 1).alias("place"), "n")
 
 
 def hexed(parts: list[bytes]) -> bytes:
@@ -108,114 +116,135 @@ def climb_block(block: list[bytes], levels: int) -> tuple[list[list[tuple[bytes,
     return paths, rows[0]
 
 
-def storey_of(nodes: DataFrame, storey: int, height: int = STOREY) -> DataFrame:
-    """Node rows of one storey, from (tree, n, pos, digest, weight, id, tampered); `n` is the tree's number of leaves.
+def _levels(n: int, storey: int, height: int) -> int:
+    """How many levels a tree of n leaves has in a storey."""
+    levels = 0
+    while levels < height and RUN ** (storey * height + levels) < n:
+        levels += 1
+    return levels
+
+
+def leaf_storey(leaf_rows: DataFrame, height: int) -> DataFrame:
+    """The lowest storey, one row for each run of leaves, from (tree, n, pos, id, digest, tampered)."""
+    def build(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("pos")
+        n = int(block["n"].iloc[0])
+        levels, digests = _levels(n, 0, height), list(block["digest"])
+        members = [{"id": None if pd.isna(i) else int(i), "digest": d, "tampered": t} for i, d, t in zip(block["id"], digests, block["tampered"])]
+        runs = [members[i:i + RUN] for i in range(0, len(members), RUN)]
+        paths, up = climb_block([hexed(digests[i:i + RUN]) for i in range(0, len(digests), RUN)] if levels else digests, max(0, levels - 1))
+        return pd.DataFrame({
+            "tree": block["tree"].iloc[0], "storey": 0, "pos": [int(p) // RUN for p in block["pos"].iloc[::RUN]], "n": n, "members": runs,
+            "path": [[{"before": a, "after": b} for a, b in path] for path in paths], "up": up, "up_weight": len(members),
+        })
+
+    # Strings keep large ids exact beside nulls.
+    return leaf_rows.withColumn("id", F.col("id").cast("string")).withColumn("_block", F.floor(F.col("pos") / RUN ** height)).groupBy("tree", "_block").applyInPandas(build, NODES)
+
+
+def storey_of(nodes: DataFrame, storey: int, height: int) -> DataFrame:
+    """Node rows of a storey above the leaves, from (tree, n, pos, digest, weight); `n` is the tree's number of leaves.
 
     A group is one block of RUN ** height neighbours at most.
     """
-    below, width = storey * height, RUN ** height
-
     def build(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("pos")
-        n, levels = int(block["n"].iloc[0]), 0
-        while levels < height and RUN ** (below + levels) < n:
-            levels += 1
-        paths, up = climb_block(list(block["digest"]), levels)
+        n = int(block["n"].iloc[0])
+        paths, up = climb_block(list(block["digest"]), _levels(n, storey, height))
         return pd.DataFrame({
-            "tree": block["tree"], "storey": storey, "pos": block["pos"], "digest": block["digest"],
+            "tree": block["tree"], "storey": storey, "pos": block["pos"], "n": n, "members": None,
             "path": [[{"before": a, "after": b} for a, b in path] for path in paths], "up": [up] * len(block), "up_weight": int(block["weight"].sum()),
-            "id": block["id"].astype("Int64"), "tampered": block["tampered"],
         })
 
-    return nodes.withColumn("_block", F.floor(F.col("pos") / width)).groupBy("tree", "_block").applyInPandas(build, NODES)
+    return nodes.withColumn("_block", F.floor(F.col("pos") / RUN ** height)).groupBy("tree", "_block").applyInPandas(build, NODES)
+
+
+def _above(storey: DataFrame, i: int, height: int, of_runs: bool) -> DataFrame:
+    """The nodes a storey ends with: (tree, n, pos, digest, weight)."""
+    width = RUN ** (height - 1 if of_runs else height)
+    return storey.groupBy("tree", F.floor(F.col("pos") / width).alias("pos")).agg(F.first("n").alias("n"), F.first("up").alias("digest"), F.first("up_weight").alias("weight"))
 
 
-def grow(nodes: DataFrame, most: int, height: int = STOREY, name: str = "nodes") -> list[DataFrame]:
-    """The written storeys of all trees of `nodes`, lowest first; `most` leaves in the largest tree."""
-    storeys, width = [], RUN ** height
-    sizes = nodes.select("tree", "n").distinct()
-    while True:
-        built = scratch(storey_of(nodes, len(storeys), height), name)
-        storeys.append(built)
-        if most <= RUN ** (height * len(storeys)):
-            return storeys
-        above = built.groupBy("tree", F.floor(F.col("pos") / width).alias("pos")).agg(F.first("up").alias("digest"), F.first("up_weight").alias("weight"))
-        # Trees that end with this storey have no more of them.
-        more = sizes.where(F.col("n") > RUN ** (height * len(storeys)))
-        nodes = above.join(more, "tree").withColumns({"id": F.lit(None).cast("long"), "tampered": F.lit(None).cast("binary")})
+def _grown(storeys: list[DataFrame], most: int, height: int, of_runs: bool, name: str) -> list[DataFrame]:
+    """Storeys upon the first one until the largest tree, of `most` leaves, has its root."""
+    while most > RUN ** (height * len(storeys)):
+        i = len(storeys)
+        nodes = _above(storeys[-1], i - 1, height, of_runs and i == 1).where(F.col("n") > RUN ** (height * i))
+        storeys.append(scratch(storey_of(nodes, i, height), name))
+    return storeys
 
 
 def manifest(docs: DataFrame, height: int = STOREY, lot: int = LOT) -> tuple[DataFrame, DataFrame] | None:
-    """The leaves' node rows and all other node rows, both with parent links, or None for an empty table.
+    """The rows of leaf runs and all other node rows, both with parent links, or None for an empty table.
 
-    A link is (to_tree, to_storey, to_pos, to_lots); to_tree is null at the root. `ends` marks the last node of a
-    source's tree, `lot` tells the copies of a node apart.
+    A link is (to_tree, to_storey, to_pos, to_lots); to_tree is null where the way ends at the root. `subroot` is set
+    in the last storey of a source's tree, `lot` tells the copies of a node apart.
     """
     batches(docs.sparkSession, 10_000)
-    placed, sizes = numbered(leaves(docs), ["tree_key"], ["id", "digest"], "merkle-leaves")
-    ranked, total = numbered(scratch(sizes, "merkle-sources"), [], ["tree_key"], "merkle-ranks")
-    ranked = scratch(ranked.select(F.col("pos").alias("place"), "tree_key", "n"), "merkle-trees")
-    largest, trees = ranked.agg(F.max("n"), F.count(F.lit(1))).first()
+    placed, sources = numbered(leaves(docs))
+    sources = scratch(sources, "merkle-sources")
+    largest, trees = sources.agg(F.max("n"), F.count(F.lit(1))).first()
     if not trees:
         return None
-    one = F.lit(1).cast("long")
     # One row per source: Spark broadcasts the sources where they are few and splits a hot one where they are not.
-    known = placed.join(ranked, placed["tree_key"].eqNullSafe(ranked["tree_key"]))
-    low = grow(known.select((F.col("place") + 1).alias("tree"), "n", "pos", "digest", one.alias("weight"), "id", "tampered"), int(largest), height, "merkle-storey")
-    tops = [s.where(F.col("pos") == 0).select("tree", F.lit(i).alias("last"), F.col("up").alias("digest"), F.col("up_weight").alias("weight")) for i, s in enumerate(low)]
-    # The last storey of each tree holds its root; `weight` there is the whole tree.
-    roots = scratch(reduce(DataFrame.unionByName, tops).groupBy("tree").agg(F.max_by(F.struct("digest", "weight"), "last").alias("root")), "merkle-roots")
-    up = roots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(int(trees)).cast("long").alias("n"), (F.col("tree") - 1).alias("pos"), "root.digest", "root.weight",
-                      F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("tampered"))
-    high = grow(up, int(trees), height, "merkle-top")
-
-    width, lots = RUN ** height, F.ceil(F.col("up_weight") / lot).cast("long")
-    sizes_of = roots.select("tree", F.col("root.weight").alias("n"))
-
-    def linked(s: DataFrame, i: int, top: bool) -> DataFrame:
-        if top:
-            ends, s = F.lit(i == len(high) - 1), s.withColumn("n", F.lit(int(trees)))
-        else:
-            s = s.join(sizes_of, "tree")
-            ends = F.col("n") <= RUN ** (height * (i + 1))
-        to_top = F.lit(not top)
-        return s.select(
-            "tree", "storey", "pos", "digest", "path", "up", "up_weight", "id", "tampered", (ends & to_top).alias("ends"),
-            F.when(~ends, F.col("tree")).when(to_top, F.lit(TOP)).cast("long").alias("to_tree"), F.when(~ends, F.col("storey") + 1).otherwise(0).alias("to_storey"),
-            F.when(~ends, F.floor(F.col("pos") / width)).otherwise(F.col("tree") - 1).alias("to_pos"), lots.alias("to_lots"))
-
-    others = [linked(s, i, False) for i, s in enumerate(low) if i] + [linked(s, i, True) for i, s in enumerate(high)]
-    others = reduce(DataFrame.unionByName, others)
-    # As many copies of a node as a link to it may name: it has the weight that the way into it ends with.
-    weighed = others.join(_weights(low, high, width), ["tree", "storey", "pos"]).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("weight") / lot).cast("long") - 1)))
-    return linked(low[0], 0, False), scratch(weighed.drop("weight"), "merkle-nodes")
-
-
-def _weights(low: list[DataFrame], high: list[DataFrame], width: int) -> DataFrame:
-    """(tree, storey, pos, weight) of every node above the leaves: the leaves beneath it."""
-    parts = []
-    for storeys in (low, high):
-        for i, s in enumerate(storeys[:-1]):
-            parts.append(s.groupBy("tree", F.floor(F.col("pos") / width).alias("pos")).agg(F.first("up_weight").alias("weight")).withColumn("storey", F.lit(i + 1)))
-    tops = reduce(DataFrame.unionByName, [s.where("pos = 0").select("tree", "storey", "up_weight") for s in low])
-    parts.append(tops.groupBy("tree").agg(F.max_by("up_weight", "storey").alias("weight")).select(F.lit(TOP).cast("long").alias("tree"), (F.col("tree") - 1).alias("pos"), "weight", F.lit(0).alias("storey")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-CLIMB = """
-    WITH RECURSIVE climb(id, leaf, lot_hash, folded, proof, up, subroot, to_tree, to_storey, to_pos, to_lots) AS (
-        SELECT id, digest, pmod(xxhash64(id, digest), 1000003), {fold_leaf}, {path_bytes},
-               up, CASE WHEN ends THEN up END, to_tree, to_storey, to_pos, to_lots
-        FROM {leaves}
+    known = placed.alias("l").join(sources.alias("s"), F.col("l.tree_key").eqNullSafe(F.col("s.tree_key")))
+    known = known.select((F.col("place") + 1).alias("tree"), "n", "pos", "id", "digest", "tampered")
+    low = _grown([scratch(leaf_storey(known, height), "merkle-storey")], int(largest), height, True, "merkle-storey")
+
+    # The one node above a tree's last storey is its root.
+    tops = [s.where((F.col("pos") == 0) & (F.col("n") <= RUN ** (height * (i + 1)))).select("tree", F.col("up").alias("digest"), F.col("n").alias("weight")) for i, s in enumerate(low)]
+    roots = reduce(DataFrame.unionByName, tops).select(F.lit(TOP).cast("long").alias("tree"), F.lit(int(trees)).cast("long").alias("n"), (F.col("tree") - 1).alias("pos"), "digest", "weight")
+    high = _grown([scratch(storey_of(roots, 0, height), "merkle-top")], int(trees), height, False, "merkle-top")
+
+    def on(i: int, last: bool, of_runs: bool) -> list[Column]:
+        """The link from a row of storey i to the next one of its tree, none from the last."""
+        width = RUN ** (height - 1 if of_runs else height)
+        to = [F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("long")] if last else [F.col("tree"), F.lit(i + 1), F.floor(F.col("pos") / width)]
+        return [c.alias(name) for c, name in zip([*to, F.ceil(F.col("up_weight") / lot).cast("long")], ("to_tree", "to_storey", "to_pos", "to_lots"))]
+
+    first_top = high[0].select((F.col("pos") + 1).alias("_of"), F.col("path").alias("_on"), F.col("up").alias("_root"), *on(0, len(high) == 1, False))
+    shown = ["tree", "storey", "pos", "n", "members", "path", "up", "subroot", "to_tree", "to_storey", "to_pos", "to_lots"]
+
+    def linked(s: DataFrame, i: int) -> DataFrame:
+        ends = F.col("n") <= RUN ** (height * (i + 1))
+        inner = s.where(~ends).select("*", F.lit(None).cast("binary").alias("subroot"), *on(i, False, i == 0)).select(shown)
+        # Trees that end here have at most one block of rows each, so no key of this join is hot.
+        last = s.where(ends).withColumn("subroot", F.col("up")).join(first_top, F.col("tree") == F.col("_of")).withColumn("path", F.concat("path", "_on")).withColumn("up", F.col("_root")).select(shown)
+        return inner.unionByName(last)
+
+    above = [linked(s, i) for i, s in enumerate(low) if i]
+    above += [s.select("*", F.lit(None).cast("binary").alias("subroot"), *on(i, i == len(high) - 1, False)).select(shown) for i, s in enumerate(high) if i]
+    if not above:
+        return linked(low[0], 0), linked(low[0], 0).where(F.lit(False)).withColumn("lot", F.lit(0).cast("long"))
+    # As many copies of a node as links to it may name: it has the weight that the ways into it end with.
+    weights = [_above(s, i, height, group is low and i == 0).select("tree", F.lit(i + 1).alias("storey"), "pos", "weight") for group in (low, high) for i, s in enumerate(group[:-1])]
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("weight") / lot).cast("long") - 1))
+    nodes = reduce(DataFrame.unionByName, above).join(reduce(DataFrame.unionByName, weights), ["tree", "storey", "pos"]).withColumn("lot", copies).drop("weight")
+    return linked(low[0], 0), scratch(nodes, "merkle-nodes")
+
+
+# One member's start: its run's digest with the tampered leaf in its place, or the lone leaf of a tree without levels.
+_OTHERS = "aggregate(filter(transform(members, (o, j) -> IF({keep}, o.digest, NULL)), x -> x IS NOT NULL), CAST('' AS BINARY), (p, x) -> concat(p, x))"
+_START = f"""IF(n = 1, coalesce(m.tampered, m.digest),
+    unhex(sha2(lower(hex(concat({_OTHERS.format(keep='j < i')}, coalesce(m.tampered, m.digest), {_OTHERS.format(keep='j > i')}))), 256)))"""
+_FOLD = "aggregate({path}, {start}, (h, s) -> unhex(sha2(lower(hex(concat(s.before, h, s.after))), 256)))"
+_BYTES = "aggregate({path}, CAST('' AS BINARY), (p, s) -> concat(p, s.before, s.after))"
+CLIMB = f"""
+    WITH RECURSIVE climb(tree, pos, lot_hash, members, proof, up, subroot, to_tree, to_storey, to_pos, to_lots) AS (
+        SELECT tree, pos, pmod(xxhash64(tree, pos), 1000003),
+               transform(members, (m, i) -> named_struct('id', m.id, 'digest', m.digest, 'folded', {_FOLD.format(path='path', start=_START)})),
+               {_BYTES.format(path='path')}, up, subroot, to_tree, to_storey, to_pos, to_lots
+        FROM {{leaves}}
         UNION ALL
-        SELECT c.id, c.leaf, c.lot_hash, {fold_node}, concat(c.proof, {node_bytes}),
-               n.up, CASE WHEN n.ends THEN n.up ELSE c.subroot END, n.to_tree, n.to_storey, n.to_pos, n.to_lots
-        FROM climb c JOIN {nodes} n ON n.tree = c.to_tree AND n.storey = c.to_storey AND n.pos = c.to_pos AND n.lot = c.lot_hash % c.to_lots
+        SELECT c.tree, c.pos, c.lot_hash,
+               transform(c.members, m -> named_struct('id', m.id, 'digest', m.digest, 'folded', {_FOLD.format(path='n.path', start='m.folded')})),
+               concat(c.proof, {_BYTES.format(path='n.path')}), n.up, coalesce(c.subroot, n.subroot), n.to_tree, n.to_storey, n.to_pos, n.to_lots
+        FROM climb c JOIN {{nodes}} n ON n.tree = c.to_tree AND n.storey = c.to_storey AND n.pos = c.to_pos AND n.lot = c.lot_hash % c.to_lots
     )
-    SELECT id, leaf, subroot, up AS root, proof, folded FROM climb WHERE to_tree IS NULL
+    SELECT member.id, member.digest AS leaf, subroot, up AS root, concat(near, proof) AS proof, member.folded
+    FROM (SELECT subroot, up, proof, inline(transform(members, (m, i) -> struct(m AS member,
+              concat({_OTHERS.format(keep='j < i')}, {_OTHERS.format(keep='j > i')}) AS near))) FROM climb WHERE to_tree IS NULL)
 """
-_FOLD = "aggregate({path}, {start}, (h, s) -> unhex(sha2(lower(hex(concat(s.before, h, s.after))), 256)))"
-_BYTES = "aggregate({path}, CAST('' AS BINARY), (p, s) -> concat(p, s.before, s.after))"
 
 
 def climb(leaf_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
@@ -226,11 +255,7 @@ def climb(leaf_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     names = {"leaves": "kerbline_merkle_leaves", "nodes": "kerbline_merkle_nodes"}
     leaf_rows.createOrReplaceTempView(names["leaves"])
     node_rows.createOrReplaceTempView(names["nodes"])
-    parts = {
-        "fold_leaf": _FOLD.format(path="path", start="coalesce(tampered, digest)"), "path_bytes": _BYTES.format(path="path"),
-        "fold_node": _FOLD.format(path="n.path", start="c.folded"), "node_bytes": _BYTES.format(path="n.path"),
-    }
-    return spark.sql(CLIMB.format(**names, **parts))
+    return spark.sql(CLIMB.format(**names))
 
 
 EMPTY = "doc_id long, leaf string, subroot string, root string, proof string, folded_root string, verified boolean"
