@@ -21,7 +21,8 @@ compared byte by byte, in groups of one gram.
 Skew. A chunk of texts sends each distinct entry once, with its smallest doc_id, so copies never meet in one task. A gram
 with more than `HOT` occurrences is not one group: each window at it is an entry of its own and goes by its own bytes.
 
-Texts are written once, compressed, in chunks of 4 MB; marks and answers, a few bytes for an entry, are joined to them.
+Texts are written once, compressed, in chunks of 4 MB; marks, occurrences and answers, a few bytes for an entry, are
+written and joined to them.
 
 Defined results. A null text is empty. Null doc_ids count as smaller than all others and equal to each other. Rows that
 share a doc_id do not count as copies of each other. Texts of fewer than 50 bytes stay whole. An empty table gives no
@@ -31,11 +32,10 @@ rows. Extra columns stay out.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from kerbline.llm.common import batches, mixed, scratch, text_bytes
 
 MATCH, GRAM = 50, 20
-CHUNK_BYTES, SLICE_BYTES = 4_000_000, 1_000_000
+CHUNK_BYTES, SLICE_BYTES = 4_000_000, 64_000
 HOT = 20_000
 LOWEST = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
@@ -57,8 +57,10 @@ _CHUNK_ROWS = 4
 CHUNKS = "chunk long, batch int, ids binary, nulls binary, lengths binary, size long, texts binary"
 KEYS = "bucket int, chunk long, grams binary, multiple binary, often binary"
 MARKS = "chunk long, bucket int, known binary, hot binary"
-ENTRIES = "bucket int, chunk long, level int, n int, size long, entries binary, docs binary"
+SENT = "batch int, bucket int, chunk long, n int, size long, entries binary, docs binary"
 FOUND = "level_row boolean, bucket int, chunk long, n int, size long, entries binary, firsts binary, varied binary"
+# The bucket of rows that hold a chunk's occurrences instead of entries.
+PLACES = -1
 OUT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
@@ -157,7 +159,7 @@ class Chunk:
     """A chunk's texts and its anchors, found slice by slice so that only few bytes are hashed at once."""
 
     def __init__(self, row: dict, buckets: int, slice_bytes: int = SLICE_BYTES):
-        self.ids, self.nulls, self.lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["lengths"], np.int64)
+        self.ids, self.lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int64)
         self.texts = _unpacked(row["texts"], row["size"])
         self.ends = np.cumsum(self.lengths)
         data, found, begin = np.frombuffer(self.texts, np.uint8), [], 0
@@ -238,9 +240,11 @@ def repeated_grams(counts: DataFrame, hot: int) -> DataFrame:
     return counts.groupBy("bucket").applyInPandas(find, MARKS)
 
 
-def _entries(chunk: Chunk, marks: list, arrays: int) -> tuple[dict[int, list], list[tuple]]:
-    """A chunk's distinct (suffix, bytes before it) per array, sorted, with their smallest doc_id; and every occurrence
-    as (array, number, first window, last window, doc_id)."""
+def _occurrences(chunk: Chunk, marks: list, arrays: int) -> tuple[np.ndarray, ...]:
+    """(array, first window, last window, suffix begin, doc_id) of every anchor of a chunk whose gram is marked.
+
+    A hot gram's windows are occurrences of their own, which begin where the window does.
+    """
     distinct, number, _, _ = chunk.grams()
     known, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     places = dict(_by_bucket(distinct))
@@ -248,52 +252,57 @@ def _entries(chunk: Chunk, marks: list, arrays: int) -> tuple[dict[int, list], l
         part = places[mark["bucket"]]
         known[part] = np.unpackbits(np.frombuffer(mark["known"], np.uint8), count=part.stop - part.start).astype(bool)
         hot[np.frombuffer(mark["hot"], np.int64) + part.start] = True
-    texts, found, seen = chunk.texts, {}, []
-    chosen = np.flatnonzero(known[number])
-    busy, array_of = hot[number[chosen]], (chunk.gram[chosen] % 1_000_003 % arrays).tolist()
-    for array, is_hot, at, lo, hi, doc in zip(array_of, busy.tolist(), chunk.at[chosen].tolist(), chunk.lo[chosen].tolist(), chunk.hi[chosen].tolist(), chunk.doc[chosen].tolist()):
-        if is_hot:
-            places_of = [(zlib.crc32(texts[w:w + MATCH]) % arrays, (texts[w:w + MATCH], b""), w, w) for w in range(lo, hi + 1)]
-        else:
-            places_of = ((array, (texts[at:hi + MATCH], texts[lo:at]), lo, hi),)
-        for to, entry, low, high in places_of:
-            own = found.setdefault(to, {})
-            if own.get(entry, doc) >= doc:
-                own[entry] = doc
-            seen.append((to, entry, low, high, doc))
-    ordered = {to: sorted(own.items()) for to, own in found.items()}
-    numbers = {to: {entry: i for i, (entry, _) in enumerate(own)} for to, own in ordered.items()}
-    return ordered, [(to, numbers[to][entry], low, high, doc) for to, entry, low, high, doc in seen]
-
-
-def _coded(entries: list[tuple[bytes, bytes]]) -> tuple[int, bytes]:
-    sizes = np.array([[len(a) for a, _ in entries], [len(b) for _, b in entries]], np.uint8)
-    data = sizes.tobytes() + b"".join(a + b for a, b in entries)
+    chosen, busy = np.flatnonzero((known & ~hot)[number]), np.flatnonzero(hot[number])
+    width = chunk.hi[busy] - chunk.lo[busy] + 1
+    window = np.repeat(chunk.lo[busy] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+    to = np.array([zlib.crc32(chunk.texts[w:w + MATCH]) % arrays for w in window.tolist()], np.int64)
+    parts = zip((chunk.gram[chosen] % 1_000_003 % arrays, chunk.lo[chosen], chunk.hi[chosen], chunk.at[chosen], chunk.doc[chosen]), (to, window, window, window, np.repeat(chunk.doc[busy], width)))
+    return tuple(np.concatenate(p) for p in parts)
+
+
+def _coded(texts: list[bytes], lefts: list[int]) -> tuple[int, bytes]:
+    """Entries as one block: sizes, bytes before the suffix, texts."""
+    data = bytes(map(len, texts)) + bytes(lefts) + b"".join(texts)
     return len(data), _packed(data)
 
 
 def _decoded(n: int, size: int, data: bytes) -> list[tuple[bytes, bytes]]:
+    """(suffix, bytes before it) of a block's entries, in its order."""
     data = _unpacked(data, size)
-    sizes = np.frombuffer(data[:2 * n], np.uint8).astype(np.int64)
-    cuts = np.cumsum(np.stack([sizes[:n], sizes[n:]], 1).ravel()) + 2 * n
-    cuts = [2 * n, *cuts.tolist()]
-    return [(data[a:b], data[b:c]) for a, b, c in zip(cuts[0::2], cuts[1::2], cuts[2::2])]
+    ends = np.cumsum(np.frombuffer(data[:n], np.uint8).astype(np.int64)) + 2 * n
+    return [(data[a + left:b], data[a:a + left]) for a, left, b in zip([2 * n, *ends.tolist()], data[n:2 * n], ends.tolist())]
 
 
 def batch_arrays(chunks: DataFrame, buckets: int, arrays: int) -> DataFrame:
-    """Sorted entries of each chunk with `marks`, by array."""
-    schema = _arrow(ENTRIES)
+    """Distinct entries of each chunk with `marks`, by array, with their smallest doc_id; and, in one row of bucket
+    `PLACES`, where they occur: array, number of the entry in its row, first and last window."""
+    schema = _arrow(SENT)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, chunk in _chunks_of(parts, buckets):
+            to, lo, hi, at, docs = _occurrences(chunk, row["marks"], arrays)
+            # A text says by itself where its suffix begins, so it names the entry.
+            known, least, lefts, numbers, texts = defaultdict(dict), defaultdict(list), defaultdict(list), [], chunk.texts
+            for array, first, stop, left, doc in zip(to.tolist(), lo.tolist(), (hi + MATCH).tolist(), (at - lo).tolist(), docs.tolist()):
+                text, own = texts[first:stop], known[array]
+                number = own.get(text)
+                if number is None:
+                    own[text] = number = len(own)
+                    least[array].append(doc)
+                    lefts[array].append(left)
+                elif least[array][number] > doc:
+                    least[array][number] = doc
+                numbers.append(number)
             rows = []
-            for to, own in _entries(chunk, row["marks"], arrays)[0].items():
-                size, data = _coded([e for e, _ in own])
-                rows.append((to, row["chunk"], -1, len(own), size, data, np.array([d for _, d in own], np.int64).tobytes()))
+            for array, own in known.items():
+                size, data = _coded(list(own), lefts[array])
+                rows.append((row["batch"], array, row["chunk"], len(own), size, data, np.array(least[array], np.int64).tobytes()))
             if rows:
+                places = np.stack([to, np.array(numbers, np.int64), lo, hi - lo]).astype(np.int32).tobytes()
+                rows.append((row["batch"], PLACES, row["chunk"], len(numbers), len(places), _packed(places), b""))
                 yield _batch(schema, rows)
 
-    return chunks.mapInArrow(run, ENTRIES)
+    return chunks.mapInArrow(run, SENT)
 
 
 def _windows(entry: tuple[bytes, bytes]) -> list[bytes]:
@@ -305,26 +314,35 @@ def merge_scan(new: dict[tuple[bytes, bytes], int], levels: list[list[tuple[byte
     """The batch's sorted array, and for each of its entries the smallest doc_id of each window: one number where all
     windows have the same, else a list. LOWEST stands for a document of the levels."""
     array, firsts = sorted(new), {}
-    tagged = [zip(array, itertools.repeat(True)), *(zip(level, itertools.repeat(False)) for level in levels)]
-    for _, run in itertools.groupby(heapq.merge(*tagged, key=itemgetter(0)), key=lambda tag: tag[0][0][:GRAM]):
-        run = list(run)
-        mine, old = [e for e, is_new in run if is_new], {e for e, is_new in run if not is_new}
-        if not mine:
-            continue
-        if not old and len(mine) == 1:
-            firsts[mine[0]] = new[mine[0]]
-            continue
-        unknown = [e for e in mine if e not in old]
-        least: dict[bytes, int] = {}
-        if unknown:
+    # Runs in order, which the sort merges; suffixes of one gram are neighbours then.
+    scan, old = [*array, *itertools.chain.from_iterable(levels)], set(itertools.chain.from_iterable(levels))
+    if levels:
+        scan.sort()
+    begin, n = 0, len(scan)
+    while begin < n:
+        entry, stop = scan[begin], begin + 1
+        gram = entry[0][:GRAM]
+        while stop < n and scan[stop][0].startswith(gram):
+            stop += 1
+        if stop == begin + 1:
+            if entry in new:
+                firsts[entry] = new[entry]
+        else:
+            run = dict.fromkeys(scan[begin:stop])
+            mine = [e for e in run if e in new]
+            unknown = [e for e in mine if e not in old]
+            least: dict[bytes, int] = {}
+            if unknown:
+                for e in mine:
+                    doc = new[e]
+                    for w in _windows(e):
+                        if least.get(w, doc) >= doc:
+                            least[w] = doc
+                least.update((w, LOWEST) for e in run if e in old for w in _windows(e))
             for e in mine:
-                for w in _windows(e):
-                    if least.get(w, new[e]) >= new[e]:
-                        least[w] = new[e]
-            least.update((w, LOWEST) for e in old for w in _windows(e))
-        for e in mine:
-            own = [LOWEST] if e in old else [least[w] for w in _windows(e)]
-            firsts[e] = own[0] if min(own) == max(own) else own
+                own = [LOWEST] if e in old else [least[w] for w in _windows(e)]
+                firsts[e] = own[0] if min(own) == max(own) else own
+        begin = stop
     return array, firsts
 
 
@@ -344,13 +362,23 @@ def scan_group(rows: pd.DataFrame, merging: frozenset[int]) -> pd.DataFrame:
     array, firsts = merge_scan(new, list(levels.values()))
     bucket, out = rows["bucket"].iloc[0], []
     for chunk, entries in sent:
-        answers = [firsts[e] for e in entries]
-        varied = [x for a in answers if isinstance(a, list) for x in a]
-        one = np.array([[a if isinstance(a, int) else 0, 0 if isinstance(a, int) else len(a)] for a in answers], np.int64)
+        first, sizes, varied = [], [], []
+        for e in entries:
+            answer = firsts[e]
+            if isinstance(answer, int):
+                first.append(answer)
+                sizes.append(0)
+            else:
+                first.append(0)
+                sizes.append(len(answer))
+                varied += answer
+        one = np.array([first, sizes], np.int64)
         out.append((False, bucket, chunk, len(entries), 0, b"", _packed(one.tobytes()), _packed(np.array(varied, np.int64).tobytes())))
-    merged = [e for e, _ in itertools.groupby(heapq.merge(array, *(levels[i] for i in sorted(merging) if i in levels)))]
+    merged = array
+    if any(i in levels for i in merging):
+        merged = [e for e, _ in itertools.groupby(sorted(itertools.chain(array, *(levels[i] for i in merging if i in levels))))]
     if merged:
-        size, data = _coded(merged)
+        size, data = _coded([left + suffix for suffix, left in merged], [len(left) for _, left in merged])
         out.append((True, bucket, -1, len(merged), size, data, b"", b""))
     return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
@@ -378,39 +406,46 @@ class Family:
         return found.where("NOT level_row").select("chunk", "bucket", "n", "firsts", "varied")
 
 
-def _spans(chunk: Chunk, seen: list[tuple], answers: list) -> np.ndarray:
-    """Which bytes of a chunk's texts go."""
-    change = np.zeros(len(chunk.texts) + 1, np.int32)
-    known = {}
-    for a in answers or ():
-        one = np.frombuffer(_unpacked(a["firsts"], 16 * a["n"]), np.int64).reshape(-1, 2)
-        total = int(one[:, 1].sum())
-        known[a["bucket"]] = (one[:, 0], one[:, 1], np.cumsum(one[:, 1]) - one[:, 1], np.frombuffer(_unpacked(a["varied"], 8 * total), np.int64))
-    by_array: dict[int, list] = {}
-    for to, *rest in seen:
-        by_array.setdefault(to, []).append(rest)
-    for to, rows in by_array.items():
-        first, varied, begin, lists = known[to]
-        number, lo, hi, doc = np.array(rows, np.int64).T
-        whole = (varied[number] == 0) & (first[number] < doc)
-        np.add.at(change, lo[whole], 1)
-        np.add.at(change, hi[whole] + MATCH, -1)
-        for i in np.flatnonzero(varied[number]).tolist():
-            k = number[i]
-            hit = lo[i] + np.flatnonzero(lists[begin[k]:begin[k] + varied[k]] < doc[i])
-            np.add.at(change, hit, 1)
-            np.add.at(change, hit + MATCH, -1)
+def _gone(row: dict, n_bytes: int) -> np.ndarray:
+    """Which bytes of a chunk's texts go, from its occurrences and the answers to its entries."""
+    change = np.zeros(n_bytes + 1, np.int32)
+    if row["places"]:
+        to, number, lo, more = np.frombuffer(_unpacked(row["places"], row["places_size"]), np.int32).reshape(4, -1).astype(np.int64)
+        doc = np.frombuffer(row["ids"], np.int64)[np.searchsorted(np.cumsum(np.frombuffer(row["lengths"], np.int64)), lo, "right")]
+        order = np.argsort(to, kind="stable")
+        cuts = dict(zip(*(a.tolist() for a in np.unique(to[order], return_index=True))))
+        ends = dict(zip(cuts, [*list(cuts.values())[1:], len(to)]))
+        for a in row["answers"]:
+            own = order[cuts[a["bucket"]]:ends[a["bucket"]]]
+            first, sizes = np.frombuffer(_unpacked(a["firsts"], 16 * a["n"]), np.int64).reshape(2, -1)
+            lists, begin = np.frombuffer(_unpacked(a["varied"], 8 * int(sizes.sum())), np.int64), np.cumsum(sizes) - sizes
+            which = number[own]
+            whole = own[(sizes[which] == 0) & (first[which] < doc[own])]
+            np.add.at(change, lo[whole], 1)
+            np.add.at(change, lo[whole] + more[whole] + MATCH, -1)
+            # Entries whose windows differ: one comparison for each window of each occurrence.
+            part = own[sizes[which] > 0]
+            width = sizes[number[part]]
+            step = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+            hit = np.flatnonzero(lists[np.repeat(begin[number[part]], width) + step] < np.repeat(doc[part], width))
+            at = (np.repeat(lo[part], width) + step)[hit]
+            np.add.at(change, at, 1)
+            np.add.at(change, at + MATCH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _cleaned(chunk: Chunk, gone: np.ndarray) -> list[tuple]:
-    data, out = np.frombuffer(chunk.texts, np.uint8), []
-    for doc_id, null, n, end in zip(chunk.ids.tolist(), chunk.nulls.tolist(), chunk.lengths.tolist(), chunk.ends.tolist()):
-        own = gone[end - n:end]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        kept = data[end - n:end][~own] if len(edges) else data[end - n:end]
-        spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-        out.append((None if null else doc_id, n, int(own.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+def _cleaned(row: dict) -> list[tuple]:
+    texts, out, end = _unpacked(row["texts"], row["size"]), [], 0
+    data, gone = np.frombuffer(texts, np.uint8), _gone(row, len(texts))
+    for doc_id, null, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), row["nulls"], np.frombuffer(row["lengths"], np.int64).tolist()):
+        begin, end = end, end + n
+        own = gone[begin:end]
+        kept, spans, removed = texts[begin:end], [], 0
+        if own.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).reshape(-1, 2)
+            kept, removed = data[begin:end][~own].tobytes(), int((edges[:, 1] - edges[:, 0]).sum())
+            spans = [{"start": a, "stop": b} for a, b in edges.tolist()]
+        out.append((None if null else doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -425,19 +460,23 @@ def find(docs: DataFrame, n_batches: int = 4, hot: int = HOT, chunk_bytes: int =
     batches(spark, _CHUNK_ROWS)
     marks = scratch(repeated_grams(gram_counts(chunks, buckets), hot), "marks")
     marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "known", "hot")).alias("marks"))
-    marked, family, answers = chunks.join(marks, "chunk", "left"), Family(), None
+    # Each chunk's entries and occurrences, then the batches in order.
+    sent, family, answers = scratch(batch_arrays(chunks.join(marks, "chunk", "left"), buckets, arrays), "entries"), Family(), None
+    entries = sent.where(F.col("bucket") != PLACES)
     for batch in range(len(set(cuts or [])) + 1):
-        found = family.add(batch_arrays(marked.where(F.col("batch") == batch), buckets, arrays))
+        found = family.add(entries.where(F.col("batch") == batch).select("bucket", "chunk", F.lit(-1).alias("level"), "n", "size", "entries", "docs"))
         answers = answers.unionByName(found) if answers else found
     grouped = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "firsts", "varied")).alias("answers"))
+    places = sent.where(F.col("bucket") == PLACES).select("chunk", F.col("entries").alias("places"), F.col("size").alias("places_size"))
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span)), ("kept_sha256", pa.string())])
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, chunk in _chunks_of(parts, buckets):
-            yield _batch(schema, _cleaned(chunk, _spans(chunk, _entries(chunk, row["marks"], arrays)[1], row["answers"])))
+        for part in parts:
+            for row in part.to_pylist():
+                yield _batch(schema, _cleaned(row))
 
-    out = scratch(marked.join(grouped, "chunk", "left").mapInArrow(clean, OUT), "deduplicated")
+    out = scratch(chunks.join(places, "chunk", "left").join(grouped, "chunk", "left").mapInArrow(clean, OUT), "deduplicated")
     batches(spark)
     return out
 
