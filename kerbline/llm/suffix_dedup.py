@@ -77,8 +77,8 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
-def _packed(data: bytes) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True)
+def _packed(data: bytes, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes, size: int) -> bytes:
@@ -98,7 +98,7 @@ def chunked(docs: DataFrame, bounds: list[int], chunk_bytes: int = CHUNK_BYTES)
             ids = np.array([LOWEST if i is None else i for i, _ in members], np.int64)
             nulls, lengths = np.array([i is None for i, _ in members]), np.array([len(t) for _, t in members], np.int64)
             texts = b"".join(t for _, t in members)
-            return first + next(made), batch, ids.tobytes(), nulls.tobytes(), lengths.tobytes(), len(texts), _packed(texts)
+            return first + next(made), batch, ids.tobytes(), nulls.tobytes(), lengths.tobytes(), len(texts), _packed(texts, 6)
 
         sizes = dict.fromkeys(range(len(bounds) + 1), 0)
         for part in parts:
