@@ -9,6 +9,7 @@ from kerbline.checks.tables import Tables
 from kerbline.functions import timeparts as tp
 from kerbline.operators import occupancy as oc
 from kerbline.operators import ordered
+from kerbline.session import written
 from kerbline.streaming import jobs
 
 START, END = "1995-01-01 00:00:00", "2001-12-31 00:00:00"
@@ -91,34 +92,50 @@ def occupancy_checks(t: Tables):
     return oc.occupancy_checks(oc.occupancy_full_rebuild(t.visits))
 
 
-LAST, UNTIL = "2001-03-31 23:59:00", "2001-09-30 11:30:00"
+LAST, BETWEEN, UNTIL = "2001-03-31 23:59:00", "2001-06-14 08:17:00", "2001-09-30 11:30:00"
 
 
-def counted_before(t: Tables):
-    """Visits as a run at LAST knew them: exits after it unknown, late loads missing."""
-    c = F.col
-    last = F.lit(LAST).cast(tp.NTZ)
+def known_at(t: Tables, at: str):
+    """Visits as they were stored at a time: entries loaded by then, exits a month after their load."""
+    c, last = F.col, F.lit(at).cast(tp.NTZ)
     known = t.visits.filter((c("entry_ts") <= last) & (c("load_ts") <= last))
     return known.withColumn("exit_ts", F.when(c("load_ts") + F.expr("interval 30 days") <= last, c("exit_ts")))
 
 
-def changed_since(t: Tables):
-    """Old and new versions of the visits that differ from what was counted."""
-    old = counted_before(t)
-    key = ["visit_id", "garage_id", "customer_type", "entry_ts", "exit_ts"]
-    now = t.visits.select(*key)
-    before = old.select("visit_id", *[F.col(n).alias(f"o_{n}") for n in key[1:]], F.lit(1).alias("seen"))
-    pairs = now.join(before, "visit_id", "left").filter(F.col("seen").isNull() | ~F.col("exit_ts").eqNullSafe(F.col("o_exit_ts")))
-    return pairs.filter("seen = 1").select("visit_id", *[F.col(f"o_{n}").alias(n) for n in key[1:]]), pairs.select(*key)
+def summary_at(t: Tables, ledger):
+    """The stored summary through LAST."""
+    first, last = (tp.minute_index(F.lit(v).cast(tp.NTZ)) for v in (START, LAST))
+    return written(oc.fill_minutes(oc.running_counts(oc.visit_deltas(ledger), t.visits, first, last)), "summary")
 
 
 @query("occupancy_incremental", f"with {_sweep(_stamp(START), _stamp(UNTIL))} {_DAILY} from seg group by 1, 2")
 def occupancy_incremental(t: Tables):
-    first = tp.minute_index(F.lit(START).cast(tp.NTZ))
-    last = tp.minute_index(F.lit(LAST).cast(tp.NTZ))
-    before = oc.fill_minutes(oc.running_counts(oc.visit_deltas(counted_before(t)), t.visits, first, last))
-    step = oc.occupancy_incremental(before, *changed_since(t), LAST, UNTIL)
-    return daily(oc.apply_increment(before, step))
+    ledger = oc.counted_versions(known_at(t, LAST), LAST)
+    before = summary_at(t, ledger)
+    return daily(oc.apply_increment(before, oc.occupancy_incremental(before, t.visits, ledger, LAST, UNTIL)))
+
+
+@query("occupancy_two_increments", f"with {_sweep(_stamp(START), _stamp(UNTIL))} {_DAILY} from seg group by 1, 2")
+def occupancy_two_increments(t: Tables):
+    """The first run's ledger and summary are the second one's input; its range ends in the middle of a day."""
+    ledger = written(oc.counted_versions(known_at(t, LAST), LAST), "ledger")
+    before = summary_at(t, ledger)
+    step = oc.occupancy_incremental(before, known_at(t, BETWEEN), ledger, LAST, BETWEEN)
+    between = written(oc.apply_increment(before, step), "summary")
+    return daily(oc.apply_increment(between, oc.occupancy_incremental(between, t.visits, step.ledger, BETWEEN, UNTIL)))
+
+
+_STATE = """select visit_id, garage_id, customer_type, entry_ts, case when date_trunc('minute', exit_ts + interval '59999999' microsecond) <= timestamp '{0}' then exit_ts end exit_ts
+    from ({1}) x where entry_ts is not null and (exit_ts is null or entry_ts < exit_ts) and date_trunc('minute', entry_ts) <= timestamp '{0}'"""
+_KNOWN = f"""select visit_id, garage_id, customer_type, entry_ts, case when load_ts + interval '30' day <= {_stamp(LAST)} then exit_ts end exit_ts
+    from {{visits}} where entry_ts <= {_stamp(LAST)} and load_ts <= {_stamp(LAST)}"""
+
+
+@query("version_changes", f"""with now as ({_STATE.format(UNTIL, 'select * from {visits}')}), old as ({_STATE.format(LAST, _KNOWN)})
+    select visit_id, garage_id, customer_type, entry_ts, exit_ts, cast(sum(k) as bigint) n from (select *, 1 k from now union all select *, -1 from old) x
+    group by 1, 2, 3, 4, 5 having sum(k) <> 0""")
+def version_changes(t: Tables):
+    return oc.version_changes(oc.counted_versions(t.visits, UNTIL), oc.counted_versions(known_at(t, LAST), LAST))[0]
 
 
 CARRY_START, CARRY_END = "1998-01-01 00:00:00", "2001-12-31 00:00:00"

@@ -12,11 +12,14 @@ A summary has garage_id, date (the minute), transient, permit, employee, total.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions import timeparts as tp
 from kerbline.operators.ordered import ordered_scan
+from kerbline.session import cut_lineage
 
 CUSTOMER_TYPES = ("transient", "permit", "employee")
 MINUTES_PER_DAY = 1440
@@ -145,45 +148,93 @@ def rebuild_checks(visits: DataFrame) -> DataFrame:
     return ids.agg(F.count_if(F.col("n") > 1).alias("duplicate_ids"), F.sum("neg").alias("negative_stays"))
 
 
-def change_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
-    """O3: deltas that turn counts of the old visit versions into counts of the new ones.
+VERSION = ("visit_id", "garage_id", "customer_type", "entry_ts", "exit_ts")
+
+
+class Increment(NamedTuple):
+    """What one incremental run leaves: minute rows to put in, the (garage_id, day) they replace whole, and the ledger.
+
+    `months` are the ledger's months that differ from the last run's; only those need to be rewritten.
+    """
+
+    rows: DataFrame
+    days: DataFrame
+    ledger: DataFrame
+    months: DataFrame
+
+
+def counted_versions(visits: DataFrame, until) -> DataFrame:
+    """O3: the ledger of a summary that ends at the minute `until`: each visit as that summary counts it.
 
-    `old` holds the versions counted before of the visits that changed, `new`
-    their present versions; a visit seen for the first time is only in `new`.
-    Unchanged parts cancel in the sum per minute.
+    A visit that enters later is not in it, and one that leaves later is open.
+    Visits the summary leaves out (see visit_deltas) are not in it either.
+    `month` is that of the entry.
     """
-    both = visit_deltas(new).unionByName(visit_deltas(old, sign=-1))
-    return sum_deltas(both).filter(" or ".join(f"{t} <> 0" for t in CUSTOMER_TYPES))
+    c, end = F.col, _minute(until)
+    left = F.when(tp.minute_index_up(c("exit_ts")) <= end, c("exit_ts"))
+    counts = c("customer_type").isin(*CUSTOMER_TYPES) & c("entry_ts").isNotNull() & (c("exit_ts").isNull() | (c("entry_ts") < c("exit_ts")))
+    rows = visits.filter(counts & (tp.minute_index(c("entry_ts")) <= end))
+    return rows.select(*VERSION[:-1], left.alias("exit_ts"), F.trunc(F.to_date("entry_ts"), "month").alias("month"))
 
 
-def occupancy_incremental(summary: DataFrame, old: DataFrame, new: DataFrame, last_minute: str, until: str) -> DataFrame:
-    """O3: summary rows to replace or add, so that the summary equals a rebuild through `until`.
+def version_changes(now: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """O3: versions that only one of two ledgers has, with `n` (> 0: times only now, < 0: times only before); and their months.
 
-    `summary` ends at `last_minute`. Only days on which a count changes are
-    returned, whole, with the new days after them; write them with
-    replace_range or by day. Cars that stay at `last_minute` carry on.
+    Each month has a digest of its versions: their number and the sums of both
+    halves of their hashes, added up without a shuffle of visits. Only months
+    whose digests differ are compared visit by visit. Vanished visits and
+    repeated ids come out right, as versions are counted, not matched.
+    """
+    both = now.select(*VERSION, "month", F.lit(1).alias("_side")).unionByName(ledger.select(*VERSION, "month", F.lit(-1).alias("_side")))
+    h = F.xxhash64(*VERSION)
+    sums = [F.sum("_side"), F.sum(F.col("_side") * F.shiftright(h, 32)), F.sum(F.col("_side") * h.bitwiseAND(0xFFFFFFFF))]
+    digests = both.groupBy("month").agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
+    months = cut_lineage(digests.filter("_0 <> 0 or _1 <> 0 or _2 <> 0").select("month"))
+    # One row per month of the table's history, so it may be broadcast at any size of the visits.
+    differing = both.join(F.broadcast(months), "month", "left_semi")
+    return differing.groupBy(*VERSION).agg(F.sum("_side").alias("n")).filter("n <> 0"), months
+
+
+def change_deltas(changes: DataFrame) -> DataFrame:
+    """O3: deltas that turn the old versions' counts into the new ones'. Unchanged parts cancel in the sum per minute."""
+    times = F.explode(F.sequence(F.lit(1), F.abs("n").cast("int")))
+    sides = [visit_deltas(changes.filter(f"n {sign} 0").withColumn("_time", times), sign=1 if sign == ">" else -1) for sign in "><"]
+    return sum_deltas(sides[0].unionByName(sides[1])).filter(" or ".join(f"{t} <> 0" for t in CUSTOMER_TYPES))
+
+
+def occupancy_incremental(summary: DataFrame, visits: DataFrame, ledger: DataFrame, last_minute: str, until: str) -> Increment:
+    """O3: what makes a summary that ends at `last_minute` equal a rebuild through `until`.
+
+    `ledger` holds the versions the summary has counted, `visits` the visits as
+    they are now. Whole days are returned: those on which a count changes, that
+    of `last_minute` unless the summary has it whole, and the new ones. Cars
+    that stay at `last_minute` carry on. A garage new to the summary begins on
+    its first changed day.
     """
     c = F.col
-    changes = change_deltas(old, new)
+    now = counted_versions(visits, until)
+    versions, months = version_changes(now, ledger)
+    changes = cut_lineage(change_deltas(versions))
     # The summary's last row per garage is the base of the minutes after it.
-    base = summary.filter(c("date") == _ntz(last_minute)).select("garage_id", *CUSTOMER_TYPES)
+    base = cut_lineage(summary.filter(c("date") == _ntz(last_minute)).select("garage_id", *CUSTOMER_TYPES))
     first = F.least(changes.agg(F.min("minute")).scalar(), _minute(last_minute) + 1)
-    last = _minute(until)
-    shifts = running_counts(changes, base.unionByName(changes.select("garage_id", *CUSTOMER_TYPES)), first, last)
+    shifts = cut_lineage(running_counts(changes, base.unionByName(changes.select("garage_id", *CUSTOMER_TYPES)), first, _minute(until)))
 
     # Minutes the summary has: add the shift wherever a day has one.
     day = F.floor(c("minute") / MINUTES_PER_DAY)
-    moved = shifts.filter(" or ".join(f"{t} <> 0" for t in CUSTOMER_TYPES))
-    touched = moved.select("garage_id", day.alias("_day")).distinct()
-    shift_rows = fill_minutes(shifts.withColumn("_day", day).join(touched, ["garage_id", "_day"], "left_semi"))
-    # Only rows from the first change on are read: a filter that prunes the table's day partitions.
-    since = tp.minute_stamp(first)
-    have = summary.filter((c("date") >= F.date_trunc("day", since).cast(tp.NTZ)) & (c("date") <= _ntz(last_minute))).withColumn("_day", F.floor(_minute(c("date")) / MINUTES_PER_DAY))
-    held = have.join(touched, ["garage_id", "_day"], "left_semi")
-    plus = shift_rows.filter(c("date") <= _ntz(last_minute)).select("garage_id", "date", *[c(t).alias(f"_{t}") for t in CUSTOMER_TYPES])
-    redone = held.join(plus, ["garage_id", "date"], "left").select(
-        "garage_id", "date", *[(c(t) + F.coalesce(c(f"_{t}"), F.lit(0))).alias(t) for t in CUSTOMER_TYPES]
-    )
+    moved = shifts.filter(" or ".join(f"{t} <> 0" for t in CUSTOMER_TYPES)).filter(c("minute") <= _minute(last_minute))
+    last_day = F.floor(_minute(last_minute) / MINUTES_PER_DAY)
+    partial = base.filter(_minute(last_minute) % MINUTES_PER_DAY != MINUTES_PER_DAY - 1).select("garage_id", last_day.alias("_day"))
+    touched = cut_lineage(moved.select("garage_id", day.alias("_day")).unionByName(partial).distinct())
+    # A stretch lies within one day, so the days of a shift are found before its minutes are laid out.
+    shift_rows = fill_minutes(shifts.filter(c("minute") <= _minute(last_minute)).withColumn("until", F.least("until", _minute(last_minute) + 1))
+                              .withColumn("_day", day).join(touched, ["garage_id", "_day"], "left_semi"))
+    # Only rows from the first touched day on are read: a filter that prunes the table's files.
+    since = tp.minute_stamp(touched.agg(F.min("_day")).scalar() * MINUTES_PER_DAY)
+    have = summary.filter((c("date") >= since) & (c("date") <= _ntz(last_minute))).withColumn("_day", F.floor(_minute(c("date")) / MINUTES_PER_DAY))
+    held = have.join(touched, ["garage_id", "_day"], "left_semi").select("garage_id", "date", *CUSTOMER_TYPES)
+    # One sum puts held rows and their shifts together, and keeps shifts of a garage that the summary lacks.
+    redone = held.unionByName(shift_rows.select("garage_id", "date", *CUSTOMER_TYPES)).groupBy("garage_id", "date").agg(*[F.sum(t).alias(t) for t in CUSTOMER_TYPES])
     # Minutes after it: base plus shift.
     ahead = shifts.filter(c("until") > _minute(last_minute) + 1).withColumn("minute", F.greatest(c("minute"), _minute(last_minute) + 1))
     carried = ahead.join(base.select("garage_id", *[c(t).alias(f"_{t}") for t in CUSTOMER_TYPES]), "garage_id", "left").select(
@@ -191,18 +242,16 @@ def occupancy_incremental(summary: DataFrame, old: DataFrame, new: DataFrame, la
     )
     added = fill_minutes(carried).select("garage_id", "date", *CUSTOMER_TYPES)
     total = sum((c(t) for t in CUSTOMER_TYPES[1:]), c(CUSTOMER_TYPES[0]))
-    return tp.calendar_columns(redone.unionByName(added).withColumn("total", total), "date")
-
+    rows = tp.calendar_columns(redone.unionByName(added).withColumn("total", total), "date")
+    days = touched.unionByName(carried.select("garage_id", day.alias("_day"))).distinct().select("garage_id", F.date_from_unix_date(c("_day").cast("int")).alias("date_day"))
+    return Increment(rows, days, now, months)
 
-def apply_increment(summary: DataFrame, increment: DataFrame) -> DataFrame:
-    """O3: the summary with the increment's rows in place of its own, as one DataFrame.
 
-    On a stored summary use replace_range, which rewrites the touched days only.
-    """
-    counts = [*CUSTOMER_TYPES, "total"]
-    versions = [df.select("garage_id", "date", F.struct(*counts).alias("_v"), F.lit(i).alias("_i")) for i, df in enumerate((summary, increment))]
-    newest = versions[0].unionByName(versions[1]).groupBy("garage_id", "date").agg(F.max_by("_v", "_i").alias("_v"))
-    return newest.select("garage_id", "date", "_v.*")
+def apply_increment(summary: DataFrame, increment: Increment) -> DataFrame:
+    """O3: the summary with the increment's days in place of its own; on a stored one VersionedTable.replace does this."""
+    columns = ["garage_id", "date", *CUSTOMER_TYPES, "total"]
+    kept = summary.withColumn("date_day", F.to_date("date")).join(increment.days, ["garage_id", "date_day"], "left_anti")
+    return kept.select(*columns).unionByName(increment.rows.select(*columns))
 
 
 def occupancy_delta_carry(base: DataFrame, visits: DataFrame, start, end) -> DataFrame:

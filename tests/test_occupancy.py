@@ -70,21 +70,35 @@ def test_increment_equals_rebuild(spark, seed):
     cut = dt.datetime(2024, 1, 2, 11, 59)
     known = [v for v in data if v[3] <= cut and rng.random() < 0.8]
     counted = [(*v[:4], v[4] if v[4] and v[4] <= cut and rng.random() < 0.8 else None) for v in known]
-    before = {v[0]: v for v in counted}
-    changed = [v for v in data if before.get(v[0]) != v]
-    old = [before[v[0]] for v in changed if v[0] in before]
     frame = lambda r: spark.createDataFrame(r, SCHEMA)
     everyone = frame(data)
     seen = oc.count_occupancy(frame(counted), START, cut + dt.timedelta(minutes=1)).drop("x")
     garages = everyone.select("garage_id").distinct().count()
     assert seen.select("garage_id").distinct().count() == garages
-    step = oc.occupancy_incremental(seen, frame(old), frame(changed), str(cut), "2024-01-03 23:59:00")
-    got = as_dict(oc.apply_increment(seen, step))
+    ledger = oc.counted_versions(frame(counted), str(cut))
+    between = dt.datetime(2024, 1, 2, 20, 30)
+    middle = frame([v for v in data if v[0] % 3 or v in known])
+    one = oc.occupancy_incremental(seen, middle, ledger, str(cut), str(between))
+    step = oc.occupancy_incremental(oc.apply_increment(seen, one), everyone, one.ledger, str(between), "2024-01-03 23:59:00")
+    got = as_dict(oc.apply_increment(oc.apply_increment(seen, one), step))
     early = [(i, g, k, max(a, START), b) for i, g, k, a, b in data if b is None or b > START]
     want = brute(early, START, END)
     assert {k: v for k, v in got.items() if k[1] >= START} == want
 
 
+def test_versions_are_counted_not_matched(spark):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    old = [(1, 1, "permit", at(1, 8), at(1, 9)), (1, 1, "permit", at(1, 8), at(1, 9)), (2, 1, "permit", at(1, 8), None), (3, 1, "permit", at(1, 7), None)]
+    new = [(1, 1, "permit", at(1, 8), at(1, 9)), (2, 1, "permit", at(1, 8), at(1, 12)), (4, 2, "employee", at(2, 8), at(4, 9)), (5, 2, "other", at(2, 8), None),
+           (6, 2, "permit", at(5, 8), None), (7, 2, "permit", None, at(1, 9))]
+    ledger, now = (oc.counted_versions(spark.createDataFrame(r, SCHEMA), "2024-01-03 00:00:00") for r in (old, new))
+    changes, months = oc.version_changes(now, ledger)
+    assert sorted((r.visit_id, r.exit_ts, r.n) for r in changes.collect() if r.visit_id != 2) == [(1, at(1, 9), -1), (3, None, -1), (4, None, 1)]
+    assert {(r.exit_ts, r.n) for r in changes.collect() if r.visit_id == 2} == {(None, -1), (at(1, 12), 1)}
+    assert [r.month for r in months.collect()] == [dt.date(2024, 1, 1)]
+    assert oc.version_changes(now, now)[0].count() == 0 and oc.version_changes(now, now)[1].count() == 0
+
+
 def test_carry_from_base(spark):
     data = [v for v in history(7) if v[2]]
     mid = dt.datetime(2024, 1, 2)
