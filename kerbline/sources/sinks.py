@@ -1,10 +1,12 @@
-"""Sinks: S20, S21."""
+"""Sinks: S20, and the table S21 works on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.sources.versions import VersionedTable
+
 WRITE_MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
@@ -28,40 +30,10 @@ def with_day(rows: DataFrame) -> DataFrame:
     return rows.withColumn("date_day", F.to_date("date"))
 
 
-def create_summary(rows: DataFrame, table: str) -> None:
-    """Create a minute summary table, partitioned by garage and day.
+def create_summary(rows: DataFrame, path: str) -> VersionedTable:
+    """Create a minute summary, partitioned by garage and day, whose ranges are replaced in one step (S21: versions.replace_range).
 
     Rows of one partition meet in one task, but a large partition is split
     again by the adaptive rebalance.
     """
-    with_day(rows).hint("rebalance", "garage_id", "date_day").write.partitionBy("garage_id", "date_day").saveAsTable(table)
-
-
-def replace_range(rows: DataFrame, table: str, starts: dict[int, str]) -> None:
-    """For each garage, delete the rows from its start time on, then insert its new rows.
-
-    Only touched partitions are rewritten. The day the start falls in keeps its
-    earlier rows; whole later days that have no new rows are dropped.
-    `starts` holds one entry per garage.
-    """
-    spark = rows.sparkSession
-    old = spark.table(table)
-    start = F.coalesce(*[F.when(F.col("garage_id") == g, F.lit(at).cast("timestamp_ntz")) for g, at in starts.items()])
-    day = F.col("date_day")
-    boundary = old.filter((day == F.to_date(start)) & (F.col("date") < start))
-    fresh = with_day(rows).filter(F.col("date") >= start).select(*old.columns)
-    new_days = with_day(rows).filter(F.col("date") >= start).select("garage_id", "date_day").distinct()
-    kept_days = boundary.select("garage_id", "date_day").distinct()
-    # At most one row per garage and calendar day.
-    stale = (
-        old.filter(day >= F.to_date(start)).select("garage_id", "date_day").distinct()
-        .join(new_days, ["garage_id", "date_day"], "left_anti").join(kept_days, ["garage_id", "date_day"], "left_anti").collect()
-    )
-    (
-        boundary.unionByName(fresh).hint("rebalance", "garage_id", "date_day")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    )
-    if stale:
-        parts = ", ".join(f"PARTITION (garage_id = {r.garage_id}, date_day = '{r.date_day}')" for r in stale)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {parts}")
-    spark.catalog.refreshTable(table)
+    return VersionedTable.create(with_day(rows), path, ["garage_id", "date"], ["garage_id", "date_day"])

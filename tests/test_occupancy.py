@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import occupancy as oc
 from kerbline.operators import visits as vs
-from kerbline.sources import sinks
+from kerbline.sources import sinks, versions
 
 START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 4)
 SCHEMA = "visit_id int, garage_id int, customer_type string, entry_ts timestamp_ntz, exit_ts timestamp_ntz"
@@ -112,19 +112,17 @@ def test_carry_from_base(spark):
     assert got == {k: v for k, v in full.items() if k[1] >= mid}
 
 
-def test_replace_range_keeps_other_rows(spark):
+def test_replace_range_keeps_other_rows(spark, tmp_path):
     df = spark.createDataFrame(history(9), SCHEMA)
     first = oc.count_occupancy(df, START, END)
-    spark.sql("drop table if exists minute_summary")
-    sinks.create_summary(first, "minute_summary")
+    table = sinks.create_summary(first, str(tmp_path / "minute_summary"))
     cut = dt.datetime(2024, 1, 2, 6)
     fresh = oc.count_occupancy(df.filter("visit_id % 2 = 0"), START, dt.datetime(2024, 1, 3)).filter("garage_id = 1")
-    sinks.replace_range(fresh, "minute_summary", {1: str(cut)})
-    got = as_dict(spark.table("minute_summary"))
+    versions.replace_range(table, fresh, spark.createDataFrame([(1, cut)], "garage_id int, start timestamp_ntz"))
+    got = as_dict(table.read())
     want = as_dict(first)
     want = {k: v for k, v in want.items() if k[0] != 1 or k[1] < cut} | {k: v for k, v in as_dict(fresh).items() if k[1] >= cut}
     assert got == want
-    spark.sql("drop table minute_summary")
 
 
 def test_stale_visits_add_their_minutes(spark):
