@@ -10,6 +10,7 @@ from kerbline.functions import timeparts as tp
 from kerbline.operators import occupancy as oc
 from kerbline.operators import ordered
 from kerbline.session import written
+from kerbline.sources.versions import replaced
 from kerbline.streaming import jobs
 
 START, END = "1995-01-01 00:00:00", "2001-12-31 00:00:00"
@@ -138,6 +139,19 @@ def version_changes(t: Tables):
     return oc.version_changes(oc.counted_versions(t.visits, UNTIL), oc.counted_versions(known_at(t, LAST), LAST))[0]
 
 
+@query("replace_range", """
+    with s as (select garage_id, date_trunc('day', min(ts)) + interval '251' hour start from {gate} where garage_id <> 3 group by 1)
+    select g.event_id, g.garage_id, g.ts date, cast(g.amount as double) amount from {gate} g left join s on s.garage_id = g.garage_id where s.start is null or g.ts < s.start
+    union all select p.presence_id, p.garage_id, p.entry_ts, cast(p.cost as double) from {presence} p join s on s.garage_id = p.garage_id where p.entry_ts >= s.start""")
+def replace_range(t: Tables):
+    """The pure half of S21: gate events up to each garage's start, presences from then on; garage 3 has no start."""
+    c = F.col
+    old = t.gate.select("event_id", "garage_id", c("ts").alias("date"), c("amount").cast("double").alias("amount"))
+    new = t.presence.select(c("presence_id").alias("event_id"), "garage_id", c("entry_ts").alias("date"), c("cost").cast("double").alias("amount"))
+    starts = old.filter("garage_id <> 3").groupBy("garage_id").agg((F.date_trunc("day", F.min("date")) + F.expr("interval 251 hours")).cast(tp.NTZ).alias("start"))
+    return replaced(old, new, starts)
+
+
 CARRY_START, CARRY_END = "1998-01-01 00:00:00", "2001-12-31 00:00:00"
 
 

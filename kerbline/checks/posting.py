@@ -8,6 +8,7 @@ from kerbline.checks.registry import query
 from kerbline.checks.tables import Tables
 from kerbline.functions import timeparts as tp
 from kerbline.plans import posting as po
+from kerbline.sources.versions import merged
 
 c = F.col
 
@@ -131,6 +132,14 @@ def apply_settlement(t: Tables):
     return done.select("staging_record_id", "staging_table", "settle_date", "settle_amount")
 
 
+@query("settlement_upsert", like="apply_settlement")
+def settlement_upsert(t: Tables):
+    """The fact table with only the settled rows put in by key."""
+    fact = t.fact.withColumn("staging_table", F.when(c("device_id") % 2 == 0, "payments_insider_sales_staging").otherwise("ips_staging"))
+    changes = po.settlement_changes(fact, staged(t, "payments_insider_sales_staging"), payments(t))
+    return merged(fact, changes, ["staging_table", "staging_record_id"]).select("staging_record_id", "staging_table", "settle_date", "settle_amount")
+
+
 @query("mark_processed", f"""with {_resolved('windcave_staging')}, w as ({_STAGED['windcave_staging']}) select w.id, w.processed_to_final or r.id is not null processed_to_final
     from w left join (select distinct id from r where reason is null) r on r.id = w.id""")
 def mark_processed(t: Tables):
@@ -138,6 +147,12 @@ def mark_processed(t: Tables):
     return po.mark_processed(staged(t, "windcave_staging"), fact, "windcave_staging").select("id", "processed_to_final")
 
 
+@query("processed_upsert", like="mark_processed")
+def processed_upsert(t: Tables):
+    staging, fact = staged(t, "windcave_staging"), po.posted(resolved(t, "windcave_staging"))
+    return merged(staging, po.processed_changes(staging, fact, "windcave_staging"), ["id"]).select("id", "processed_to_final")
+
+
 @query("mark_payments_processed", f"""with {_resolved('payments_insider_sales_staging')}, ok as (select distinct x.card_number, x.authorization_code from ({_STAGED['payments_insider_sales_staging']}) x join r on r.id = x.id and r.reason is null)
     select p.payment_id, p.processed_to_final or ok.card_number is not null processed_to_final from pay p left join ok on ok.card_number = p.card_number and ok.authorization_code = p.authorization_code""")
 def mark_payments_processed(t: Tables):
@@ -145,6 +160,24 @@ def mark_payments_processed(t: Tables):
     return po.mark_payments_processed(payments(t), staged(t, table), po.posted(resolved(t, table))).select("payment_id", "processed_to_final")
 
 
+@query("payments_upsert", like="mark_payments_processed")
+def payments_upsert(t: Tables):
+    table = "payments_insider_sales_staging"
+    changes = po.payments_changes(payments(t), staged(t, table), po.posted(resolved(t, table)))
+    return merged(payments(t), changes, ["payment_id"]).select("payment_id", "processed_to_final")
+
+
+@query("post_source", f"""with {_resolved('ips_mobile_staging')} select id, source_file_id, coalesce(reason, 'posted') outcome,
+      case when count(*) filter (reason is not null) over f > 0 and count(*) filter (reason is null) over f > 0 then 'incomplete'
+           when count(*) filter (reason is not null) over f > 0 then 'failed' else 'complete' end status from r window f as (partition by source_file_id)""")
+def post_source(t: Tables):
+    """All outputs of one job over one table: every id with its outcome, and the status of its file."""
+    out = po.post_source("ips_mobile_staging", staged(t, "ips_mobile_staging"), dims(t), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    key = [c("staging_record_id").alias("id"), "source_file_id"]
+    ids = out.posted.select(*key, F.lit("posted").alias("outcome")).unionByName(out.rejected.select(*key, c("reject_reason_code").alias("outcome")))
+    return ids.join(out.log.select("source_file_id", "status"), "source_file_id")
+
+
 @query("etl_run_log", f"""with {_resolved('ips_staging')}, n as (select source_file_id, count(*) p from s group by 1),
       o as (select source_file_id, count(*) filter (reason is null) ok, count(*) filter (reason is not null) bad from r group by 1)
     select 'ips_staging' source_table, n.source_file_id, p records_processed, coalesce(ok, 0) records_created, 0 records_updated, coalesce(bad, 0) records_failed,

@@ -30,14 +30,16 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; `sql` is its DuckDB counterpart, with view names in braces."""
+def query(name: str, sql: str | None = None, *, like: str | None = None):
+    """Register a query; `sql` is its DuckDB counterpart, with view names in braces, or that of the query `like`."""
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = duckdb_sql(sql)
+        elif like is not None:
+            ORACLES[name] = ORACLES[like]
         return fn
     return register
 

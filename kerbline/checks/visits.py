@@ -9,6 +9,7 @@ from kerbline.checks.tables import Tables
 from kerbline.functions import timeparts as tp
 from kerbline.operators import visits as vs
 from kerbline.plans import reports as rp
+from kerbline.sources.versions import merged
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 EMPLOYER = 7
@@ -418,6 +419,14 @@ def apply_visit_updates(t: Tables):
     return done.select(*[c.strip() for c in _KEEP.split(",")])
 
 
+@query("visit_upsert", like="apply_visit_updates")
+def visit_upsert(t: Tables):
+    """The stored visits with only the changed and new ones put in by id."""
+    stored = stored_visits(t)
+    changes = vs.visit_changes(stored, vs.reconcile_visits(new_visits(t), stored), NOW)
+    return merged(stored, changes, ["trip_id"]).select(*[c.strip() for c in _KEEP.split(",")])
+
+
 _UNRECONCILED = f"""{_RECON}, ins as (select case when handler in ('Insert 1', 'Insert 5') then {_trip("(exit_ts - interval '204' minute)")} else trip_id end tid, trip_id, status, handler, exit_ts from r where handler like 'Insert%'),
     ord as (select *, row_number() over (partition by tid order by exit_ts desc nulls last, status desc, trip_id desc) rn from ins),
     un as (select trip_id, status, handler, case when stored_status = 'Complete' then 'stored visit too far away' else 'no rule' end reason from r where handler = 'Report'
@@ -460,6 +469,13 @@ def close_stale_visits(t: Tables):
     return vs.close_stale_visits(stored_visits(t), STALE).select(*[c.strip() for c in _KEEP.split(",")])
 
 
+@query("stale_upsert", like="close_stale_visits")
+def stale_upsert(t: Tables):
+    stored = stored_visits(t)
+    changes, gone = vs.stale_changes(stored, STALE)
+    return merged(stored, changes, ["trip_id"], gone).select(*[c.strip() for c in _KEEP.split(",")])
+
+
 @query("stale_minutes", f"""with sv as ({_visit_sql('stored')}),
     q as (select garage_id, customer_type, entry_ts a, entry_ts + interval '204' minute b from sv
           where customer_type = 'transient' and status = 'Entry Only' and exit_ts is null and entry_ts <= timestamp '{STALE}' - interval '48' hour

@@ -422,37 +422,51 @@ def unreconciled_visits(stored: DataFrame, reconciled: DataFrame, now: str, minu
     return left.unionByName(clash)
 
 
-def apply_visit_updates(stored: DataFrame, reconciled: DataFrame, now: str, minutes: int = st.TYPICAL_STAY) -> DataFrame:
-    """The stored visits after the batch: exits filled in by Updates 1, 2, 6 and 7, and new visits inserted.
+def _closing(reconciled: DataFrame, detail: list[str]) -> DataFrame:
+    """The exit that Updates 1, 2, 6 and 7 bring to a stored visit; the latest of several."""
+    return (
+        reconciled.filter(F.col("handler").isin(*CLOSING_UPDATES)).groupBy(F.col("stored_trip_id").alias("trip_id"))
+        .agg(F.max_by(F.struct("exit_ts", *detail), F.struct("exit_ts", "trip_id")).alias("u"))
+    )
 
-    Updates 3, 4, 5 and 8 change nothing. A stored visit hit by several new
-    ones takes the latest exit. What is neither stored nor changed by this is
-    in `unreconciled_visits`.
-    """
+
+def _with_exits(stored: DataFrame, reconciled: DataFrame, now: str, how: str) -> DataFrame:
+    """Stored visits with the exits the batch brings: all of them (`left`), or only those that change (`inner`)."""
     c = F.col
     detail = [n for n in EXIT_FIELDS if n in reconciled.columns and n in stored.columns]
-    closing = (
-        reconciled.filter(c("handler").isin(*CLOSING_UPDATES)).groupBy(c("stored_trip_id").alias("trip_id"))
-        .agg(F.max_by(F.struct("exit_ts", *detail), F.struct("exit_ts", "trip_id")).alias("u"))
-    )
     hit = c("u").isNotNull()
-    stamp = F.lit(now).cast(tp.NTZ)
     changed = {
         "status": F.when(hit, st.COMPLETE).otherwise(c("status")),
         "exit_ts": F.when(hit, c("u.exit_ts")).otherwise(c("exit_ts")),
         "length_of_stay": F.when(hit, _stay(c("entry_ts"), c("u.exit_ts"))).otherwise(c("length_of_stay")),
         "impute_duration": F.when(~hit, c("impute_duration")),
-        "update_ts": F.when(hit, stamp).otherwise(c("update_ts")),
+        "update_ts": F.when(hit, F.lit(now).cast(tp.NTZ)).otherwise(c("update_ts")),
         **{n: F.when(hit, c(f"u.{n}")).otherwise(c(n)) for n in detail},
     }
     if "exit_classification" in stored.columns:
         changed["exit_classification"] = F.when(~hit, c("exit_classification"))
-    kept = stored.join(closing, "trip_id", "left").withColumns(changed).select(*stored.columns)
+    return stored.join(_closing(reconciled, detail), "trip_id", how).withColumns(changed).select(*stored.columns)
+
 
+def _fresh_visits(stored: DataFrame, reconciled: DataFrame, now: str, minutes: int) -> DataFrame:
     inserts = _inserted_rows(reconciled, now, minutes).select(*stored.columns)
     once = inserts.groupBy("trip_id").agg(F.max_by(F.struct(*[n for n in stored.columns if n != "trip_id"]), F.struct("exit_ts", "status")).alias("r"))
-    fresh = once.join(stored.select("trip_id"), "trip_id", "left_anti").select("trip_id", "r.*").select(*stored.columns)
-    return kept.unionByName(fresh)
+    return once.join(stored.select("trip_id"), "trip_id", "left_anti").select("trip_id", "r.*").select(*stored.columns)
+
+
+def apply_visit_updates(stored: DataFrame, reconciled: DataFrame, now: str, minutes: int = st.TYPICAL_STAY) -> DataFrame:
+    """The stored visits after the batch: exits filled in by Updates 1, 2, 6 and 7, and new visits inserted.
+
+    Updates 3, 4, 5 and 8 change nothing. A stored visit hit by several new
+    ones takes the latest exit. What is neither stored nor changed by this is
+    in `unreconciled_visits`.
+    """
+    return _with_exits(stored, reconciled, now, "left").unionByName(_fresh_visits(stored, reconciled, now, minutes))
+
+
+def visit_changes(stored: DataFrame, reconciled: DataFrame, now: str, minutes: int = st.TYPICAL_STAY) -> DataFrame:
+    """V12 for a stored table: only the visits that change or are new, for VersionedTable.upsert by trip_id."""
+    return _with_exits(stored, reconciled, now, "inner").unionByName(_fresh_visits(stored, reconciled, now, minutes))
 
 
 def close_stale_visits(stored: DataFrame, as_of: str, minutes: int = st.TYPICAL_STAY) -> DataFrame:
@@ -479,6 +493,15 @@ def close_stale_visits(stored: DataFrame, as_of: str, minutes: int = st.TYPICAL_
     })
 
 
+def stale_changes(stored: DataFrame, as_of: str, minutes: int = st.TYPICAL_STAY) -> tuple[DataFrame, DataFrame]:
+    """V13 for a stored table: the visits closed now, and the ids they had before, for VersionedTable.upsert by trip_id.
+
+    A visit that gets an entry gets a new id, so its old one goes.
+    """
+    closed = close_stale_visits(stored.withColumn("_old_id", F.col("trip_id")), as_of, minutes).filter("closed_now")
+    return closed.select(*stored.columns), closed.select(F.col("_old_id").alias("trip_id"))
+
+
 def stale_minutes(closed: DataFrame) -> DataFrame:
     """+1 from the minute of entry through the minute of exit, as deltas for the minute summary.
 

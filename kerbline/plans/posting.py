@@ -9,6 +9,7 @@ depend on the file alone, so running a file again gives the same rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from kerbline.functions import payments as pay
 from kerbline.functions import timeparts as tp
 from kerbline.functions.stays import station_area
 from kerbline.operators.lookups import assignment_join, constant_key, latest_payment
+from kerbline.session import cut_lineage
 
 FACT_COLUMNS = [
     "transaction_date", "transaction_amount", "settle_date", "settle_amount", "staging_table",
@@ -277,27 +279,73 @@ def resolve_source(source: str, staging: DataFrame, dims: Dimensions, *, payment
     return resolve(candidates, dims, source, legacy_order=legacy_order)
 
 
-def apply_settlement(fact: DataFrame, sales: DataFrame, payments: DataFrame) -> DataFrame:
-    """Settle date and amount from payouts for processed sales; the latest payout of a sale wins.
+class Outcome(NamedTuple):
+    """What posting one staging table leaves: fact rows, reject rows, and the run's log."""
 
-    Only rows of card sales take part in the join; the rest pass through.
-    """
-    sale_rows = F.col("staging_table") == "payments_insider_sales_staging"
-    fresh = (
+    posted: DataFrame
+    rejected: DataFrame
+    log: DataFrame
+
+
+def post_source(source: str, staging: DataFrame, dims: Dimensions, rejected_at: Column, *, payments: DataFrame | None = None,
+                file_id: int | None = None, legacy_order: bool = False) -> Outcome:
+    """L1-L7, L10 as one job: candidates are resolved once, and the three outputs are read from that."""
+    resolved = cut_lineage(resolve_source(source, staging, dims, payments=payments, file_id=file_id, legacy_order=legacy_order))
+    mine = staging.filter(~F.col("processed_to_final") if file_id is None else ~F.col("processed_to_final") & (F.col("source_file_id") == file_id))
+    return Outcome(posted(resolved), rejected(resolved, rejected_at), etl_run_log(mine, resolved, source))
+
+
+SALES = "payments_insider_sales_staging"
+
+
+def _paid_sales(sales: DataFrame, payments: DataFrame) -> DataFrame:
+    """The latest payout of each processed sale, by staging id."""
+    return (
         sales.filter("processed_to_final")
         .join(latest_payment(payments.filter(~F.col("processed_to_final"))), ["card_number", "authorization_code"])
         .select(F.col("id").alias("staging_record_id"), "payment_date", "paid_amount")
     )
-    settled = (
-        fact.filter(sale_rows)
-        .join(fresh, "staging_record_id", "left")
+
+
+def _settled(sale_facts: DataFrame, paid: DataFrame, how: str) -> DataFrame:
+    return (
+        sale_facts.join(paid, "staging_record_id", how)
         .withColumn("settle_date", F.coalesce("payment_date", "settle_date"))
         .withColumn("settle_amount", F.coalesce("paid_amount", "settle_amount"))
-        .select(*fact.columns)
+        .select(*sale_facts.columns)
     )
+
+
+def apply_settlement(fact: DataFrame, sales: DataFrame, payments: DataFrame) -> DataFrame:
+    """Settle date and amount from payouts for processed sales; the latest payout of a sale wins.
+
+    Only rows of card sales take part in the join; the rest pass through.
+    """
+    sale_rows = F.col("staging_table") == SALES
+    settled = _settled(fact.filter(sale_rows), _paid_sales(sales, payments), "left")
     return settled.unionByName(fact.filter(~F.coalesce(sale_rows, F.lit(False))))
 
 
+def settlement_changes(fact: DataFrame, sales: DataFrame, payments: DataFrame) -> DataFrame:
+    """L8 for a stored fact table: only the rows a payout changes, for VersionedTable.upsert by staging table and id."""
+    return _settled(fact.filter(F.col("staging_table") == SALES), _paid_sales(sales, payments), "inner")
+
+
+def processed_changes(staging: DataFrame, fact: DataFrame, table: str) -> DataFrame:
+    """L9 for a stored staging table: the rows to be flagged now, for VersionedTable.upsert by id."""
+    done = fact.filter(F.col("staging_table") == table).select(F.col("staging_record_id").alias("id"))
+    return staging.filter(~F.col("processed_to_final")).join(done, "id", "left_semi").withColumn("processed_to_final", F.lit(True)).select(*staging.columns)
+
+
+def payments_changes(payments: DataFrame, sales: DataFrame, fact: DataFrame, file_id: int | None = None) -> DataFrame:
+    """L9 for stored payouts: the rows to be flagged now, for VersionedTable.upsert by payment id."""
+    ids = fact.filter(F.col("staging_table") == SALES).select(F.col("staging_record_id").alias("id"))
+    matched = sales.join(ids, "id", "left_semi").select("card_number", "authorization_code")
+    mine = F.lit(True) if file_id is None else F.col("source_file_id") == file_id
+    waiting = payments.filter(~F.col("processed_to_final") & mine)
+    return waiting.join(matched, ["card_number", "authorization_code"], "left_semi").withColumn("processed_to_final", F.lit(True)).select(*payments.columns)
+
+
 def mark_processed(staging: DataFrame, fact: DataFrame, table: str) -> DataFrame:
     """Staging rows flagged as processed when their id is in the fact table."""
     done = (
