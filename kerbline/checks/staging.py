@@ -149,3 +149,19 @@ def pending_by_source(t: Tables):
         "ips": t.staging.select((c("l_returnflag") == "R").alias("processed_to_final")),
         "files": t.orders.select((c("o_orderkey") % 3 == 0).alias("processed_to_final")),
     })
+
+
+# Records of one to three lines, cut into blocks wherever 997 places are full.
+_LINES = '''ln as (select cast(floor(place / 997) as bigint) block, place, value from (
+    select o_orderkey * 10 place, case o_orderkey % 4 when 0 then concat(cast(o_orderkey as varchar(20)), ',', o_orderstatus) when 1 then concat(cast(o_orderkey as varchar(20)), ',"', o_orderpriority)
+           when 2 then concat('"say ""', o_orderpriority, '""') else concat('"', cast(o_orderkey as varchar(20)), '","x""",""') end value from {orders}
+    union all select o_orderkey * 10 + 1, case o_orderkey % 4 when 1 then concat(o_orderstatus, '"') when 3 then 'a, b' else '' end from {orders}
+    union all select o_orderkey * 10 + 2, case when o_orderkey % 4 = 2 then concat(o_orderstatus, '",', cast(o_orderkey as varchar(20))) else '  ' end from {orders}) x)'''
+
+
+@query("csv_records", f"""with {_LINES}, q as (select *, (length(value) - length(replace(value, '"', ''))) % 2 odd from ln),
+      s as (select *, sum(odd) over (order by place) - odd before from q),
+      n as (select *, sum(case when before % 2 = 0 then 1 else 0 end) over (order by place) rec from s)
+    select min(block) block, min(place) place, string_agg(value, chr(10) order by place) record from n group by rec having count(*) > 1 or trim(min(value)) <> ''""")
+def csv_records(t: Tables):
+    return fi.csv_records(t.sql(f"with {_LINES} select * from ln"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbline.operators.ordered import ordered_scan
+
 # Filename rules, tried in order on the lower-cased name.
 SOURCE_RULES = (
     ("starts", "payments", "payments_insider_payments"),
@@ -72,27 +74,55 @@ def header_names(lines: list[str]) -> list[str]:
     return next(csv.reader([line.rstrip("\r\n") + "\n" for line in lines]))
 
 
+def csv_records(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Whole CSV records (keys, block, place, record) from physical lines (keys, block, place, value).
+
+    A line begins inside a quoted field when the quotes before it are odd in
+    number (a doubled quote counts twice). Their sum runs block by block, one
+    small row carrying it from block to block, so that a report of any size is
+    cut wherever its blocks are. Records of one line, nearly all, are done
+    then; only lines of longer ones are put together. Blank lines between
+    records are left out. `keys` name the file where there are several.
+    """
+    keys = keys or []
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2
+    order = ["block", "place"]
+    scanned = ordered_scan(lines.select(*keys, *order, "value"), keys, order, F.col("block"), sums={"_quotes": odd})
+    inside = (F.col("_quotes") - odd) % 2 == 1
+    marked = scanned.withColumns({"_inside": inside, "_odd": odd == 1})
+    whole = marked.filter("not _inside and not _odd and trim(value) <> ''").select(*keys, *order, F.col("value").alias("record"))
+    start = F.when(~F.col("_inside"), F.struct(*order))
+    parts = ordered_scan(marked.filter("_inside or _odd"), keys, order, F.col("block"), lasts={"_start": start})
+    pieces = F.array_sort(F.collect_list(F.struct(*order, "value")))
+    joined = parts.groupBy(*keys, "_start").agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("record"))
+    return whole.unionByName(joined.select(*keys, "_start.*", "record"))
+
+
 def read_report(spark: SparkSession, path: str, *, skip_rows: int = 0, encoding: str = "UTF-8", multi_line: bool = False, header_lines: int = 20) -> DataFrame:
     """A CSV report with every column as text.
 
     With `skip_rows`, `path` names one file with that many lines above its
     header. They are left out by their place: the first lines of the file's
-    first block; a data row of the same text stays, and the file may be split
-    over many tasks. With `multi_line` quoted fields and names may hold line
-    breaks (a header record of at most `header_lines` lines); Spark reads such
-    a file in one task.
+    first block; a data row of the same text stays, and quotes among them do
+    not matter. With `multi_line` quoted fields and names may hold line breaks
+    (a header record of at most `header_lines` lines). Either way the file may
+    be split over many tasks; a folder of files with line breaks and without
+    preamble is read a file at a time.
     """
-    if skip_rows == 0:
-        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=multi_line, escape='"' if multi_line else "\\")
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_block_start").alias("_block"))
-    head = [r[0] for r in lines.filter("_block = 0").limit(skip_rows + (header_lines if multi_line else 1)).collect()]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header_names(head[skip_rows:])])
+    if skip_rows == 0 and not multi_line:
+        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, escape="\\")
+    read = spark.read.option("encoding", encoding).text(path)
     # Ids rise by one within a block's partition, and a file's first block is the first of its partition.
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    if multi_line:
-        records = spark.read.csv(path, schema=schema, header=False, encoding=encoding, multiLine=True, escape='"', enforceSchema=True)
-        return records.withColumn("_place", place).filter(F.col("_place") > skip_rows).drop("_place")
-    placed = lines.withColumn("_place", place)
-    body = placed.filter(((F.col("_block") > 0) | (F.col("_place") > skip_rows)) & (F.trim("value") != ""))
+    if skip_rows == 0 and read.select("_metadata.file_path").distinct().limit(2).count() != 1:
+        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=True, escape='"')
+    lines = read.select("value", F.col("_metadata.file_block_start").alias("block")).withColumn("place", place)
+    head = [r.value for r in lines.filter("block = 0").limit(skip_rows + (header_lines if multi_line else 1)).collect()]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header_names(head[skip_rows:])])
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
-    return body.select(F.from_csv("value", F.lit(ddl)).alias("row")).select("row.*")
+    if not multi_line:
+        body = lines.filter(((F.col("block") > 0) | (F.col("place") > skip_rows)) & (F.trim("value") != ""))
+        return body.select(F.from_csv("value", F.lit(ddl)).alias("row")).select("row.*")
+    records = csv_records(lines.filter((F.col("block") > 0) | (F.col("place") >= skip_rows)))
+    body = records.filter((F.col("block") > 0) | (F.col("place") > skip_rows))
+    return body.select(F.from_csv("record", F.lit(ddl), {"escape": '"', "lineSep": "\u0000"}).alias("row")).select("row.*")

@@ -118,11 +118,36 @@ def test_preamble_is_dropped_by_place(spark, tmp_path):
 def test_line_breaks_in_names_and_fields(spark, tmp_path):
     text = 'Report\n"Name\nfull",b\n"x\ny",1\nReport,2\n'
     got = files.read_report(spark, write(tmp_path, "m.csv", text), skip_rows=1, multi_line=True)
-    assert got.columns == ["Name\nfull", "b"] and [tuple(r) for r in got.collect()] == [("x\ny", "1"), ("Report", "2")]
+    assert got.columns == ["Name\nfull", "b"] and sorted(map(tuple, got.collect())) == [("Report", "2"), ("x\ny", "1")]
     plain = files.read_report(spark, write(tmp_path, "n.csv", '"Name\nfull",b\n"x\ny","say ""hi"""\n'), multi_line=True)
     assert [tuple(r) for r in plain.collect()] == [("x\ny", 'say "hi"')]
 
 
+def test_a_preamble_is_counted_by_lines_not_records(spark, tmp_path):
+    text = 'Report\n\na,b\n1,a\n2,b\n3,c\n'
+    got = files.read_report(spark, write(tmp_path, "q.csv", text), skip_rows=2, multi_line=True)
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [("1", "a"), ("2", "b"), ("3", "c")]
+    lone = 'Report of 5" pipes\nby "day\na,"b\nc"\n1,"x\n\ny"\n\n2,"say ""hi"", she\nsaid"\n'
+    got = files.read_report(spark, write(tmp_path, "r.csv", lone), skip_rows=2, multi_line=True)
+    assert got.columns == ["a", "b\nc"] and sorted(map(tuple, got.collect())) == [("1", "x\n\ny"), ("2", 'say "hi", she\nsaid')]
+
+
+def test_a_multi_line_report_is_split_anywhere(spark, tmp_path):
+    rows = [(str(i), "\n".join(f'part {k} of "{i}"' for k in range(i % 4 + 1))) for i in range(300)]
+    text = "Title, \"x\n" + "id,text\n" + "".join('{},"{}"\n'.format(i, t.replace('"', '""')) for i, t in rows)
+    path = write(tmp_path, "s.csv", text)
+    size, cost = (spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        got = files.read_report(spark, path, skip_rows=1, multi_line=True)
+        assert sorted(map(tuple, got.collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
 def test_occupancy_stream(spark, tmp_path):
     import datetime as dt
 
