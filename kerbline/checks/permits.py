@@ -8,6 +8,7 @@ from kerbline.checks.registry import query
 from kerbline.checks.tables import Tables
 from kerbline.functions import timeparts as tp
 from kerbline.operators import features as fe
+from kerbline.operators import modelling as ml
 from kerbline.operators import permits as pm
 
 c = F.col
@@ -258,3 +259,65 @@ def policy_change_check(t: Tables):
 @query("permits_present", """select count(distinct permit) permits from {visits} where customer_type = 'permit' and (exit_ts is null or exit_ts >= timestamp '2001-07-01')""")
 def permits_present(t: Tables):
     return pm.permits_present(t.visits, "2001-07-01")
+
+
+# Scores with ties, and outcomes that follow them loosely, made from order keys.
+_SCORED = "select o_orderkey, cast(o_custkey as varchar(20)) permit, cast(o_custkey % 211 as double) / 210 show_probability, case when o_orderkey * 7919 % 211 < o_custkey % 211 * 3 / 4 + 20 then 1 else 0 end showed_up from {orders}"
+
+
+def scored(t: Tables):
+    return t.sql(_SCORED)
+
+
+@query("roc_auc", f"""with s as ({_SCORED}), r as (select showed_up, rank() over (order by show_probability) + (count(*) over (partition by show_probability) - 1) / 2.0 place from s)
+    select count(*) filter (showed_up = 1) positives, count(*) filter (showed_up = 0) negatives, round((sum(place) filter (showed_up = 1) - count(*) filter (showed_up = 1) * (count(*) filter (showed_up = 1) + 1) / 2.0)
+      / (count(*) filter (showed_up = 1) * count(*) filter (showed_up = 0)), 9) auc from r""")
+def roc_auc(t: Tables):
+    return ml.roc_auc(scored(t)).withColumn("auc", F.round("auc", 9))
+
+
+@query("class_report", f"""with s as (select showed_up a, case when show_probability >= 0.5 then 1 else 0 end p from ({_SCORED}) x), l as (select unnest([0, 1]) label),
+      n as (select label, count(*) filter (a = label) support, count(*) filter (p = label) called, count(*) filter (a = label and p = label) hits from s, l group by 1)
+    select label, round(case when called > 0 then hits / called else 0 end, 9) "precision", round(case when support > 0 then hits / support else 0 end, 9) recall,
+      round(case when hits > 0 then 2.0 * hits / (called + support) else 0 end, 9) f1, support from n""")
+def class_report(t: Tables):
+    return ml.class_report(scored(t)).select("label", *[F.round(n, 9).alias(n) for n in ("precision", "recall", "f1")], "support")
+
+
+@query("calibration_curve", f"""select cast(least(floor(show_probability * 10), 9) as bigint) bin, round(avg(show_probability), 9) mean_predicted, round(avg(showed_up), 9) fraction_positive, count(*) n
+    from ({_SCORED}) x group by 1""")
+def calibration_curve(t: Tables):
+    return ml.calibration_curve(scored(t)).select("bin", F.round("mean_predicted", 9).alias("mean_predicted"), F.round("fraction_positive", 9).alias("fraction_positive"), "n")
+
+
+_FIT = f"""c as (select show_probability p, count(*) n, sum(showed_up) h, row_number() over (order by show_probability) i from ({_SCORED}) x group by 1),
+    k as (select i, sum(n) over (order by i) n, sum(h) over (order by i) h from c), k0 as (select 0 i, 0 n, 0 h union all select * from k),
+    m as (select a.i + 1 j, b.i k, (b.h - a.h) / (b.n - a.n) mean from k0 a join k0 b on b.i > a.i),
+    low as (select j, c.i, min(mean) mean from m join c on c.i between j and k group by 1, 2),
+    fit as (select i, max(mean) v from low group by 1)"""
+
+
+@query("isotonic_steps", f"with {_FIT} select min(p) low, max(p) high, cast(sum(n) as bigint) n, round(max(v), 9) \"value\" from fit join c using (i) group by round(v, 12)")
+def isotonic_steps(t: Tables):
+    return ml.isotonic_steps(scored(t)).withColumn("value", F.round("value", 9))
+
+
+@query("calibrated", f"with {_FIT} select o_orderkey, show_probability, round(v, 9) calibrated from ({_SCORED}) x join c on p = show_probability join fit using (i)")
+def calibrated(t: Tables):
+    return ml.calibrated(scored(t), ml.isotonic_steps(scored(t))).select("o_orderkey", "show_probability", F.round("calibrated", 9).alias("calibrated"))
+
+
+_ONE = f"select permit, max(show_probability) show_probability from ({_SCORED}) x where o_orderkey % 3 = 0 group by 1"
+_ACTIVE = "select cast(c_custkey as varchar(20)) permit from {customer}"
+
+
+@query("with_dormant", f"""with s as ({_ONE}), a as (select distinct permit from ({_ACTIVE}) x) select a.permit, coalesce(show_probability, 0.02) show_probability,
+    case when coalesce(show_probability, 0.02) >= 0.5 then 1 else 0 end predicted from a left join s on s.permit = a.permit""")
+def with_dormant(t: Tables):
+    return ml.with_dormant(t.sql(_ONE), t.sql(_ACTIVE))
+
+
+@query("expected_total", f"""with s as ({_ONE}), a as (select distinct permit from ({_ACTIVE}) x), r as (select coalesce(show_probability, 0.02) p from a left join s on s.permit = a.permit)
+    select round(sum(p), 6) expected, count(*) filter (p >= 0.5) predicted from r""")
+def expected_total(t: Tables):
+    return ml.expected_total(ml.with_dormant(t.sql(_ONE), t.sql(_ACTIVE))).withColumn("expected", F.round("expected", 6))

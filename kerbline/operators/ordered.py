@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbline.session import cut_lineage
+
 DAY, MONTH = "day", "month"
 
 
@@ -106,6 +108,42 @@ def ordered_scan(
     return joined.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
+def prefix_sums(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """`before_<n>` for each of `sums`: its total over all rows earlier in `order`, for a table without a key to split by.
+
+    Rows are dealt by ranges of the order and summed within their range; the
+    totals of the ranges before, one small row per range, are added.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: the only window over all rows of a table, and it is bounded by the number of ranges.
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range").agg(*[F.sum(n).alias(n) for n in sums])
+    carried = totals.select("_range", *[F.coalesce(F.sum(n).over(ranges), F.lit(0)).alias(f"_k_{n}") for n in sums])
+    local = placed.withColumns({f"_w_{n}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in sums})
+    return local.join(carried, "_range").select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_k_{n}")).alias(f"before_{n}") for n in sums])
+
+
+def order_statistics(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for each name the quantile at its share, interpolated between the two rows around its rank.
+
+    Rows are counted per distinct value first; NULLs do not count. No rows give NULLs.
+    """
+    c = F.col
+    cells = df.filter(c(value).isNotNull()).groupBy(c(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = prefix_sums(cells, ["_v"], ["_n"])
+    last = cells.agg(F.sum("_n")).scalar() - 1
+    sides, out = [], []
+    for name, share in shares.items():
+        rank = last * F.lit(float(share))
+        low, high = F.floor(rank), F.ceil(rank)
+        for side, at in (("low", low), ("high", high)):
+            sides.append(F.max(F.when((c("before__n") <= at) & (at < c("before__n") + c("_n")), c("_v"))).alias(f"_{side}_{name}"))
+        between = (high - rank) * c(f"_low_{name}") + (rank - low) * c(f"_high_{name}")
+        out.append(F.when(low == high, c(f"_low_{name}")).otherwise(between).alias(name))
+    return ranked.agg(*sides).select(*out)
+
+
 def event_order(events: DataFrame, key: str, ts: str, tie: str, out: str = "rn", unit: str = MONTH) -> DataFrame:
     """Position of each event of a key in time order, ties by log id."""
     return ordered_scan(events, [key], [ts, tie], chunk_of(ts, unit), row_number=out)

@@ -123,17 +123,68 @@ def test_model_on_features(world, spark):
     model = ml.fit_show_model(parts["train"], trees=5, depth=3)
     assert set(ml.feature_importance(model)) == set(fe.FEATURES)
     scored = ml.with_probability(model, parts["test"])
-    assert 0 <= ml.roc_auc(scored) <= 1
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    other = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="show_probability").evaluate(scored.withColumn("label", F.col("showed_up").cast("double")))
+    assert abs(ml.roc_auc(scored).first().auc - other) < 1e-9
     report = {r.label: r for r in ml.class_report(scored).collect()}
     assert sum(r.support for r in report.values()) == parts["test"].count()
     curve = ml.calibration_curve(scored).agg(F.sum("n")).first()[0]
     assert curve == parts["test"].count()
-    isotonic = ml.calibrate(ml.with_probability(model, parts["validation"]))
-    calibrated = ml.apply_calibration(isotonic, scored)
-    assert calibrated.filter("calibrated < 0 or calibrated > 1").count() == 0 and "show_probability" in calibrated.columns
+    steps = ml.isotonic_steps(ml.with_probability(model, parts["validation"]))
+    calibrated = ml.calibrated(scored, steps)
+    assert calibrated.filter("calibrated is null or calibrated < 0 or calibrated > 1").count() == 0 and calibrated.columns == [*scored.columns, "calibrated"]
+    assert calibrated.count() == scored.count()
 
     coming = fe.prediction_rows(pf, vf, "2024-04-29")
     active = vf.select("permit").union(spark.createDataFrame([("L99",)], "permit string")).distinct()
     result = {r.permit: r for r in ml.score_permits(model, coming, active).collect()}
     assert len(result) == active.count() and result["L99"].show_probability == 0.02 and result["L99"].predicted == 0
     assert ml.expected_total(ml.score_permits(model, coming, active)).first().expected > 0
+
+
+def plain_isotonic(rows):
+    """For each distinct probability the greatest, over starts at or before it, of the least mean to an end at or after it."""
+    cells = {}
+    for p, y in rows:
+        n, hits = cells.get(p, (0, 0))
+        cells[p] = (n + 1, hits + y)
+    ps = sorted(cells)
+    mean = lambda j, k: sum(cells[p][1] for p in ps[j:k + 1]) / sum(cells[p][0] for p in ps[j:k + 1])
+    return {ps[i]: max(min(mean(j, k) for k in range(i, len(ps))) for j in range(i + 1)) for i in range(len(ps))}
+
+
+def test_isotonic_fit_equals_min_max_means(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(round(rng.random(), 2) * 0.9 + 0.05, int(rng.random() < 0.5)) for _ in range(120)] + [(0.5, None), (None, 1)]
+    scored = spark.createDataFrame(rows, "show_probability double, showed_up int").repartition(5)
+    want = plain_isotonic([r for r in rows if None not in r])
+    steps = sorted(map(tuple, ml.isotonic_steps(scored).collect()))
+    assert all(a[1] < b[0] and a[3] < b[3] for a, b in zip(steps, steps[1:]))
+    got = {r.show_probability: r.calibrated for r in ml.calibrated(scored, ml.isotonic_steps(scored)).collect()}
+    assert got.pop(None) is None and got.keys() == want.keys() | {0.5} and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    # Between two steps a line, outside them their values.
+    low, high = steps[0], steps[-1]
+    middle = (steps[0][1] + steps[1][0]) / 2
+    outside = spark.createDataFrame([(0.0,), (1.0,), (middle,)], "show_probability double")
+    values = {r.show_probability: r.calibrated for r in ml.calibrated(outside, ml.isotonic_steps(scored)).collect()}
+    assert values[0.0] == low[3] and values[1.0] == high[3] and abs(values[middle] - (steps[0][3] + steps[1][3]) / 2) < 1e-12
+
+
+def test_areas_and_order_statistics_at_the_edges(spark):
+    from kerbline.operators.ordered import order_statistics, prefix_sums
+
+    frame = lambda rows: spark.createDataFrame(rows, "show_probability double, showed_up int")
+    assert ml.roc_auc(frame([(0.5, 1), (0.5, 0), (0.5, 1)])).first().auc == 0.5
+    assert ml.roc_auc(frame([(0.1, 0), (0.9, 1)])).first().auc == 1.0
+    assert ml.roc_auc(frame([(0.1, 1), (0.9, 1), (None, 0)])).first().auc is None
+    assert ml.roc_auc(frame([])).first().asDict() == {"positives": 0, "negatives": 0, "auc": None}
+    values = spark.createDataFrame([(v,) for v in (4.0, 1.0, 1.0, 1.0, 9.0, None)], "v double").repartition(3)
+    assert order_statistics(values, "v", {"a": 0.0, "b": 0.5, "c": 0.625, "d": 1.0}).first().asDict() == {"a": 1.0, "b": 1.0, "c": 2.5, "d": 9.0}
+    assert order_statistics(values.filter("v > 99"), "v", {"a": 0.5}).first().a is None
+    sums = prefix_sums(spark.range(1000).withColumn("k", F.col("id") * 7 % 1000), ["k"], ["id"]).collect()
+    total = 0
+    for r in sorted(sums, key=lambda r: r.k):
+        assert r.before_id == total
+        total += r.id
