@@ -321,13 +321,42 @@ def eligible_counts(t: Tables):
     return op.eligible_counts(t.shifts, staff(t), t.time_off).select("shift_id", "eligible")
 
 
-@query("uncovered_shifts", f"""with {_SHIFT_DATE},
-    one as (select distinct employee_id from {{time_off}} where not is_cancelled and employee_id = (select min(employee_id) from {{time_off}} where not is_cancelled))
-    select shift_id from sd where exists (select 1 from {{time_off}} o join one using (employee_id) where not o.is_cancelled and o.request_date::date = sd.d)""")
+# Time off as it is, and three days on which the whole staff is off.
+_WIDE = """select employee_id, request_date, is_cancelled from {time_off}
+    union all select employee_id, (select min(o_orderdate) from {orders}), false from {employees}
+    union all select employee_id, (select max(o_orderdate) from {orders} where o_orderstatus = 'P'), false from {employees}
+    union all select employee_id, (select min(o_orderdate) from {orders} where o_orderkey % 100 = 7), false from {employees}"""
+
+
+@query("uncovered_shifts", f"""with {_SHIFT_DATE}, w as ({_WIDE}), n as (select request_date::date d, count(distinct employee_id) off from w where not is_cancelled and employee_id in (select employee_id from {{employees}}) group by 1)
+    select shift_id from sd join n on n.d = sd.d where off = (select count(distinct employee_id) from {{employees}})""")
 def uncovered_shifts(t: Tables):
-    # With a staff of one, the shifts on that person's days off are those nobody can take.
-    one = t.time_off.filter("not is_cancelled").agg(F.min("employee_id").alias("employee_id"))
-    return op.uncovered_shifts(t.shifts, one, t.time_off).select("shift_id")
+    return op.uncovered_shifts(t.shifts, staff(t), t.sql(_WIDE)).select("shift_id")
+
+
+@query("overlap_degree", """select s.shift_id, s.week_start::varchar week_start, s.day_of_week, (select count(*) from {shifts} o where o.week_start = s.week_start and o.day_of_week = s.day_of_week and o.start_hour < o.end_hour
+      and o.start_hour < s.end_hour and s.start_hour < o.end_hour and o.shift_id <> s.shift_id) "overlaps" from {shifts} s where s.start_hour < s.end_hour""")
+def overlap_degree(t: Tables):
+    return op.overlap_degree(t.shifts)
+
+
+# A staff of sixty, so that their days overlap; some assignments are listed twice.
+_HELD = "select shift_id, cast(o_custkey % 60 as int) employee_id from {shifts} union all select shift_id, cast(o_custkey % 60 as int) from {shifts} where booth = 0"
+
+
+@query("conflict_lists", f"""with h as (select distinct x.employee_id, s.* from ({_HELD}) x join {{shifts}} s using (shift_id) where s.start_hour < s.end_hour),
+      m as (select *, case when start_hour < max(end_hour) over (partition by employee_id, week_start, day_of_week order by start_hour, shift_id rows between unbounded preceding and 1 preceding) then 0 else 1 end new from h),
+      g as (select *, sum(new) over (partition by employee_id, week_start, day_of_week order by start_hour, shift_id) chain from m)
+    select employee_id, week_start::varchar week_start, day_of_week, string_agg(shift_id::varchar, ',' order by shift_id) shift_ids, min(start_hour) from_hour, max(end_hour) to_hour from g
+    group by employee_id, g.week_start, day_of_week, chain having count(*) > 1""")
+def conflict_lists(t: Tables):
+    return op.conflict_lists(t.shifts, t.sql(_HELD)).withColumn("shift_ids", F.array_join(c("shift_ids").cast("array<string>"), ","))
+
+
+@query("blocked_days", f"""with {_STAFF}, {_SHIFT_DATE}, n as (select d, count(*) shifts from sd group by 1)
+    select distinct o.employee_id, n.d::varchar "date", shifts from {{time_off}} o join n on n.d = o.request_date::date where not o.is_cancelled and o.employee_id in (select employee_id from st)""")
+def blocked_days(t: Tables):
+    return op.blocked_days(t.shifts, staff(t), t.time_off)
 
 
 _MATCH_KEYS = "location, booth, day_of_week, start_hour, end_hour"

@@ -291,6 +291,49 @@ def shift_overlap(shifts: DataFrame) -> DataFrame:
     ).select("week_start", "day_of_week", c("a_shift_id").alias("first_id"), c("b_shift_id").alias("second_id"))
 
 
+def overlap_degree(shifts: DataFrame) -> DataFrame:
+    """For each shift, how many others of its week and day overlap it; without pairs.
+
+    The starts before a shift's end less the ends up to its start: two counts
+    per hour of a day, added up along the day, and looked up once each.
+    """
+    c, day = F.col, ["week_start", "day_of_week"]
+    spans = shifts.filter(c("start_hour") < c("end_hour"))
+    marks = F.array(F.struct(c("start_hour").alias("hour"), F.lit(1).alias("starts"), F.lit(0).alias("ends")),
+                    F.struct(c("end_hour").alias("hour"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))
+    hours = spans.select(*day, F.inline(marks)).groupBy(*day, "hour").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    # The hours of one day are few, however many shifts begin in them.
+    along = Window.partitionBy(*day).orderBy("hour")
+    sums = hours.select(*day, "hour", F.coalesce(F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begun"),
+                        F.sum("ends").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_over"))
+    begun, over = sums.select(*day, c("hour").alias("end_hour"), "_begun"), sums.select(*day, c("hour").alias("start_hour"), "_over")
+    return spans.join(begun, [*day, "end_hour"]).join(over, [*day, "start_hour"]).select("shift_id", *day, (c("_begun") - c("_over") - 1).alias("overlaps"))
+
+
+def conflict_lists(shifts: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Per employee and day, the lists of shifts that run into each other; one row per list.
+
+    A list is a chain of shifts without a free moment in between, with its
+    first and last hour. Its length grows with the shifts of one person's day,
+    not with their square.
+    """
+    c, person = F.col, ["employee_id", "week_start", "day_of_week"]
+    held = assignments.select("employee_id", "shift_id").distinct().join(shifts.filter(c("start_hour") < c("end_hour")), "shift_id")
+    along = Window.partitionBy(*person).orderBy("start_hour", "shift_id")
+    reach = F.max("end_hour").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = held.select(*person, "shift_id", "start_hour", "end_hour", F.when(c("start_hour") < reach, 0).otherwise(1).alias("_new"))
+    chained = marked.withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = chained.groupBy(*person, "_chain").agg(F.array_sort(F.collect_list("shift_id")).alias("shift_ids"), F.min("start_hour").alias("from_hour"), F.max("end_hour").alias("to_hour"))
+    return rows.filter(F.size("shift_ids") > 1).drop("_chain")
+
+
+def blocked_days(shifts: DataFrame, staff: DataFrame, time_off: DataFrame) -> DataFrame:
+    """Employee and date of time off on which there are shifts, with their number; stands for blocked_pairs."""
+    off = time_off.filter(~F.col("is_cancelled")).select("employee_id", F.to_date("request_date").alias("date"))
+    mine = off.join(staff.select("employee_id"), "employee_id", "left_semi").distinct()
+    return mine.join(shift_date(shifts).groupBy("date").agg(F.count(F.lit(1)).alias("shifts")), "date")
+
+
 def staff_days(staff: DataFrame, shifts: DataFrame, time_off: DataFrame) -> DataFrame:
     """Each employee's free dates in the weeks from the first to the last shift.
 
