@@ -204,6 +204,21 @@ def transaction_stats(t: Tables):
     return rp.transaction_stats(transactions(t))
 
 
+@query("sketched_stats", f"""with {_TX}, y as (select year(transaction_date) "year", count(*) total_records, min(transaction_date) earliest_transaction, max(transaction_date) latest_transaction,
+      cast(sum(settle_amount) as double) total_settled_amount, count(distinct mid) unique_merchants, count(distinct transaction_date::date) n_days from tx group by 1)
+    select *, true near from y""")
+def sketched_stats(t: Tables):
+    """Years from stored days: all numbers, and whether the merged sketches come within 2 % of the distinct merchants."""
+    tx = transactions(t)
+    year = F.year("day").alias("year")
+    days = rp.daily_sketches(tx)
+    got = rp.stats_from_sketches(days.withColumn("year", year), by=("year",)).withColumnRenamed("unique_merchants", "_estimate").drop("avg_settled_amount")
+    exact = tx.groupBy(F.year("transaction_date").alias("year")).agg(F.countDistinct("mid").alias("unique_merchants"))
+    stored = days.groupBy(year).agg(F.count(F.lit(1)).alias("n_days"))
+    near = F.abs(F.col("_estimate") - F.col("unique_merchants")) <= F.greatest(0.02 * F.col("unique_merchants"), F.lit(1))
+    return got.join(exact, "year").join(stored, "year").withColumn("near", near).drop("_estimate")
+
+
 _SUMS = """count(*) total_count, cast(sum(transaction_amount) as double) total_amount, cast(sum(settle_amount) as double) total_settle_amount,
     min(transaction_date) "start", max(transaction_date) "end" """
 

@@ -30,7 +30,8 @@ NAME_DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{2}_\d{2}_\d{4})"
 
 def file_name(path: Column) -> Column:
     """The part of a path after the last slash, with URL escapes decoded."""
-    return F.url_decode(F.substring_index(path, "/", -1))
+    # A plus sign stands for itself in a path, not for a blank as in a form.
+    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
 def infer_source(name: Column) -> Column:

@@ -56,7 +56,7 @@ class VersionedTable:
     def create(cls, rows: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> VersionedTable:
         """A new table with these rows; refuses a path that holds one."""
         table = cls(rows.sparkSession, path)
-        if table._exists():
+        if table.exists():
             raise ValueError(f"{path} holds a table already")
         kinds = [f for f in rows.schema.fields if f.name not in partition_by] + [rows.schema[n] for n in partition_by]
         state = {"manifest": None, "schema": T.StructType(kinds).json(), "columns": rows.columns, "keys": keys, "partition_by": partition_by}
@@ -68,7 +68,7 @@ class VersionedTable:
     def _file(self):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
 
-    def _exists(self) -> bool:
+    def exists(self) -> bool:
         return self._file().getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(self._file())
 
     def state(self) -> dict:
@@ -105,8 +105,8 @@ class VersionedTable:
 
     # -- writing
 
-    def _commit(self, state: dict, rows: DataFrame, touched: DataFrame | None) -> None:
-        """Rows in place of all partitions they have and all in `touched`."""
+    def _commit(self, state: dict, rows: DataFrame, touched: DataFrame | None, note: dict | None = None) -> None:
+        """Rows in place of all partitions they have and all in `touched`; `note` is kept in the state from then on."""
         parts, keys = state["partition_by"], state["keys"]
         before = state["manifest"]
         version = f"{int((before or '0').split('-')[0]) + 1:08d}-{uuid.uuid4().hex[:12]}"
@@ -122,9 +122,9 @@ class VersionedTable:
             out = new.select(*parts) if touched is None else new.select(*parts).unionByName(touched.select(*parts))
             manifest = old.join(out, _same(old, out, parts), "left_anti").unionByName(new)
         manifest.write.parquet(f"{self.path}/manifest/{version}")
-        if (self.state()["manifest"] if self._exists() else None) != before:
+        if (self.state()["manifest"] if self.exists() else None) != before:
             raise RuntimeError(f"{self.path} was changed by another job")
-        self._point(state | {"manifest": version})
+        self._point(state | {"manifest": version} | ({"note": note} if note else {}))
 
     def _point(self, state: dict) -> None:
         """Turn CURRENT, the last step of every change."""
@@ -139,9 +139,13 @@ class VersionedTable:
         options[0] = overwrite
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fresh, target, options)
 
-    def replace(self, rows: DataFrame, touched: DataFrame | None = None) -> None:
-        """Put `rows` in place of whole partitions: those they fall in, and those `touched` lists (left empty if they have none)."""
-        self._commit(self.state(), rows, touched)
+    def replace(self, rows: DataFrame, touched: DataFrame | None = None, *, state: dict | None = None, note: dict | None = None) -> None:
+        """Put `rows` in place of whole partitions: those they fall in, and those `touched` lists (left empty if they have none).
+
+        With the `state` that rows were made from, a change by another job in between is refused. `note` turns with
+        the rows, in the same step.
+        """
+        self._commit(state or self.state(), rows, touched, note)
 
     def upsert(self, changes: DataFrame, gone: DataFrame | None = None) -> None:
         """Put `changes` in place of the rows of the same keys, drop the rows whose keys `gone` names.

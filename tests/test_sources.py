@@ -74,10 +74,21 @@ def test_stage_stream_reads_each_file_once(spark, tmp_path):
 
     write(inbox, "one.csv", IPS)
     assert run() == ["one.csv"]
-    write(inbox, "two.csv", IPS)
+    other = IPS.replace("2.00", "3.00")
+    write(inbox, "two.csv", other)
     assert run() == ["one.csv", "two.csv"]
     assert run() == ["one.csv", "two.csv"]
 
+    # The same bytes under other names: in one batch, in a later one, and with a name that paths escape.
+    write(inbox, "a copy.csv", IPS)
+    write(inbox, "three.csv", other.replace("S1", "S2"))
+    write(inbox, "three again+.csv", other.replace("S1", "S2"))
+    assert run() == ["one.csv", "three again+.csv", "two.csv"]
+    assert run() == ["one.csv", "three again+.csv", "two.csv"]
+    log = {r.file_name: (r.status, r.first_name, r.records_processed) for r in jobs.staged_files(spark, out).collect()}
+    assert log == {"one.csv": ("complete", None, 3), "two.csv": ("complete", None, 3), "a copy.csv": ("duplicate", "one.csv", 3),
+                   "three again+.csv": ("complete", None, 3), "three.csv": ("duplicate", "three again+.csv", 3)}
+
 
 def test_late_last_and_restarted_events_are_counted(spark, tmp_path):
     import datetime as dt
@@ -162,3 +173,46 @@ def test_occupancy_stream(spark, tmp_path):
     got = jobs.occupancy_from_stream(spark.read.parquet(out), "2024-01-01 10:00:00", "2024-01-01 10:05:00")
     totals = {(r.garage_id, r.date.minute): r.total for r in got.collect()}
     assert [totals[1, m] for m in range(5)] == [1, 2, 2, 1, 1] and [totals[2, m] for m in range(5)] == [0, 0, 0, 1, 1]
+
+
+def test_compaction_keeps_all_counts(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from kerbline.sources.versions import VersionedTable
+
+    at = lambda d, h, m: dt.datetime(2024, 1, d, h, m)
+    schema = "garage_id int, customer_type string, ts timestamp_ntz, step int"
+    source, out = str(tmp_path / "events"), str(tmp_path / "changes")
+
+    def stream(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.occupancy_stream(spark.readStream.schema(schema).parquet(source), out, name=f"compact-{tmp_path.name}").awaitTermination()
+
+    def counts():
+        got = jobs.occupancy_from_stream(jobs.stream_changes(spark, out), "2024-01-01 10:00:00", "2024-01-03 10:00:00")
+        return {(r.garage_id, r.date): r.total for r in got.collect()}
+
+    stream([(1, "transient", at(1, 10, 5), 1), (2, "permit", at(1, 11, 0), 1)])
+    stream([(1, "transient", at(2, 10, 5), -1)])
+    before = counts()
+    assert before[1, at(1, 10, 5)] == 1 and before[1, at(2, 10, 6)] == 0
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_point", lambda self, state: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            jobs.compact_changes(spark, out, 1)
+    assert counts() == before
+    table = jobs.compact_changes(spark, out, 1)
+    assert counts() == before and table.read().count() == 3 and table.state()["note"] == {"through": 1}
+    first_day = {r.day: r._version for r in table.manifest().collect()}
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_point", lambda self, state: (_ for _ in ()).throw(RuntimeError("lost")))
+        stream([(1, "permit", at(2, 12, 0), 1)])
+        with pytest.raises(RuntimeError, match="lost"):
+            jobs.compact_changes(spark, out, 2)
+    after = counts()
+    assert after[1, at(2, 12, 0)] == 1 and after[1, at(2, 11, 59)] == 0
+    jobs.compact_changes(spark, out, 2)
+    assert counts() == after
+    second = {r.day: r._version for r in table.manifest().collect()}
+    assert len(second) == 2 and sum(second[d] == first_day[d] for d in second) == 1
+    assert jobs.compact_changes(spark, out, 2).state()["note"] == {"through": 2}
