@@ -299,6 +299,22 @@ for _v in ("v1", "v3"):
         lambda t, v=_v: assembled(t, v).select(*_ASM_COLUMNS)
     )
 
+
+def _ticket_alone(sql: str) -> str:
+    """The same text with the garage left out of every key and taken from the first side that has one."""
+    for old, new in (("partition by garage_id, ticket", "partition by ticket"), ("select distinct garage_id, ticket from g", "select distinct ticket from g"),
+                     ("select a.garage_id, a.ticket", "select a.ticket"), ("coalesce(p.garage_id, m.garage_id) garage_id", "coalesce(p.e.garage_id, p.x.garage_id, p.f.garage_id, m.garage_id) garage_id"),
+                     ("p.garage_id = m.garage_id and ", ""), *((f"{n}.garage_id = a.garage_id and ", "") for n in "exf")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+for _v in ("v1", "v3"):
+    query(f"assemble_visits_by_ticket_{_v}" if _v == "v3" else "assemble_visits_by_ticket", f"with {_ticket_alone(_assembled_sql(_v))} select {', '.join(_ASM_COLUMNS)} from asm")(
+        lambda t, v=_v: vs.assemble_visits(
+            vs.pair_by_ticket(gate_like_presence(t), vs.permit_movements(history(t), current(t), holders(t), A, B, v), A, B, v), employee_customer=EMPLOYER, variant=v).select(*_ASM_COLUMNS)
+    )
+
 AS_OF = "2024-01-21 15:00:00"
 _ODD = "(status = 'Exit Only' and (entry_guess > exit_ts or date_diff('day', entry_guess, exit_ts) > 8))"
 _SHORT = ["garage_id", "ticket", "trip_id", "status", "entry_ts", "exit_ts", "length_of_stay", "impute_duration", "customer_type", "exit_classification"]

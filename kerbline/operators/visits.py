@@ -213,6 +213,18 @@ def visit_full_outer(picks: DataFrame, movements: DataFrame, variant: str = "v1"
     return by_movement.unionByName(alone)
 
 
+def pair_by_ticket(gate: DataFrame, movements: DataFrame, start: str, end: str, variant: str = "v1") -> DataFrame:
+    """V6, J8 with the ticket alone as key: an entry in one garage and an exit in another are one visit.
+
+    Its garage is the first that is there of the entry's, the exit's, the
+    attempt's and the movement's.
+    """
+    keys = ["ticket"]
+    joined = visit_full_outer(pick_events(gate, start, end, variant, keys), movements, variant, keys)
+    garage = F.coalesce(*[F.col(f"{side}.garage_id") for side in ("g.e", "g.x", "g.f", "m")])
+    return joined.select(garage.alias("garage_id"), "ticket", "g", "m")
+
+
 def assemble_visits(joined: DataFrame, *, employee_customer: int, variant: str = "v1", minutes: int = st.TYPICAL_STAY) -> DataFrame:
     """V8: status, times, classification and amounts of each joined visit."""
     c = F.col

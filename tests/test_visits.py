@@ -98,6 +98,21 @@ def test_full_outer_join(spark, variant):
     assert sorted(map(key, have.collect())) == sorted(map(key, want.collect()))
 
 
+def test_a_ticket_pairs_over_garages(spark):
+    at = lambda h: D(2024, 1, 10, h)
+    rows = [(1, 1, 5, 20, at(8), "E"), (2, 2, 5, 30, at(9), "X"), (3, 3, 6, 31, at(9), "F"), (4, 2, 7, 30, at(7), "X")]
+    g = spark.createDataFrame([(*r, 0, 0, 0, 0, 0, 0, r[4]) for r in rows], "event_id int, garage_id int, ticket int, txn_type int, ts timestamp_ntz, station string, ticket_type int, parking int,"
+                                                                         "amount int, t2_amount int, cashier int, shift int, other_ts timestamp_ntz")
+    moves = [(4, 5, "m5", at(8), None, "h", "g", "c", 1, 3), (6, 9, "m9", at(8), at(9), "h", "g", "c", 1, 3)]
+    m = spark.createDataFrame(moves, "garage_id int, ticket int, media string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, card_holder string, group_name string, customer_name string, customer_id int, state int")
+    span = ("2024-01-09 00:00:00", "2024-01-12 00:00:00")
+    got = {r.ticket: r for r in vs.assemble_visits(vs.pair_by_ticket(g, m, *span), employee_customer=99).collect()}
+    assert {t: (r.garage_id, r.status, r.permit_number) for t, r in got.items()} == {
+        5: (1, "Complete", "m5"), 6: (3, "Exit Only", None), 7: (2, "Exit Only", None), 9: (6, "Complete", "m9")}
+    halves = vs.assemble_visits(vs.visit_full_outer(vs.pick_events(g, *span), m), employee_customer=99)
+    assert halves.filter("ticket = 5").count() == 3
+
+
 def test_picks_ignore_sentinels(spark):
     rows = [(1, 1, t, 20, D(2024, 1, 10), "E") for t in (*stays.SENTINEL_TICKETS, 5)]
     g = spark.createDataFrame(rows, "event_id int, garage_id int, ticket int, txn_type int, ts timestamp_ntz, station string")
