@@ -197,8 +197,7 @@ def historical_features(t: Tables):
 
 
 def features(t: Tables):
-    p, v = periods(t), visits(t)
-    return fe.historical_features(fe.permit_day_grid(p, v, "1995-01-01", END), fe.policy_visit_dates(v, fe.permit_profile(p), END))
+    return fe.permit_features(periods(t), visits(t), "1995-01-01", END)
 
 
 DAY = "2001-06-13"

@@ -161,12 +161,19 @@ def unmatched_visits(visits: DataFrame, matched: DataFrame) -> DataFrame:
     return a.join(b, same, "left_anti")
 
 
-def visit_dates(visits: DataFrame, as_of: str) -> DataFrame:
-    """Every date a permit was present, once; a stay without an exit lasts to `as_of`."""
+def stay_dates(visits: DataFrame, as_of: str) -> DataFrame:
+    """(permit, date) of every date a permit was present, again for stays that began on other days; a stay without an exit lasts to `as_of`."""
     end = F.coalesce("exit_ts", F.greatest(F.lit(as_of).cast(tp.NTZ), F.col("entry_ts")))
     stays = visits.filter(F.col("entry_ts") <= end).select("permit", F.to_date("entry_ts").alias("_a"), F.to_date(end).alias("_b"))
-    # Stays on the same days are one before they are laid out.
-    return stays.distinct().select("permit", F.explode(F.sequence("_a", "_b")).alias("date")).distinct()
+    # Of the stays that began on one day the longest holds the others' dates: however many rows a permit has, it is laid
+    # out once per day of its history at most.
+    longest = stays.groupBy("permit", "_a").agg(F.max("_b").alias("_b"))
+    return longest.select("permit", F.explode(F.sequence("_a", "_b")).alias("date"))
+
+
+def visit_dates(visits: DataFrame, as_of: str) -> DataFrame:
+    """Every date a permit was present, once."""
+    return stay_dates(visits, as_of).distinct()
 
 
 def policy_change_check(periods: DataFrame) -> DataFrame:

@@ -95,6 +95,14 @@ def test_features_use_only_earlier_days(world, spark):
     assert early(vf) == early(vf.union(extra))
 
 
+def test_one_job_equals_grid_then_features(world):
+    _, _, pf, vf = world
+    one, two = fe.permit_features(pf, vf, str(LO), str(HI)), build(pf, vf)
+    assert one.columns == two.columns
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+
+
 def test_access_periods(spark):
     t = lambda d: D(2024, 1, d, 9)
     log = [
