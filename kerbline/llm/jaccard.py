@@ -65,24 +65,26 @@ def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType())])
+SIGNED = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType()),
+])
 
 
 def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
-    """(doc_id, node, signature), written: one row per input row."""
+    """(doc_id, text_hash, node, signature), written: one row per input row."""
     batches(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(size)
         for part in parts:
             nodes, signed = [], []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 values = shingles(text, n)
                 nodes.append(digest(values))
                 signed.append(minhash(values))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(signed, pa.binary())], names=SIGNED.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(signed, pa.binary())], names=SIGNED.names)
 
-    return scratch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, SIGNED), "signatures")
+    return scratch(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(run, SIGNED), "signatures")
 
 
 def with_nodes(docs: DataFrame, name: str, n: int = WORDS) -> DataFrame:
@@ -180,7 +182,9 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
     # Agreement of bands * rows hashes is within 0.25 of the similarity but once in far more than 10**9 pairs.
     least = max(0.0, threshold - 0.25)
     signed = signatures(docs, n, bands * rows)
-    nodes = scratch(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("signature").alias("signature")), "nodes")
+    # One row of each node, by id and text: ids alone may repeat or be missing.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = scratch(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.min(row).alias("first_row"), F.max("signature").alias("signature")), "nodes")
     width = 2 * rows
     band_rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "signature").select(
         "node", "band", F.xxhash64("band", F.expr(f"substring(signature, band * {width} + 1, {width})")).alias("key"))
@@ -209,15 +213,15 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
     takes_part = scratch(in_jobs(with_signature).mapInArrow(candidates, JOB), "candidates")
 
     # The sets of the nodes that take part, from the text of one of their documents.
-    wanted = takes_part.select("node").distinct().join(nodes.select("node", "first_doc"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
+    wanted = takes_part.select("node").distinct().join(nodes.select("node", "first_row.doc_id", "first_row.text_hash"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])).select("node", "text")
 
     def sets_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for node, text in zip(*(c.to_pylist() for c in part.columns)):
                 values = shingles(text, n)
-                if digest(values) == node:  # else another document with the same id
+                if digest(values) == node:  # else another text with the same id and hash
                     yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([values.astype("<u8").tobytes()], pa.binary())], names=["node", "grams"])
 
     sets = scratch(texts.mapInArrow(sets_of, "node binary, grams binary").dropDuplicates(["node"]), "gram-sets")

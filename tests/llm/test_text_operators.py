@@ -264,3 +264,17 @@ def test_empty_tables(none):
     model = lm_scoring.train(none)
     assert lm_scoring.score(none, model).count() == 0
     assert jaccard.join(none).count() == 0 and fingerprints.fingerprint(none).count() == 0
+
+
+def test_rows_without_ids_link_by_their_texts(spark):
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for i in range(150):
+        own = words[i * 25:i * 25 + 60]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    far = [t.replace("w", f"v{i // 2}x") for i, t in enumerate(texts)]
+    with_ids = spark.createDataFrame([(i, t) for i, t in enumerate(far)], "doc_id long, text string").repartition(4)
+    without = with_ids.withColumn("doc_id", F.lit(None).cast("long"))
+    links = [sorted(r.n_links for r in jaccard.join(df).collect()) for df in (with_ids, without, with_ids.withColumn("doc_id", F.lit(7).cast("long")))]
+    assert links[0] == links[1] == links[2] == [1] * 300
+    assert jaccard.classes(without).select("class_node").distinct().count() == 150
