@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -57,6 +58,19 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SAMPLE_BITS = 62
+
+
+def sample_bound(share: float) -> int:
+    """Of all hashes of SAMPLE_BITS bits, those below this are a share; above 0 for any share a table can ask for."""
+    return min(1 << SAMPLE_BITS, math.ceil(share * (1 << SAMPLE_BITS)))
+
+
+def sampled(share: float, *columns: str) -> Column:
+    """Whether a row is in a sample of about a share of all rows, by a hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - SAMPLE_BITS) < F.lit(sample_bound(share))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total UTF-8 bytes of a column, one pass with a partial sum per task."""
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)

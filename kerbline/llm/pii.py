@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import batches
+from kerbline.llm.common import batches, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -109,14 +109,13 @@ def runs(text: str, around: int = 2) -> list[list[tuple[str, int]]]:
     return out
 
 
+_REPEATS = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(token: str) -> str:
     """X for upper-case, x for lower-case, d for digits, other signs as they are; repeats once."""
-    out = []
-    for c in token[:80]:
-        s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out)
+    signs = ["d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in token]
+    return _REPEATS.sub(r"\1", "".join(signs))
 
 
 def token_features(tokens: list[str]) -> list[list[str]]:
@@ -267,7 +266,7 @@ def labelled_table(docs: DataFrame, sample_runs: int = 1500, sample_docs: int =
 
     # Training sample only: about `sample_docs` documents by a hash, at most 20 runs of each, so the driver sees a bounded table.
     share = min(1.0, sample_docs / max(1, docs.count()))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = docs.where(sampled(share, "doc_id"))
     telling = picked.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("place"), "text")
     labelled = telling.mapInArrow(label, "place long, k int, hit boolean, tokens array<string>, labels array<string>")
     halves = [labelled.where(F.col("hit") == hit).orderBy("place", "k").limit(sample_runs // 2).collect() for hit in (True, False)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.llm.common import batches, scratch
+from kerbline.llm.common import batches, sampled, scratch
 
 # Letters that look like Latin ones, and digits and signs used for letters.
 LOOK_ALIKE = {
@@ -72,9 +72,13 @@ def around(text: str, start: int, entry: str) -> tuple[str, str, str]:
     """The whole word a match begins, and its neighbours."""
     stop = text.find(" ", start + 1)
     word = text[start + 1:stop]
-    left = text[max(0, start - 40):start].rsplit(None, 1)
-    right = text[stop:stop + 40].split(None, 1)
-    return word, left[-1] if left else "", right[0] if right else ""
+    # Blanks may stand in a row; the neighbours are whole words, however long and far.
+    end, begin = start, stop
+    while end > 0 and text[end - 1] == " ":
+        end -= 1
+    while begin < len(text) and text[begin] == " ":
+        begin += 1
+    return word, text[text.rfind(" ", 0, end) + 1:end], text[begin:text.find(" ", begin)] if begin < len(text) else ""
 
 
 def matched(text: str, automaton, exceptions: set[str]) -> tuple[float, list[tuple[str, str, str, str]]]:
@@ -122,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_en
     batches(spark)
     usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
     share = min(1.0, sample_rows / max(1, usable.count()))
-    usable = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    usable = usable.where(sampled(share, "_id"))
     # About `sample_rows` pairs of numbers, so a broadcast is bounded and only the sample's texts are ever moved.
     sample = docs.select("doc_id", "text").join(F.broadcast(usable), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic")
     rows = scratch(sample.dropDuplicates(), "toxicity-sample").select("text", "_toxic")

@@ -249,3 +249,26 @@ def test_pii_report_and_field(spark, odd, none):
     table = pii.labelled_table(docs.where("doc_id >= 5000"))
     right = [(path == [pii.LABELS.index(x) for x in labels]).all() for path, (_, labels) in zip(model.decode([t for t, _ in table]), table)]
     assert np.mean(right) > 0.95
+
+
+def test_samples_are_never_empty_for_being_small(spark):
+    from kerbline.llm.common import SAMPLE_BITS, sample_bound, sampled
+
+    # 20,000 labelled rows of 10**14, and all rows of a table smaller than the sample.
+    assert sample_bound(20_000 / 1e14) > 1 << 25 and sample_bound(1.0) == 1 << SAMPLE_BITS
+    ids = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    assert ids.where(sampled(1.0, "doc_id")).count() == 100_000
+    assert abs(ids.where(sampled(0.01, "doc_id")).count() - 1000) < 150
+    bound = sample_bound(60_000 / 6e10)
+    assert abs(bound / (1 << SAMPLE_BITS) - 1e-6) < 1e-12
+
+
+def test_neighbours_are_whole_words_however_long():
+    long = "a" * 60
+    text = f"  {long}   bad    {long}b  end "
+    assert toxicity.around(text, text.index(" bad"), " bad") == ("bad", long, f"{long}b")
+    assert toxicity.around(" bad ", 0, " bad") == ("bad", "", "")
+
+
+def test_shapes_read_the_whole_token():
+    assert pii.shape("a" * 100 + "1" * 100 + "Z") == "xdX" and pii.shape("") == "" and pii.shape("..--A9") == ".-Xd"
