@@ -276,12 +276,13 @@ def space_service_state(t: Tables):
 @query("coin_inspections", """with k as (select l_orderkey * 10 + l_linenumber id, l_suppkey terminal, l_shipdate + (l_partkey % 1440) * interval '1' minute date, cast(l_partkey % 9 as bigint) card_number from {lineitem}),
       d as (select * from k where cast(date as date) = (select max(cast(date as date)) from k)),
       o as (select * from (select *, row_number() over (partition by terminal order by date desc, id desc) rn from d) q where rn = 1)
-    select terminal, date inspected_date, 'card ' || card_number inspected_by, card_number, n_name assigned_to from o left join {nation} on n_nationkey = card_number and n_nationkey < 7""")
+    select terminal, date inspected_date, 'card ' || card_number inspected_by, card_number, n_name assigned_to from o left join {nation} on case when n_nationkey < 7 then n_nationkey else n_nationkey + 1000 end = card_number""")
 def coin_inspections(t: Tables):
     k = t.lineitem.select(
         (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), c("l_suppkey").alias("terminal"), tp.add_minutes(c("l_shipdate"), c("l_partkey") % 1440).alias("date"),
         (c("l_partkey") % 9).cast("bigint").alias("card_number")).withColumn("card_name", F.concat(F.lit("card "), "card_number"))
-    cards = t.nation.filter("n_nationkey < 7").select(c("n_nationkey").cast("bigint").alias("card_number"), c("n_name").alias("assigned_to"))
+    # Cards from 7 on have numbers that no inspection bears.
+    cards = t.nation.select(F.when(c("n_nationkey") < 7, c("n_nationkey")).otherwise(c("n_nationkey") + 1000).cast("bigint").alias("card_number"), c("n_name").alias("assigned_to"))
     return op.coin_inspections(k, cards)
 
 

@@ -53,7 +53,8 @@ def history(t: Tables):
 
 
 def cards(t: Tables):
-    return t.customer.select(F.concat(F.lit("L"), "c_custkey").alias("media"), "c_mktsegment").filter("c_mktsegment <> 'BUILDING'").select("media")
+    # Cards of one segment bear a medium that no presence has.
+    return t.customer.select(F.concat(F.when(F.col("c_mktsegment") != "BUILDING", "L").otherwise("none "), "c_custkey").alias("media"))
 
 
 def holders(t: Tables):
@@ -72,7 +73,7 @@ _PERMIT_VISITS = """pv as (
     union all
     select presence_id, garage_id, ticket, media, state, entry_ts, null, cost, paid from {presence}
     where state = 1 and ticket <> 0 and cast(entry_ts as date) >= date '2023-12-30' and cast(entry_ts as date) < date '2024-02-01'
-      and media in (select 'L' || c_custkey from {customer} where c_mktsegment <> 'BUILDING'))"""
+      and media in (select case when c_mktsegment <> 'BUILDING' then 'L' else 'none ' end || c_custkey from {customer}))"""
 
 
 @query("permit_visits", f"with {_PERMIT_VISITS} select * replace (cast(cost as double) as cost, cast(paid as double) as paid) from pv")
@@ -82,7 +83,8 @@ def permit_visits(t: Tables):
 
 # Virtual tickets of a few permits only, so that some gate tickets stay.
 def virtual(t: Tables):
-    return t.presence.filter("customer_id < 20").select("garage_id", "ticket")
+    # Tickets of the other customers are moved to numbers that no gate event has.
+    return t.presence.select("garage_id", F.when(F.col("customer_id") < 20, F.col("ticket")).otherwise(-F.col("ticket") - 1).alias("ticket"))
 
 
 _TICKETS = """k as (select distinct garage_id, ticket from g where txn_type in (20, 30, 32, 33, 37, 40)
