@@ -108,11 +108,11 @@ view("visits", """
            o_orderdate + 2 * interval '1' day load_ts
     from {orders}""")
 view("access_log", """
-    select event_id log_id, user_id card_id, ts, case event_type when 'signup' then 2 else 110 end property_type,
+    select event_id log_id, user_id card_id, ts, case event_type when 'signup' then 2 when 'error' then 110 when 'purchase' then 110 else 7 end property_type,
            case event_type when 'error' then 'True' when 'purchase' then 'False'
                 else concat('G: group ', cast(cast(floor(value) as int) % 5 as varchar(5))) end new_value,
            concat('G: group ', cast(user_id % 5 as varchar(5))) group_detail
-    from {events} where event_type in ('signup','error','purchase')""")
+    from {events}""")
 view("citations", """
     select event_id ticketid, ts issue_ts, event_type violation,
            case event_id % 10 when 0 then 'Void Approved' when 1 then 'Warning' else 'Issued' end status,
