@@ -22,7 +22,7 @@ def shingles(text):
 def test_order_and_columns():
     assert list(STAGES) == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_one_document_of_each_group_stays(spark, small, odd):
