@@ -75,9 +75,12 @@ def coalesced_key_join(t: Tables):
     return lk.coalesced_key_join(rows, t.device, "space_name", "pole", "device_terminal_id").select("id", "device_id")
 
 
-@query("constant_key", "select o_orderkey, 0 system_id from {orders}")
+@query("constant_key", """select o_orderkey, (select max(settlement_system_id) from {settlement} where system_name = 'IPS') system_id,
+    (select max(n_nationkey) from {nation} where n_name = 'NATION_6') nation_id, (select max(n_nationkey) from {nation} where n_name = 'ATLANTIS') absent_id from {orders}""")
 def constant_key(t: Tables):
-    return t.orders.select("o_orderkey", lk.constant_key(t.settlement, "system_name", "IPS", "settlement_system_id").alias("system_id"))
+    return t.orders.select(
+        "o_orderkey", lk.constant_key(t.settlement, "system_name", "IPS", "settlement_system_id").alias("system_id"),
+        lk.constant_key(t.nation, "n_name", "NATION_6", "n_nationkey").alias("nation_id"), lk.constant_key(t.nation, "n_name", "ATLANTIS", "n_nationkey").alias("absent_id"))
 
 
 @query("anti_join_presence", """select distinct garage_id, ticket from {gate} g where not exists (select 1 from {presence} p where p.garage_id = g.garage_id and p.ticket = g.ticket and state = 3)

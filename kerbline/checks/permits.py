@@ -210,12 +210,17 @@ DAY = "2001-06-13"
     dd as (select permit, mask, unnest(generate_series(f::timestamp, timestamp '{DAY}' - interval '1' day, interval '1' day))::date d from ok),
     pd as (select * from dd where (mask >> (isodow(d) - 1)::int) & 1 = 1),
     vd as (select distinct permit, unnest(generate_series(entry_ts::date::timestamp, exit_ts::date::timestamp, interval '1' day))::date d from v2 where entry_ts < timestamp '{DAY}'),
-    pv as (select vd.permit, vd.d from vd join ok using (permit) where d < date '{DAY}' and (mask >> (isodow(d) - 1)::int) & 1 = 1)
-    select ok.permit, case when nd > 0 then coalesce(nv, 0) / nd end presence_rate, date '{DAY}' - lv days_since_last_visit, coalesce(lw, 0) visited_same_last_week, date '{DAY}' - f tenure_days
-    from ok left join (select permit, count(*) nd from pd group by 1) a using (permit)
-    left join (select permit, count(*) nv, max(d) lv, max(case when d = date '{DAY}' - 7 then 1 else 0 end) lw from pv group by 1) b using (permit)""")
+    pv as (select vd.permit, vd.d from vd join ok using (permit) where d < date '{DAY}' and (mask >> (isodow(d) - 1)::int) & 1 = 1),
+    h as (select pd.permit, pd.d, case when pv.d is not null then 1 else 0 end s, row_number() over (partition by pd.permit order by pd.d desc) k from pd left join pv on pv.permit = pd.permit and pv.d = pd.d),
+    recent as (select permit, avg(s) filter (k <= 10) r10, avg(s) filter (k <= 20) r20, count(*) filter (isodow(d) = isodow(date '{DAY}')) dow_days,
+                 max(s) filter (k = 1) s1, coalesce(min(k) filter (s = 1), count(*) + 1) - 1 absent, coalesce(min(k) filter (s = 0), count(*) + 1) - 1 present from h group by 1)
+    select ok.permit, month(date '{DAY}') "month", week(date '{DAY}') week_of_year, isodow(date '{DAY}') - 1 day_of_week, 0 is_holiday,
+      case when nd > 0 then coalesce(nv, 0) / nd end presence_rate, r10 presence_rate_10, r20 presence_rate_20, case when dow_days > 0 then coalesce(dow_visits, 0) / dow_days end day_of_week_rate,
+      coalesce(case when s1 = 1 then present else -absent end, 0) streak, date '{DAY}' - lv days_since_last_visit, coalesce(lw, 0) visited_same_last_week, date '{DAY}' - f tenure_days
+    from ok left join (select permit, count(*) nd from pd group by 1) a using (permit) left join recent using (permit)
+    left join (select permit, count(*) nv, count(*) filter (isodow(d) = isodow(date '{DAY}')) dow_visits, max(d) lv, max(case when d = date '{DAY}' - 7 then 1 else 0 end) lw from pv group by 1) b using (permit)""")
 def prediction_rows(t: Tables):
-    return fe.prediction_rows(periods(t), visits(t), DAY).select("permit", "presence_rate", "days_since_last_visit", "visited_same_last_week", "tenure_days")
+    return fe.prediction_rows(periods(t), visits(t), DAY).select("permit", *fe.FEATURES, "streak", "tenure_days")
 
 
 @query("temporal_split", f"""with {_FEATURES}, k as (select * from feat where pd > 0 and r10 is not null and r20 is not null and wd > 0 and lastv is not null)
@@ -230,12 +235,17 @@ def group_split(t: Tables):
     return fe.group_split(features(t)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("permit").alias("permits"))
 
 
+# The ten features as expressions over `feat`.
+_NAMED = {"day_of_week": "isodow(d) - 1", "month": "month(d)", "week_of_year": "week(d)", "is_holiday": f"({_HOLIDAY})", "presence_rate": "pv / pd", "presence_rate_10": "r10",
+          "presence_rate_20": "r20", "day_of_week_rate": "wv / wd", "days_since_last_visit": "d - lastv", "visited_same_last_week": "lastweek"}
+
+
 @query("feature_drift", f"""with {_FEATURES}, k as (select * from feat where pd > 0 and r10 is not null and r20 is not null and wd > 0 and lastv is not null),
-    m as (select d <= date '1999-12-31' tr, d > date '2000-12-31' te, month(d) * 1.0 m, pv / pd p from k)
-    select 'month' feature, round(avg(case when tr then m end), 9) train_mean, round(avg(case when te then m end), 9) test_mean, round(avg(case when te then m end) - avg(case when tr then m end), 9) delta from m
-    union all select 'presence_rate', round(avg(case when tr then p end), 9), round(avg(case when te then p end), 9), round(avg(case when te then p end) - avg(case when tr then p end), 9) from m""")
+    m as (select d <= date '1999-12-31' tr, d > date '2000-12-31' te, {", ".join(f"{e} f_{n}" for n, e in _NAMED.items())} from k)
+    """ + " union all ".join(f"""select '{n}' feature, round(avg(f_{n}) filter (tr), 9) train_mean, round(avg(f_{n}) filter (te), 9) test_mean,
+      round(avg(f_{n}) filter (te) - avg(f_{n}) filter (tr), 9) delta from m""" for n in _NAMED))
 def feature_drift(t: Tables):
-    rows = fe.feature_drift(fe.temporal_split(features(t), "1999-12-31", "2000-12-31"), ("month", "presence_rate"))
+    rows = fe.feature_drift(fe.temporal_split(features(t), "1999-12-31", "2000-12-31"))
     return rows.select("feature", *[F.round(n, 9).alias(n) for n in ("train_mean", "test_mean", "delta")])
 
 

@@ -110,7 +110,7 @@ def overlap_detect(assignments: DataFrame) -> DataFrame:
     spans = (
         assignments.select("device_id", "assignment_id", "assign_date", "end_date")
         .withColumn("_end", end_or_forever(F.col("end_date")))
-        .filter(F.col("assign_date") < F.col("_end"))
+        .filter(F.col("device_id").isNotNull() & (F.col("assign_date") < F.col("_end")))
     )
     # The assignments of one device are a handful by nature, so one plain window serves both steps.
     along = Window.partitionBy("device_id").orderBy("assign_date", "assignment_id")

@@ -160,11 +160,30 @@ def period_end(events: DataFrame, key: str, ts: str, tie: str, out: str = "perio
 
 
 def islands(events: DataFrame, key: str, ts: str, tie: str, state: str, out: str = "island", unit: str = MONTH) -> DataFrame:
-    """Number of the run of equal `state` values that an event belongs to, counted from 1 per key."""
-    cut = chunk_of(ts, unit)
-    seen = ordered_scan(events, [key], [ts, tie], cut, row_number="_row", prevs={"_prev": F.col(state)})
-    starts = (F.col("_row") == 1) | ~F.col("_prev").eqNullSafe(F.col(state))
-    return ordered_scan(seen, [key], [ts, tie], cut, sums={out: starts.cast("int")}).drop("_row", "_prev")
+    """Number of the run of equal `state` values that an event belongs to, counted from 1 per key.
+
+    One scan: changes of state are counted within each chunk, and the changes
+    of the chunks before, with those between one chunk and the next, are added.
+    """
+    cut = events.withColumn("_chunk", chunk_of(ts, unit))
+    safe = null_safe(cut, [key, "_chunk"])
+    of_chunk, of_key = list(safe), [n for n in safe if not n.endswith("_chunk")]
+    inside = Window.partitionBy(*of_chunk).orderBy(ts, tie)
+    before = F.lag(F.struct(F.col(state).alias("v"))).over(inside)
+    turned = F.when(before.isNotNull() & ~before["v"].eqNullSafe(F.col(state)), 1).otherwise(0)
+    scanned = cut.withColumns(safe).withColumn("_turn", turned).withColumn(
+        "_turns", F.sum("_turn").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    at, held = F.struct(ts, tie), F.struct(F.col(state).alias("v"))
+    per_chunk = scanned.groupBy(*of_chunk).agg(F.max("_turns").alias("_inner"), F.min_by(held, at).alias("_head"), F.max_by(held, at).alias("_tail"))
+    along = Window.partitionBy(*of_key).orderBy(F.desc("_null__chunk"), "_safe__chunk")
+    tail = F.lag("_tail").over(along)
+    joint = F.when(tail.isNull() | ~tail["v"].eqNullSafe(F.col("_head.v")), 1).otherwise(0)
+    earlier = F.coalesce(F.sum("_inner").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joints = F.sum("_joint").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carry = per_chunk.withColumn("_joint", joint).select(*of_chunk, (earlier + joints).alias("_before"))
+    kept = [n for n in events.columns if n != out]
+    return scanned.join(carry, of_chunk).select(*kept, (F.col("_before") + F.col("_turns")).alias(out))
 
 
 def running_occupancy(deltas: DataFrame, keys: list[str], minute: str, values: list[str], day: Column) -> DataFrame:
