@@ -51,10 +51,12 @@ _fallback_dirs: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="kerbline-checkpoint-")

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,3 +86,33 @@ def test_history_keeps_rows_with_nulls(spark):
     events = spark.createDataFrame([(1, None, "out", None, 1), (None, dt.datetime(2024, 1, 1), "out", None, 2), (1, dt.datetime(2024, 1, 3), "return", None, 3)],
                                    "space int, ts timestamp_ntz, kind string, date_returned timestamp_ntz, event_id int")
     assert sorted(r.event_id for r in operations.space_intervals(events).collect()) == [1, 2]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from kerbline import session
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://driver:7077", "applicationId": "app"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Bare)
+    assert session.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_islands_over_chunk_edges_with_null_states(spark):
+    import itertools
+
+    # A run that spans months, one that ends with a month, NULL states in a row, a NULL time, a single row.
+    states = ["a", "a", None, None, "b", "b", "b", "a"]
+    at = [None, *(dt.datetime(2023, m, 27) for m in (1, 1, 2, 3, 3, 5, 6))]
+    rows = [(i, k, t, s) for k in (1, None) for i, (t, s) in enumerate(zip(at, states))] + [(0, 2, at[1], None)]
+    df = spark.createDataFrame(rows, "id int, k int, ts timestamp_ntz, s string").repartition(5)
+    want = []
+    for k, part in itertools.groupby(sorted(rows, key=lambda r: (str(r[1]), r[2] or dt.datetime.min, r[0])), key=lambda r: r[1]):
+        run, last = 0, object()
+        for i, _, _, s in part:
+            run, last = run + (s != last), s
+            want.append((str(k), i, run))
+    for unit in ("day", "month"):
+        assert sorted((str(r.k), r.id, r.island) for r in ordered.islands(df, "k", "ts", "id", "s", unit=unit).collect()) == sorted(want)
