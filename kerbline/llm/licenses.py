@@ -15,6 +15,7 @@ repeated rows are scanned alike; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,21 +76,110 @@ FRAMES = [
     (r"under (?:the )?(?:conditions of )?(?:the )?(?:{name})", "under", 4, 0.8),
     (r"(?:{name})", "", 5, 0.7),
 ]
-# Hand-written signatures of licence texts: expression, label, keyword, priority, weight.
+# Hand-written signatures of licence texts and file headers: expression, label, keyword, priority, weight.
 SIGNATURES = [
     (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", "hereby granted", 1, 1.0),
+    (r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", "mit", "without restriction", 1, 1.0),
+    (r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", "permission notice", 1, 0.95),
+    (r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "mit", "copyright holders", 2, 0.8),
     (r"permission to use copy modify and or distribute this software for any purpose", "isc", "distribute this software", 1, 1.0),
+    (r"the software is provided as is and the author disclaims all warranties with regard to this software", "isc", "disclaims all warranties", 1, 0.95),
     (r"redistribution and use in source and binary forms with or without modification", "bsd", "redistribution", 1, 1.0),
+    (r"redistributions of source code must retain the above copyright notice this list of conditions", "bsd", "redistributions of", 1, 0.95),
+    (r"redistributions in binary form must reproduce the above copyright notice", "bsd", "redistributions in", 1, 0.95),
+    (r"the views and conclusions contained in the software and documentation are those of the authors", "bsd-2-clause", "views and conclusions", 1, 0.9),
     (r"neither the name of .{1,80}? nor the names of its contributors", "bsd-3-clause", "neither the name", 1, 1.0),
+    (r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "bsd-4-clause", "advertising materials", 1, 1.0),
     (r"this program is free software you can redistribute it and or modify it", "gpl", "free software", 1, 1.0),
+    (r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", "gpl", "copyleft", 1, 1.0),
+    (r"you should have received a copy of the gnu general public licen[sc]e along with", "gpl", "should have received", 1, 1.0),
+    (r"the licenses for most software are designed to take away your freedom to share and change it", "gpl", "freedom to share", 1, 1.0),
+    (r"this program is distributed in the hope that it will be useful but without any warranty", "gpl", "in the hope that", 2, 0.8),
+    (r"either version [0-9]+ of the licen[sc]e or at your option any later version", "gpl", "any later version", 2, 0.8),
+    (r"this library is free software you can redistribute it and or modify it", "lgpl", "free software", 1, 1.0),
+    (r"is called a work that uses the library", "lgpl", "uses the library", 1, 0.9),
+    (r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", "lgpl", "should have received", 1, 1.0),
+    (r"you should have received a copy of the gnu affero general public licen[sc]e", "agpl", "should have received", 1, 1.0),
+    (r"your modified version must prominently offer all users interacting with it remotely through a computer network", "agpl", "prominently offer", 1, 1.0),
+    (r"the gnu affero general public licen[sc]e is a free copyleft licen[sc]e", "agpl", "copyleft", 1, 1.0),
+    (r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", "gfdl", "free documentation", 1, 1.0),
+    (r"with no invariant sections no front cover texts and no back cover texts", "gfdl", "invariant sections", 1, 1.0),
     (r"you may not use this file except in compliance with the licen[sc]e", "apache", "in compliance with", 1, 1.0),
+    (r"software distributed under the licen[sc]e is distributed on an as is basis without warranties or conditions of any kind", "apache", "as is basis", 1, 0.95),
+    (r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e", "apache", "royalty free", 1, 1.0),
+    (r"this product includes software developed by the apache (?:software foundation|group)", "apache", "by the apache", 1, 0.95),
     (r"this source code form is subject to the terms of the mozilla public licen[sc]e", "mpl", "source code form", 1, 1.0),
+    (r"if a copy of the mpl was not distributed with this file", "mpl", "of the mpl", 1, 1.0),
+    (r"the contents of this file are subject to the mozilla public licen[sc]e", "mpl", "contents of this file", 1, 1.0),
+    (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", "epl", "accompanying materials", 1, 1.0),
+    (r"the accompanying program is provided under the terms of this eclipse public licen[sc]e", "epl", "accompanying program", 1, 1.0),
+    (r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "cddl", "contents of this file", 1, 1.0),
+    (r"when distributing covered (?:code|software) include this cddl header notice in each file", "cddl", "covered", 1, 1.0),
+    (r"this program and the accompanying materials are made available under the terms of the common public licen[sc]e", "cpl", "accompanying materials", 1, 1.0),
+    (r"the accompanying program is provided under the terms of this common public licen[sc]e", "cpl", "accompanying program", 1, 1.0),
+    (r"this european union public licen[sc]e the eupl applies to the work", "eupl", "the eupl applies", 1, 1.0),
+    (r"the origin of this software must not be misrepresented", "zlib", "be misrepresented", 1, 1.0),
     (r"altered source versions must be plainly marked as such", "zlib", "plainly marked", 1, 1.0),
+    (r"this notice may not be removed or altered from any source distribution", "zlib", "removed or altered", 1, 1.0),
+    (r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "boost", "hereby granted", 1, 1.0),
+    (r"distributed under the boost software licen[sc]e", "boost", "boost software", 1, 1.0),
+    (r"maintains some semblance of artistic control over the development of the package", "artistic", "artistic control", 1, 1.0),
+    (r"this licen[sc]e establishes the terms under which a given free software package may be copied", "artistic", "free software", 1, 1.0),
+    (r"this licen[sc]e agreement is between the python software foundation", "python", "python software", 1, 1.0),
+    (r"psf is making python available to licensee on an as is basis", "python", "as is basis", 1, 1.0),
+    (r"this product includes php software freely available from", "php", "php software", 1, 1.0),
+    (r"products derived from this software may not be called php", "php", "be called php", 1, 1.0),
+    (r"for any purpose without fee and without a written agreement is hereby granted", "postgresql", "hereby granted", 1, 1.0),
+    (r"this product includes software developed by the openssl project", "openssl", "openssl project", 1, 1.0),
+    (r"this product includes cryptographic software written by eric young", "openssl", "cryptographic software", 1, 1.0),
     (r"this is free and unencumbered software released into the public domain", "unlicense", "unencumbered", 1, 1.0),
+    (r"anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", "distribute this software", 1, 1.0),
+    (r"dedicate any and all copyright interest in the software to the public domain", "unlicense", "copyright interest", 1, 1.0),
+    (r"verbatim or modified copies of this licen[sc]e document and changing it is allowed as long as the name is changed", "wtfpl", "the name is changed", 1, 1.0),
+    (r"you just do what the fuck you want to", "wtfpl", "do what the", 1, 1.0),
+    (r"this font software is licensed under the sil open font licen[sc]e", "ofl", "font software", 1, 1.0),
+    (r"neither the font software nor any of its individual components in original or modified versions may be sold by itself", "ofl", "font software", 1, 1.0),
+    (r"is made available under the open database licen[sc]e", "odbl", "open database", 1, 1.0),
+    (r"any rights in individual contents of the database are licensed under the database contents licen[sc]e", "odbl", "database contents", 1, 1.0),
+    (r"the restrictions set forth in attachment a are considered use based restrictions", "openrail", "use based", 1, 1.0),
+    (r"you agree not to use the model or derivatives of the model", "openrail", "derivatives of the model", 1, 1.0),
+    (r"has waived all copyright and related or neighbou?ring rights", "cc0", "has waived all", 1, 1.0),
+    (r"the person who associated a work with this deed has dedicated the work to the public domain", "cc0", "this deed", 1, 1.0),
+    (r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives", "cc0", "affirmer", 1, 1.0),
+    (r"this creative commons attribution [0-9] [0-9] international public licen[sc]e", "cc-by", "creative commons", 1, 1.0),
+    (r"this creative commons attribution share ?alike [0-9] [0-9] international public licen[sc]e", "cc-by-sa", "creative commons", 1, 1.0),
+    (r"this creative commons attribution non ?commercial [0-9] [0-9] international public licen[sc]e", "cc-by-nc", "creative commons", 1, 1.0),
+    (r"this creative commons attribution no ?derivatives [0-9] [0-9] international public licen[sc]e", "cc-by-nd", "creative commons", 1, 1.0),
+    (r"you must distribute your contributions under the same licen[sc]e as the original", "cc-by-sa", "your contributions", 1, 0.95),
+    (r"you may not use the material for commercial purposes", "cc-by-nc", "the material for", 1, 0.9),
+    (r"if you remix transform or build upon the material you may not distribute the modified material", "cc-by-nd", "modified material", 1, 0.95),
+    (r"you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made", "cc-by", "appropriate credit", 2, 0.9),
+    (r"this (?:work|file|software|document) (?:is|has been placed) in the public domain", "public-domain", "public domain", 1, 0.95),
+    (r"unauthori[sz]ed copying of this file via any medium is strictly prohibited", "proprietary", "strictly prohibited", 1, 1.0),
+    (r"is the confidential and proprietary information of", "proprietary", "proprietary information", 1, 1.0),
+    (r"no part of this (?:publication|document|book|work) may be reproduced", "proprietary", "may be reproduced", 1, 0.95),
+    (r"may not be (?:copied|reproduced|distributed) without (?:the )?(?:prior )?written (?:permission|consent)", "proprietary", "may not be", 2, 0.9),
+    (r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beerware", "me a beer", 1, 1.0),
+    (r"the software shall be used for good not evil", "json", "not evil", 1, 1.0),
+    (r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "hpnd", "hereby granted", 1, 1.0),
+    (r"without limiting other conditions in the licen[sc]e the grant of rights under the licen[sc]e will not include .{1,60}? the right to sell", "commons-clause", "grant of rights", 1, 1.0),
+    (r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "busl", "licensed work", 1, 1.0),
     (r"https? (?:www )?gnu org licenses(?: (?:old )?licenses)? ([al]?gpl)", "gpl", "gnu org", 2, 0.9),
     (r"https? (?:www )?apache org licenses", "apache", "apache org", 2, 0.9),
     (r"https? (?:www )?opensource org licenses mit", "mit", "opensource org", 2, 0.9),
+    (r"https? (?:www )?opensource org licenses bsd(?: [0-9] clause)?", "bsd", "opensource org", 2, 0.9),
+    (r"https? (?:www )?mozilla org mpl", "mpl", "mozilla org", 2, 0.9),
+    (r"https? (?:www )?eclipse org legal epl", "epl", "eclipse org", 2, 0.9),
+    (r"https? (?:www )?boost org license", "boost", "boost org", 2, 0.9),
+    (r"https? (?:www )?unlicense org", "unlicense", "unlicense org", 2, 0.9),
+    (r"https? scripts sil org ofl", "ofl", "sil org", 2, 0.9),
+    (r"https? (?:www )?opendatacommons org licenses odbl", "odbl", "opendatacommons org", 2, 0.9),
     (r"https? (?:www )?creativecommons org licenses by(?: [0-9] [0-9])?", "cc-by", "creativecommons org", 2, 0.9),
+    (r"https? (?:www )?creativecommons org licenses by sa(?: [0-9] [0-9])?", "cc-by-sa", "creativecommons org", 2, 0.9),
+    (r"https? (?:www )?creativecommons org licenses by nc(?: [0-9] [0-9])?", "cc-by-nc", "creativecommons org", 2, 0.9),
+    (r"https? (?:www )?creativecommons org licenses by nd(?: [0-9] [0-9])?", "cc-by-nd", "creativecommons org", 2, 0.9),
+    (r"https? (?:www )?creativecommons org licenses by nc sa(?: [0-9] [0-9])?", "cc-by-nc-sa", "creativecommons org", 2, 0.9),
+    (r"https? (?:www )?creativecommons org licenses by nc nd(?: [0-9] [0-9])?", "cc-by-nc-nd", "creativecommons org", 2, 0.9),
     (r"https? (?:www )?creativecommons org publicdomain zero", "cc0", "creativecommons org", 2, 0.9),
 ]
 
@@ -105,7 +195,7 @@ class Rule:
 
 
 def build_rules() -> list[Rule]:
-    """All signatures, and every way to state a licence for every family: some two hundred rules in priority order."""
+    """All signatures, and every way to state a licence for every family: some three hundred rules in priority order."""
     rules = [Rule(re.compile(rf"(?<![^ ]){p}(?![^ ])"), label, key, priority, weight) for p, label, key, priority, weight in SIGNATURES]
     for label, name, names in FAMILIES:
         for frame, frame_key, priority, weight in FRAMES:
@@ -114,10 +204,18 @@ def build_rules() -> list[Rule]:
     return sorted(rules, key=lambda r: (r.priority, r.label, r.pattern.pattern))
 
 
+# Keywords of the stated names; those of the signatures are added, but for keywords that hold another.
+_OF_NAMES = ("licen", "gpl", "gfdl", "apache 2", "asl 2", "bsd 2", "bsd 3", "mpl 2", "epl 2", "cddl", "eupl", "bsl 1", "wtfpl", "odbl", "openrail", "cc0", "cc by",
+             "cc zero", "creative commons", "public domain", "rights reserved", "proprietary and")
+
+
+def gate(keys: list[str]) -> tuple[str, ...]:
+    """The keywords that hold no other one: a text holds one of these if it holds any."""
+    return tuple(k for k in dict.fromkeys(keys) if not any(other != k and other in k for other in keys))
+
+
 # Without one of these no rule can match; most texts end here.
-ANY_KEYWORD = ("licen", "gpl", "gfdl", "apache 2", "asl 2", "bsd 2", "bsd 3", "mpl 2", "epl 2", "cddl", "eupl", "bsl 1", "wtfpl", "odbl", "openrail", "cc0", "cc by",
-               "cc zero", "creative commons", "creativecommons", "public domain", "rights reserved", "proprietary and", "hereby granted", "distribute this software",
-               "redistribution and", "neither the name", "free software", "in compliance with", "source code form", "plainly marked", "unencumbered")
+ANY_KEYWORD = gate([*_OF_NAMES, *(key for _, _, key, _, _ in SIGNATURES)])
 
 
 def detections(joined: str, rules: list[Rule], gated: bool = True) -> list[tuple[int, int, Rule]]:
@@ -137,9 +235,17 @@ def detections(joined: str, rules: list[Rule], gated: bool = True) -> list[tuple
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
     found.sort(key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].label))
     accepted: list[tuple[int, int, Rule]] = []
+    # Accepted spans that lie in no other one: starts and stops both rise, so the last that starts in time reaches furthest.
+    starts: list[int] = []
+    stops: list[int] = []
     for start, stop, rule in found:
-        if not any(a <= start and stop <= b for a, b, _ in accepted):
-            accepted.append((start, stop, rule))
+        at = bisect_right(starts, start)
+        if at and stops[at - 1] >= stop:
+            continue
+        accepted.append((start, stop, rule))
+        low, high = bisect_left(starts, start), bisect_right(stops, stop)
+        starts[low:max(low, high)] = [start]
+        stops[low:max(low, high)] = [stop]
     return accepted
 
 

@@ -122,6 +122,38 @@ def test_license_rules_priorities_and_containment():
         assert not rule.pattern.search(sample) or any(k in sample for k in licenses.ANY_KEYWORD)
 
 
+def test_license_suppression_equals_comparing_all_spans():
+    import random
+
+    rng, rules = random.Random(8), licenses.build_rules()
+    parts = [t for p, *_ in licenses.SIGNATURES for t in [alternatives(re._parser.parse(p))[0]]] + [
+        "licensed under the mit license", "gpl version 3 0", "see the apache license for details", "cc by nc sa", "all rights reserved", "bsd 3 clause", "filler words"]
+    for _ in range(60):
+        text = " ".join(rng.choices(parts, k=12))
+        found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(text)]
+        want = []
+        for a, b, r in sorted(found, key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].label)):
+            if not any(x <= a and b <= y for x, y, _ in want):
+                want.append((a, b, r))
+        assert licenses.detections(text, rules) == want
+
+
+def test_license_texts_are_told_apart():
+    rules = licenses.build_rules()
+    said = {
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": {"lgpl"},
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": {"cc-by-nc-sa"}, "https://creativecommons.org/licenses/by/4.0/": {"cc-by"},
+        "The origin of this software must not be misrepresented; you must not claim that you wrote it": {"zlib"},
+        "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work": {"cc0"},
+        "Unauthorized copying of this file, via any medium, is strictly prohibited": {"proprietary"},
+        "the origin of the river is not known and no part of this walk may be forgotten": set(),
+    }
+    for text, labels in said.items():
+        joined = " ".join(WORD.findall(low(text)))
+        assert {r.label for _, _, r in licenses.detections(joined, rules)} == labels, text
+    assert len(licenses.SIGNATURES) > 90 and {x for x, *_ in licenses.FAMILIES} <= {r.label for r in rules}
+
+
 def alternatives(parsed):
     """A text for every way through an expression: all branches, optional parts with and without, repeats once or twice."""
     texts = [""]
