@@ -2,9 +2,13 @@
 
 Hashes of all k-grams of code points roll along the text; in every window of w neighbouring hashes the smallest is
 chosen, the rightmost on ties, and kept with its position. Any passage of at least w + k - 1 code points that two texts
-share leaves a common hash in both. A text of fewer than w k-grams is one window; a text of fewer than k code points is
-one gram. The fingerprint is base64 of the chosen hashes, a colon, and base64 of their positions (unsigned 32-bit,
-little-endian). Likeness is the Jaccard index of the sets of hashes.
+share leaves a common hash in both. The fingerprint is base64 of the chosen hashes, a colon, and base64 of their
+positions (unsigned 32-bit, little-endian). Likeness is the Jaccard index of the sets of hashes.
+
+Short texts have finer grids, or they would be one hash each (`grid`): k is a quarter of the text and w an eighth of its
+k-grams, both rounded down to powers of two, k from 4 to 16 and w from 1 to 64. With one k the choice of a wide window
+is part of the choice of a narrow one, so the guarantee for shared passages holds between texts of different w as well.
+Two texts are compared on the grid of the longer one. A text of fewer than k code points is one gram.
 
 The successor of a document is the next by (doc_id, text), nulls first, the first after the last. No row is compared
 through one ordered task: documents are dealt by ranges of doc_id, ordered within a range, and each range also gets the
@@ -31,7 +35,7 @@ from pyspark.sql.window import Window as W
 
 from kerbline.llm.common import batches, text_bytes
 
-GRAM, WINDOW = 16, 64
+GRAM, WINDOW, LEAST_GRAM = 16, 64, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _MOST = np.uint64(0xFFFFFFFF)
@@ -46,6 +50,13 @@ def _doubled(values: np.ndarray, width: int, join) -> np.ndarray:
     return values
 
 
+def grid(n: int, gram: int = GRAM, window: int = WINDOW) -> tuple[int, int]:
+    """k and w for a text of n code points; `gram` and `window` are the widest."""
+    power = lambda x: 1 << max(0, x.bit_length() - 1)
+    k = min(gram, max(LEAST_GRAM, power(n // 4)))
+    return k, min(window, power(max(0, n - k + 1) // 8))
+
+
 def winnow(codes: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Chosen hashes and their positions; `gram` and `window` are powers of two."""
     n = len(codes)
@@ -121,23 +132,29 @@ def in_ranges(docs: DataFrame, range_bytes: int = 8_000_000, most_ranges: int =
 
 
 def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, range_bytes: int = 8_000_000) -> DataFrame:
-    """Fingerprints of all documents and their edited forms, with both likenesses."""
+    """Fingerprints of all documents and their edited forms, with both likenesses; `gram` and `window` are the widest."""
     batches(docs.sparkSession)
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
+    def alike(a: np.ndarray, its_a: tuple, b: np.ndarray, its_b: tuple) -> float:
+        """Likeness of two texts with their fingerprints, on the grid of the longer one."""
+        wide = grid(max(len(a), len(b)), gram, window)
+        on_wide = [its if grid(len(codes), gram, window) == wide else winnow(codes, *wide) for codes, its in ((a, its_a), (b, its_b))]
+        return likeness(on_wide[0][0], on_wide[1][0])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (range, doc_id, code points, fingerprint) of the row before
         for batch in parts:
             rows = []
             for range_no, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-                own = winnow(codes, gram, window)
+                own = winnow(codes, *grid(len(codes), gram, window))
                 if last is not None and last[0] == range_no:
                     _, before, its_codes, its = last
                     changed = edited(its_codes, codes)
-                    new = winnow(changed, gram, window)
+                    new = winnow(changed, *grid(len(changed), gram, window))
                     digest = hashlib.sha256(changed.astype("<u4").tobytes().decode("utf-32-le").encode()).hexdigest()
-                    rows.append((before, len(its_codes), digest, shown(*its), shown(*new), likeness(its[0], new[0]), likeness(its[0], own[0])))
+                    rows.append((before, len(its_codes), digest, shown(*its), shown(*new), alike(its_codes, its, changed, new), alike(its_codes, its, codes, own)))
                 last = (range_no, doc_id, codes, own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=OUT.names)

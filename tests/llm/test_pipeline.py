@@ -62,6 +62,9 @@ def test_filters_keep_clean_documents(spark, small, odd):
     grams = {tuple(b[k:k + 10]) for b in bench for k in range(len(b) - 9)}
     want = sorted(str(r.doc_id) for r in small.collect() for w in [WORD.findall(low(r.text))] if not any(tuple(w[k:k + 10]) in grams for k in range(len(w) - 9)))
     assert sorted(str(r.doc_id) for r in STAGES["decontamination"](spark, small, SF).collect()) == want
+    kept = STAGES["decontamination"](spark, odd, SF)
+    clean = [r.doc_id for r in odd.collect() for w in [WORD.findall(low(r.text))] if not any(tuple(w[k:k + 10]) in grams for k in range(len(w) - 9))]
+    assert kept.columns == odd.columns and sorted(map(str, clean)) == sorted(str(r.doc_id) for r in kept.collect())
     kept = STAGES["toxicity"](spark, odd, SF)
     assert kept.columns == odd.columns and kept.count() == odd.count()
 

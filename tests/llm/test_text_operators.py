@@ -1,6 +1,7 @@
 """LM scoring, fingerprints, packing, sharding and the Jaccard join against brute force, and on odd tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -142,20 +143,35 @@ def test_band_plan_reaches_the_recall():
         assert (1 - 0.8 ** rows) ** b <= 1e-4 < (1 - 0.8 ** rows) ** (b - 1)
 
 
-def winnowed(text, gram=fingerprints.GRAM, window=fingerprints.WINDOW):
+def widths(n):
+    """The grid of a text of n code points by its table: k from the length, w from the number of k-grams."""
+    k = 4 if n < 32 else 8 if n < 64 else 16
+    g = max(0, n - k + 1)
+    return k, max([w for w in (1, 2, 4, 8, 16, 32, 64) if 8 * w <= g], default=1)
+
+
+@functools.cache
+def winnowed(text, gram, window):
     """Windows one by one; the hash of a gram is taken from a text of just that gram."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
     if len(codes) <= gram:
-        return fingerprints.winnow(codes)
-    hashes = [int(fingerprints.winnow(codes[i:i + gram])[0][0]) for i in range(len(codes) - gram + 1)]
+        return fingerprints.winnow(codes, gram, window)
+    hashes = [int(fingerprints.winnow(codes[i:i + gram], gram, 1)[0][0]) for i in range(len(codes) - gram + 1)]
     chosen = {}
     for i in range(max(1, len(hashes) - window + 1)):
         part = hashes[i:i + window]
-        k = max(j for j, h in enumerate(part) if h == min(part))
+        least = min(part)
+        k = max(j for j, h in enumerate(part) if h == least)
         chosen[i + k] = hashes[i + k]
     return np.array([chosen[k] for k in sorted(chosen)], "<u4"), np.array(sorted(chosen), "<u4")
 
 
+def likeness_of(a, b):
+    """On the grid of the longer text."""
+    a, b = (set(winnowed(t, *widths(max(len(a), len(b))))[0].tolist()) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 @pytest.mark.parametrize("range_bytes", [8_000_000, 2_000])
 def test_fingerprints_equal_windows_one_by_one(spark, small, odd, range_bytes):
     for docs in (small.where("n_chars < 1500").select("doc_id", "text"), odd.where("n_chars < 1000")):
@@ -165,8 +181,8 @@ def test_fingerprints_equal_windows_one_by_one(spark, small, odd, range_bytes):
             after = rows[(k + 1) % len(rows)][1]
             quarter = len(text) // 4
             changed = text[:len(text) - quarter] + after[:quarter]
-            a, b, c = winnowed(text), winnowed(changed), winnowed(after)
-            want.append((str(i), len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprints.shown(*a), fingerprints.shown(*b), fingerprints.likeness(a[0], b[0]), fingerprints.likeness(a[0], c[0])))
+            a, b = (winnowed(t, *widths(len(t))) for t in (text, changed))
+            want.append((str(i), len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprints.shown(*a), fingerprints.shown(*b), likeness_of(text, changed), likeness_of(text, after)))
         got = fingerprints.fingerprint(docs, range_bytes=range_bytes).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
 
@@ -179,6 +195,22 @@ def test_a_long_shared_passage_leaves_a_common_fingerprint():
         assert set(fingerprints.winnow(a)[0]) & set(fingerprints.winnow(b)[0])
 
 
+def test_short_texts_have_graded_likeness(spark):
+    random = np.random.default_rng(11)
+    texts = ["".join(map(chr, random.integers(97, 123, n))) for n in (*range(12, 700, 8), 5000)]
+    got = sorted(fingerprints.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    for text, r in zip(texts, got[:-1]):  # three quarters are shared, but for what spans the seam
+        assert (0.3 if len(text) >= 40 else 0.1) < r.near_edited < 1 and r.near_next < 0.1, (len(text), r.near_edited, r.near_next)
+
+
+def test_a_passage_is_found_between_texts_of_different_length():
+    random = np.random.default_rng(4)
+    passage = random.integers(97, 123, fingerprints.GRAM + fingerprints.WINDOW - 1, dtype=np.uint32)
+    for short in (0, 1, 30, 200, 400):
+        a, b = (np.concatenate([passage, random.integers(97, 123, n, dtype=np.uint32)]) for n in (short, 3000))
+        assert set(fingerprints.winnow(a, *fingerprints.grid(len(a)))[0]) & set(fingerprints.winnow(b, *fingerprints.grid(len(b)))[0])
+
+
 def encoded(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
