@@ -343,8 +343,10 @@ def staff_days(staff: DataFrame, shifts: DataFrame, time_off: DataFrame) -> Data
     bounds = shifts.agg(F.min("week_start").alias("a"), F.max("week_start").alias("b"))
     last = F.date_add(bounds.select("b").scalar(), 6)
     dates = F.sequence(bounds.select("a").scalar(), last)
-    off = time_off.filter(~F.col("is_cancelled")).select("employee_id", F.to_date("request_date").alias("date")).distinct()
-    return staff.select("employee_id").distinct().select("employee_id", F.explode(dates).alias("date")).join(off, ["employee_id", "date"], "left_anti")
+    # A person's days off meet the calendar as one list; the free dates are laid out last, and never shuffled.
+    off = time_off.filter(~F.col("is_cancelled")).groupBy("employee_id").agg(F.collect_set(F.to_date("request_date")).alias("_off"))
+    free = F.array_except(dates, F.coalesce("_off", F.array().cast("array<date>")))
+    return staff.select("employee_id").distinct().join(off, "employee_id", "left").select("employee_id", F.explode(free).alias("date"))
 
 
 def shift_date(shifts: DataFrame) -> DataFrame:
