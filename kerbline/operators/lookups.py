@@ -42,6 +42,21 @@ def assignment_join(
     return fact.join(side, held, how).drop("_device", "_from", "_to")
 
 
+def device_assignments(devices: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Devices with the list `_held` of their assignments, a handful by nature, so that facts meet both in one join."""
+    spans = F.struct("location_id", F.col("assign_date").alias("_from"), F.col("end_date").alias("_to"))
+    return devices.join(assignments.groupBy("device_id").agg(F.collect_list(spans).alias("_held")), "device_id", "left")
+
+
+def held_at(fact: DataFrame, ts: str) -> DataFrame:
+    """J2 for facts that carry `_held`: a row per assignment that holds their device at `ts`, one without if there is none."""
+    now = F.explode_outer(F.filter("_held", lambda a: in_interval(F.col(ts), a["_from"], a["_to"])))
+    found = fact.withColumn("_held", now)
+    return found.withColumns({
+        "assigned_device_id": F.when(F.col("_held").isNotNull(), F.col("device_id")), "location_id": F.col("_held.location_id"),
+    }).drop("_held")
+
+
 PAYMENT_KEYS = ["card_number", "authorization_code"]
 
 

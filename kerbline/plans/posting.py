@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import payments as pay
 from kerbline.functions import timeparts as tp
 from kerbline.functions.stays import station_area
-from kerbline.operators.lookups import assignment_join, constant_key, latest_payment
+from kerbline.operators.lookups import assignment_join, constant_key, device_assignments, held_at, latest_payment
 from kerbline.session import cut_lineage
 
 FACT_COLUMNS = [
@@ -206,10 +206,10 @@ def resolve(candidates: DataFrame, dims: Dimensions, source: str, *, legacy_orde
     devices = dims.devices.select(
         c(device_column).alias("device_key"), "device_id", pay.program_of(c("device_type")).alias("_device_program")
     )
-    named = candidates.join(devices, "device_key", "left").withColumn(
+    named = candidates.join(device_assignments(devices, dims.assignments), "device_key", "left").withColumn(
         "program_id", F.coalesce("program_id", "_device_program")
     )
-    placed = assignment_join(named, dims.assignments, "lookup_ts", how="left")
+    placed = held_at(named, "lookup_ts")
     charges = dims.charge_codes.select("location_id", c("program_type_id").alias("program_id"), "charge_code_id")
     coded = placed.join(charges, ["location_id", "program_id"], "left")
     if source in CASH_ONLY:
