@@ -62,8 +62,8 @@ PAYMENT_KEYS = ["card_number", "authorization_code"]
 
 def sales_payments_match(sales: DataFrame, payments: DataFrame) -> DataFrame:
     """Sales left-joined to payouts by card and authorization; match_count tells how far a sale fanned out."""
-    counts = payments.groupBy(*PAYMENT_KEYS).agg(F.count(F.lit(1)).alias("match_count"))
-    side = payments.join(counts, PAYMENT_KEYS)
+    # The payouts are counted where the join finds them: they are dealt by their key once.
+    side = payments.withColumn("match_count", F.count(F.lit(1)).over(Window.partitionBy(*PAYMENT_KEYS)))
     return sales.join(side, PAYMENT_KEYS, "left").fillna(0, ["match_count"])
 
 
