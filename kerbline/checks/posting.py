@@ -8,6 +8,7 @@ from kerbline.checks.registry import query
 from kerbline.checks.tables import Tables
 from kerbline.functions import timeparts as tp
 from kerbline.plans import posting as po
+from kerbline.session import written
 from kerbline.sources.versions import merged
 
 c = F.col
@@ -137,8 +138,9 @@ def apply_settlement(t: Tables):
 def settlement_upsert(t: Tables):
     """The fact table with only the settled rows put in by key."""
     fact = t.fact.withColumn("staging_table", F.when(c("device_id") % 2 == 0, "payments_insider_sales_staging").otherwise("ips_staging"))
-    changes = po.settlement_changes(fact, staged(t, "payments_insider_sales_staging"), payments(t))
-    return merged(fact, changes, ["staging_table", "staging_record_id"]).select("staging_record_id", "staging_table", "settle_date", "settle_amount")
+    kept = ["staging_record_id", "staging_table", "settle_date", "settle_amount"]
+    changes = written(po.settlement_changes(fact, staged(t, "payments_insider_sales_staging"), payments(t)).select(*kept), "settled")
+    return merged(fact.select(*kept), changes, ["staging_table", "staging_record_id"])
 
 
 @query("mark_processed", f"""with {_resolved('windcave_staging')}, w as ({_STAGED['windcave_staging']}) select w.id, w.processed_to_final or r.id is not null processed_to_final
@@ -151,7 +153,8 @@ def mark_processed(t: Tables):
 @query("processed_upsert", like="mark_processed")
 def processed_upsert(t: Tables):
     staging, fact = staged(t, "windcave_staging"), po.posted(resolved(t, "windcave_staging"))
-    return merged(staging, po.processed_changes(staging, fact, "windcave_staging"), ["id"]).select("id", "processed_to_final")
+    kept = ["id", "processed_to_final"]
+    return merged(staging.select(*kept), written(po.processed_changes(staging, fact, "windcave_staging").select(*kept), "processed"), ["id"])
 
 
 @query("mark_payments_processed", f"""with {_resolved('payments_insider_sales_staging')}, ok as (select distinct x.card_number, x.authorization_code from ({_STAGED['payments_insider_sales_staging']}) x join r on r.id = x.id and r.reason is null)
@@ -164,8 +167,9 @@ def mark_payments_processed(t: Tables):
 @query("payments_upsert", like="mark_payments_processed")
 def payments_upsert(t: Tables):
     table = "payments_insider_sales_staging"
-    changes = po.payments_changes(payments(t), staged(t, table), po.posted(resolved(t, table)))
-    return merged(payments(t), changes, ["payment_id"]).select("payment_id", "processed_to_final")
+    kept = ["payment_id", "processed_to_final"]
+    changes = written(po.payments_changes(payments(t), staged(t, table), po.posted(resolved(t, table))).select(*kept), "paid")
+    return merged(payments(t).select(*kept), changes, ["payment_id"])
 
 
 @query("post_source", f"""with {_resolved('ips_mobile_staging')} select id, source_file_id, coalesce(reason, 'posted') outcome,
