@@ -10,6 +10,7 @@ from kerbline.functions import timeparts as tp
 from kerbline.operators import features as fe
 from kerbline.operators import modelling as ml
 from kerbline.operators import permits as pm
+from kerbline.session import written
 
 c = F.col
 AS_OF = "2024-02-01 00:00:00"
@@ -130,7 +131,7 @@ def visit_to_policy(t: Tables):
 @query("unmatched_visits", f"""with {_GRID_IN}, {_V2} select count(*) n, count(distinct permit) permits from v2 where not exists (select 1 from pp where pp.permit = v2.permit and has_access = 1
     and v2.entry_ts >= period_start and v2.entry_ts <= coalesce(period_end, timestamp '{END}'))""")
 def unmatched_visits(t: Tables):
-    v = visits(t)
+    v = written(visits(t), "visits")
     return pm.unmatched_visits(v, pm.visit_to_policy(v, periods(t), END)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("permit").alias("permits"))
 
 
