@@ -9,6 +9,7 @@ from kerbline.checks.tables import Tables
 from kerbline.functions import timeparts as tp
 from kerbline.operators import visits as vs
 from kerbline.plans import reports as rp
+from kerbline.session import written
 from kerbline.sources.versions import merged
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
@@ -463,8 +464,8 @@ def unreconciled_visits(t: Tables):
     count(*) - count(*) filter (handler like 'Ignore%') - count(*) filter (handler like 'Update%') - (select count(*) from ord where rn = 1 and tid not in (select trip_id from sv))
       - (select count(*) from un) lost from r""")
 def visit_conservation(t: Tables):
-    stored = stored_visits(t)
-    done = vs.reconcile_visits(new_visits(t), stored)
+    stored = written(stored_visits(t), "stored")
+    done = written(vs.reconcile_visits(new_visits(t), stored), "reconciled")
     before, after = stored.count(), vs.apply_visit_updates(stored, done, NOW).count()
     left = vs.unreconciled_visits(stored, done, NOW).count()
     n = lambda kind: F.count(F.when(F.col("handler").startswith(kind), 1))

@@ -6,7 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from kerbline.operators import features as fe
+from kerbline.operators import lookups as lk
+from kerbline.operators import operations as op
 from kerbline.operators import permits as pm
 
 D, DAY = dt.datetime, dt.timedelta(days=1)
@@ -67,3 +70,66 @@ def test_feature_days_are_dealt_in_bounded_shares(long_stays, monkeypatch):
     _, _, vf, pf = long_stays
     monkeypatch.setattr(fe, "DAYS_PER_TASK", 50)
     assert fe.permit_features(pf, vf, "2022-01-01", "2023-12-31").rdd.getNumPartitions() > 8
+
+
+def test_free_days_are_laid_out_after_the_shuffle(spark, merged_joins):
+    staff = spark.createDataFrame([(1,), (2,), (None,), (2,)], "employee_id int")
+    shifts = spark.createDataFrame([(dt.date(2024, 1, 7),), (dt.date(2024, 1, 14),)], "week_start date")
+    off = spark.createDataFrame([(1, D(2024, 1, 8, 5), False), (1, D(2024, 1, 8), False), (2, D(2024, 1, 9), True), (2, D(2030, 1, 1), False), (2, None, False)],
+                                "employee_id int, request_date timestamp_ntz, is_cancelled boolean")
+    days = op.staff_days(staff, shifts, off)
+    assert {r.employee_id: r["count"] for r in days.groupBy("employee_id").count().collect()} == {1: 13, 2: 14, None: 14}
+    assert laid_out_last(days.groupBy("employee_id").count())
+
+
+def test_overlaps_meet_where_the_later_shift_starts(spark):
+    rng = random.Random(6)
+    day = dt.date(2024, 1, 7)
+    rows = [(day, rng.choice(["Sun", "Mon"]), k, a, a + rng.choice([0.0, 0.5, 3.0, 9.0])) for k in range(60) for a in [rng.randint(8, 40) / 2]]
+    want = sorted((x[1], x[2], y[2]) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2] and x[3] < x[4] and y[3] < y[4] and x[3] < y[4] and y[3] < x[4])
+    df = op.shift_overlap(spark.createDataFrame(rows, "week_start date, day_of_week string, shift_id int, start_hour double, end_hour double"))
+    assert sorted((r.day_of_week, r.first_id, r.second_id) for r in df.collect()) == want
+    assert plan(df).count("Generate explode") == 1
+
+
+def test_payouts_are_shuffled_once(spark, merged_joins):
+    sales = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "x")], "id int, card_number string, authorization_code string")
+    paid = spark.createDataFrame([("a", "x", 7), ("a", "x", 8), (None, "x", 9)], "card_number string, authorization_code string, payment_id int")
+    df = lk.sales_payments_match(sales, paid)
+    assert sorted((r.id, r.payment_id or 0, r.match_count) for r in df.collect()) == [(1, 7, 2), (1, 8, 2), (2, 0, 0), (3, 0, 0)]
+    assert plan(df).count("Exchange hashpartitioning") == 2
+
+
+def test_held_assignments_equal_the_two_joins(spark):
+    at = lambda d: D(2024, 1, d)
+    devices = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("z", None)], "device_key string, device_id int")
+    held = spark.createDataFrame([(1, 10, at(1), at(5)), (1, 11, at(5), None), (1, 12, at(6), at(9)), (2, None, at(1), None), (None, 13, at(1), None)],
+                                 "device_id int, location_id int, assign_date timestamp_ntz, end_date timestamp_ntz")
+    facts = spark.createDataFrame([(k, n, at(d)) for k, (n, d) in enumerate((n, d) for n in "abcz?" for d in (1, 4, 5, 7, 20))], "k int, device_key string, ts timestamp_ntz")
+    columns = ["k", "device_id", "assigned_device_id", "location_id"]
+    two = lk.assignment_join(facts.join(devices, "device_key", "left"), held, "ts", how="left")
+    one = lk.held_at(facts.join(lk.device_assignments(devices, held), "device_key", "left"), "ts")
+    sort = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert sort(one) == sort(two)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables of a few rows."""
+    to = str(tmp_path_factory.mktemp("few"))
+    tables = {
+        "region": "select id r_regionkey, concat('R', id) r_name from range(5)", "nation": "select id n_nationkey, concat('N', id) n_name, id % 5 n_regionkey from range(25)",
+        "customer": "select id c_custkey, concat('C', id) c_name, id % 25 c_nationkey, 'm' c_mktsegment from range(9)",
+        "supplier": "select id s_suppkey, concat('Supplier#', lpad(cast(id as string), 9, '0')) s_name, id % 25 s_nationkey from range(12)",
+        "orders": "select id o_orderkey, id % 9 o_custkey, 'F' o_orderstatus, cast(id as double) o_totalprice, timestamp_ntz '1996-01-01' + id * interval '1' day o_orderdate, '1-URGENT' o_orderpriority from range(40)",
+        "lineitem": """select id % 40 l_orderkey, id % 7 l_partkey, id % 12 l_suppkey, cast(id % 7 as int) l_linenumber, 2.0D l_quantity, cast(id as double) l_extendedprice, 0.1D l_discount, 0.0D l_tax, 'R' l_returnflag,
+            'O' l_linestatus, timestamp_ntz '1996-02-01' + id * interval '1' day l_shipdate from range(200)""",
+    }
+    for name, text in tables.items():
+        spark.sql(text).coalesce(1).write.parquet(f"{to}/{name}.parquet")
+    return to
+
+
+@pytest.mark.parametrize("name, scans", [("settlement_upsert", 1), ("payments_upsert", 1), ("processed_upsert", 1), ("unmatched_visits", 0)])
+def test_line_items_are_read_no_more_than_needed(spark, folder, name, scans):
+    assert plan(queries()[name](spark, folder)).count("ReadSchema: struct<l_orderkey") == scans
