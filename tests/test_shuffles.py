@@ -82,6 +82,38 @@ def test_free_days_are_laid_out_after_the_shuffle(spark, merged_joins):
     assert laid_out_last(days.groupBy("employee_id").count())
 
 
+@pytest.fixture(scope="module")
+def one_day(spark):
+    """Shifts and time off of the same few dates, with ids that repeat or are missing."""
+    rng = random.Random(8)
+    shifts = [(rng.choice([k, k % 7, None]), dt.date(2024, 1, 7), rng.choice(["Sun", "Mon", None])) for k in range(60)]
+    off = [(rng.choice([*range(40), None]), D(2024, 1, rng.choice([7, 7, 8, 9]), k % 24), rng.choice([False, False, True, None])) for k in range(150)]
+    staff = [(rng.choice([*range(30), None]),) for _ in range(60)]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (shifts, "shift_id int, week_start date, day_of_week string"), (staff, "employee_id int"), (off, "employee_id int, request_date timestamp_ntz, is_cancelled boolean"))]
+    away = {(e, at.date()) for e, at, gone in off if gone is False and e is not None and (e,) in staff}
+    days = {"Sun": dt.date(2024, 1, 7), "Mon": dt.date(2024, 1, 8)}
+    return frames, sorted(((e, s) for s, _, name in shifts for e, day in away if days.get(name) == day), key=str)
+
+
+@pytest.mark.parametrize("block, gathered, per_task", [(256, 4096, 10 ** 7), (4, 9, 50), (1, 1, 1)])
+def test_blocked_pairs_are_all_laid_out_last(spark, one_day, monkeypatch, block, gathered, per_task):
+    for name, value in (("BLOCK", block), ("GATHERED", gathered), ("PAIRS_PER_TASK", per_task)):
+        monkeypatch.setattr(op, name, value)
+    frames, want = one_day
+    df = op.blocked_pairs(*frames)
+    assert want and sorted((tuple(r) for r in df.collect()), key=str) == want and df.columns == ["employee_id", "shift_id"]
+    assert plan(df).index("Generate explode(_block#") < plan(df).index("SortMergeJoin") < plan(df).index("Exchange")
+
+
+def test_blocked_pairs_are_written_in_little_space(spark, tmp_path):
+    shifts = spark.sql("select id * 7919 % 1000003 shift_id, date '2024-01-07' week_start, 'Sun' day_of_week from range(1500)")
+    off = spark.sql("select id * 6007 % 1000003 employee_id, timestamp_ntz '2024-01-07 08:00:00' request_date, false is_cancelled from range(1500)")
+    op.blocked_pairs(shifts, off.select("employee_id"), off).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 1500 ** 2
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 1500 ** 2 / 2
+
+
 def test_overlaps_meet_where_the_later_shift_starts(spark):
     rng = random.Random(6)
     day = dt.date(2024, 1, 7)
