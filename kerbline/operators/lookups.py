@@ -69,11 +69,11 @@ def sales_payments_match(sales: DataFrame, payments: DataFrame) -> DataFrame:
 
 def latest_payment(payments: DataFrame) -> DataFrame:
     """One payout per card and authorization: the latest, then the highest id; with the number there were."""
-    newest = F.struct("payment_date", "payment_id")
-    return payments.groupBy(*PAYMENT_KEYS).agg(
-        F.count(F.lit(1)).alias("match_count"),
-        F.max_by(F.struct("payment_date", F.col("payment_amount").alias("paid_amount")), newest).alias("_p"),
-    ).select(*PAYMENT_KEYS, "match_count", "_p.*")
+    # One struct holds both the order and what is kept, so that a payout's date is shuffled once.
+    newest = F.struct("payment_date", "payment_id", F.col("payment_amount").alias("paid_amount"))
+    return payments.groupBy(*PAYMENT_KEYS).agg(F.count(F.lit(1)).alias("match_count"), F.max(newest).alias("_p")).select(
+        *PAYMENT_KEYS, "match_count", "_p.payment_date", "_p.paid_amount"
+    )
 
 
 def coalesced_key_join(fact: DataFrame, dim: DataFrame, first: str, second: str, dim_key: str, how: str = "inner") -> DataFrame:

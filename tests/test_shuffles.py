@@ -132,6 +132,20 @@ def test_payouts_are_shuffled_once(spark, merged_joins):
     assert plan(df).count("Exchange hashpartitioning") == 2
 
 
+def test_a_payout_date_is_shuffled_once(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice(["x", "y", None]), k % 12, rng.choice([None, D(2024, 1, rng.randint(1, 4))]), k) for k in range(40)]
+    rows += rows[:10]
+    best = {}
+    for card, code, k, at, amount in rows:
+        best.setdefault((card, code), []).append(((at is not None, at or D(1, 1, 1), k, amount), at, amount))
+    df = lk.latest_payment(spark.createDataFrame(rows, "card_number string, authorization_code string, payment_id int, payment_date timestamp_ntz, payment_amount int"))
+    assert {(r[0], r[1]): tuple(r[2:]) for r in df.collect()} == {k: (len(v), *max(v, key=lambda x: x[0])[1:]) for k, v in best.items()}
+    assert df.columns == ["card_number", "authorization_code", "match_count", "payment_date", "paid_amount"]
+    shuffled = next(line for line in plan(df).splitlines() if "partial_" in line)
+    assert shuffled.split("output=")[0].count("payment_date, payment_date#") == 1
+
+
 def test_held_assignments_equal_the_two_joins(spark):
     at = lambda d: D(2024, 1, d)
     devices = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("z", None)], "device_key string, device_id int")
