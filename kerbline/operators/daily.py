@@ -1,0 +1,175 @@
+"""P8, W8-W11 as arrays: the day features of many permits at once, from the spans of their grid days and stays.
+
+Runs in Python workers on Arrow arrays. A permit is one row with its spans and leaves as one row with the list of its days, which
+are laid out here alone. Permits are worked on in portions of about PORTION days, whatever a batch holds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+PORTION = 200_000
+
+# Columns of a day. Those of the calendar are looked up, the features hold a null where they are unknown.
+CALENDAR = ("day_of_week", "month", "week_of_year", "is_holiday")
+RATES = ("presence_rate", "presence_rate_10", "presence_rate_20", "day_of_week_rate")
+COLUMNS = ("date", "showed_up", *CALENDAR, *RATES, "streak", "days_since_last_visit", "visited_same_last_week", "tenure_days")
+RETURNS = "array<struct<" + ", ".join(f"{n}: {'date' if n == 'date' else 'double' if n in RATES else 'int'}" for n in COLUMNS) + ">>"
+
+
+def _earlier(x: np.ndarray) -> np.ndarray:
+    """Sum of all values before each."""
+    return np.cumsum(x, dtype=np.int32) - x
+
+
+def _within(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Prefix sums over all groups as those of each group."""
+    return x - np.repeat(x[starts], sizes)
+
+
+def _groups(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups start, and their sizes."""
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
+
+
+def _rate(hits: np.ndarray, days: np.ndarray) -> pa.Array:
+    return pa.array(hits / np.maximum(days, 1), mask=days == 0)
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before; the first does."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def laid_out(owner: np.ndarray, grid: np.ndarray, a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, day, on the grid, visited) of every day of the spans on a weekday of the owner's mask, once, in order.
+
+    Days after an owner's last grid day are left out: no feature looks ahead.
+    """
+    last = np.full(len(masks), -(1 << 40))
+    np.maximum.at(last, owner[grid], b[grid])
+    b = np.minimum(b, last[owner])
+    kept = a <= b
+    owner, grid, a, b = owner[kept], grid[kept], a[kept], b[kept]
+    if not len(owner):
+        return tuple(np.zeros(0, kind) for kind in (np.int32, np.int32, np.int32, np.int32))
+    # Turns of all owners side by side; the spans of one owner end before the next one's begin.
+    low = a.min()
+    width = b.max() - low + 2
+    at = np.concatenate([owner * width + (a - low), owner * width + (b + 1 - low)])
+    by = np.concatenate([np.ones(len(a), np.int32), np.full(len(a), -1, np.int32)])
+    order = np.argsort(at, kind="stable")
+    at, by, of_grid = at[order], by[order], np.concatenate([grid, grid])[order]
+    on_grid, visited = np.cumsum(by * of_grid)[:-1] > 0, np.cumsum(by * ~of_grid)[:-1] > 0
+    sizes = np.diff(at)
+    runs = np.flatnonzero((on_grid | visited) & (sizes > 0))
+    sizes = sizes[runs]
+    first = at[runs] // width
+    begun = np.cumsum(sizes) - sizes
+    day = np.repeat(at[runs] - first * width + low - begun, sizes) + np.arange(sizes.sum())
+    of = np.repeat(first, sizes)
+    # 1970-01-01 was a Thursday, the weekday 3.
+    allowed = np.flatnonzero((masks[of] >> ((day + 3) % 7)) & 1)
+    return (of[allowed].astype(np.int32), day[allowed].astype(np.int32), np.repeat(on_grid[runs], sizes)[allowed].astype(np.int32),
+            np.repeat(visited[runs], sizes)[allowed].astype(np.int32))
+
+
+def features_of(owner: np.ndarray, day: np.ndarray, grid: np.ndarray, visit: np.ndarray, since: int | None) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
+    """The owners and the features of the grid days, from `since` on if given; of the days laid out, in order."""
+    n = np.arange(len(day), dtype=np.int32)
+    starts, sizes = _groups(_new(owner))
+    opened = np.repeat(starts.astype(np.int32), sizes)
+    visits, days = _within(_earlier(visit), starts, sizes), _within(_earlier(grid), starts, sizes)
+    seen = np.maximum.accumulate(np.where(visit == 1, n, -1))
+    seen = np.concatenate([np.full(1, -1, np.int32), seen[:-1]])[:len(n)]
+    unseen = seen < opened
+
+    # By weekday: days of one weekday are weeks apart, so the one before is last week's, or last week has none.
+    weekday = ((day + 3) % 7).astype(np.int8)
+    order = np.argsort(weekday, kind="stable")
+    day_o, visit_o = day[order], visit[order]
+    new = _new(owner[order]) | _new(weekday[order])
+    same = _groups(new)
+    of_weekday = [np.empty(len(n), np.int32) for _ in range(3)]
+    of_weekday[0][order] = _within(_earlier(visit_o), *same)
+    of_weekday[1][order] = _within(_earlier(grid[order]), *same)
+    week = np.zeros(len(n), np.int32)
+    week[1:] = np.where(~new[1:] & (day_o[1:] - day_o[:-1] == 7), visit_o[:-1], 0)
+    of_weekday[2][order] = week
+
+    at = np.flatnonzero(grid)
+    of, on, showed = owner[at], day[at], visit[at]
+    i = np.arange(len(at), dtype=np.int32)
+    starts, sizes = _groups(_new(of))
+    opened_at = np.repeat(starts.astype(np.int32), sizes)
+    upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(showed, dtype=np.int32)])
+    turned = _new(showed)
+    turned[starts] = True
+    length = i - np.maximum.accumulate(np.where(turned, i, 0)) + 1
+    streak = np.zeros(len(at), np.int32)
+    streak[1:] = np.where(showed == 1, length, -length)[:-1]
+    streak[starts] = 0
+
+    out = slice(None) if since is None else np.flatnonzero(on >= since)
+    at = at[out]
+
+    def trailing(k: int) -> pa.Array:
+        back = np.maximum(i - k, opened_at)
+        return _rate((upto[i] - upto[back])[out], (i - back)[out])
+
+    return of[out], {
+        "date": on[out], "showed_up": showed[out], "presence_rate": _rate(visits[at], days[at]), "presence_rate_10": trailing(10),
+        "presence_rate_20": trailing(20), "day_of_week_rate": _rate(of_weekday[0][at], of_weekday[1][at]), "streak": streak[out],
+        "days_since_last_visit": pa.array(day[at] - day[seen[at]], mask=unseen[at]), "visited_same_last_week": of_weekday[2][at],
+        "tenure_days": (on - on[opened_at])[out],
+    }
+
+
+def portions(owner: np.ndarray, a: np.ndarray, b: np.ndarray, owners: int, days: int) -> Iterator[tuple[int, int]]:
+    """Owners side by side, from one up to another, whose spans reach over so many days together at most, or one owner."""
+    low, high = np.full(owners, 1 << 40), np.full(owners, -(1 << 40))
+    np.minimum.at(low, owner, a)
+    np.maximum.at(high, owner, b)
+    upto = np.cumsum(np.maximum(high - low + 1, 1))
+    at = 0
+    while at < owners:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + days, "right")))
+        yield at, stop
+        at = stop
+
+
+def day_features(calendar: dict[str, np.ndarray], begins: int, since: int | None = None):
+    """The function for arrow_udf: (weekdays of the policy, spans (on_grid, a, b)) of a permit to its days, as structs.
+
+    `calendar` has its columns for each day from `begins` to the last grid day.
+    """
+    portion = PORTION
+
+    def column(name: str, found: dict[str, np.ndarray | pa.Array]) -> pa.Array:
+        if name == "date":
+            return pa.array(found["date"], pa.int32()).cast(pa.date32())
+        if name in CALENDAR:
+            return pa.array(calendar[name][found["date"] - begins], pa.int32())
+        return pa.array(found[name], pa.float64() if name in RATES else pa.int32())
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for masks, spans in batches:
+            weekdays = masks.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = spans.flatten()
+            counts = np.diff(spans.offsets.to_numpy())
+            ends = np.cumsum(counts)
+            owner = np.repeat(np.arange(len(spans)), counts)
+            grid = flat.field(0).to_numpy(zero_copy_only=False)
+            a, b = (flat.field(k).cast(pa.int32()).to_numpy().astype(np.int64) for k in (1, 2))
+            for first, stop in portions(owner, a, b, len(spans), portion):
+                own = slice(ends[first] - counts[first], ends[stop - 1])
+                of, found = features_of(*laid_out(owner[own] - first, grid[own], a[own], b[own], weekdays[first:stop]), since)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=stop - first))]), pa.int32())
+                yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([column(n, found) for n in COLUMNS], names=list(COLUMNS)))
+    return run
