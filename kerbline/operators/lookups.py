@@ -76,6 +76,16 @@ def latest_payment(payments: DataFrame) -> DataFrame:
     )
 
 
+def packed(text: str) -> Column:
+    """A text column in as few bytes as an equi join needs: digits and dashes in half a byte each, any other text after a
+    byte that no packed one begins with. Equal texts, and only they, are equal."""
+    c = F.col(text)
+    digits = F.translate(c, "-", "a")
+    # The last half byte of an odd number of them is filled with one that stands for neither digit nor dash.
+    filled = F.when(F.length(c) % 2 == 1, F.concat(digits, F.lit("f"))).otherwise(digits)
+    return F.when(c.rlike("^[0-9-]+\\z"), F.unhex(filled)).otherwise(F.concat(F.unhex(F.lit("ff")), c.cast("binary")))
+
+
 def coalesced_key_join(fact: DataFrame, dim: DataFrame, first: str, second: str, dim_key: str, how: str = "inner") -> DataFrame:
     """Join on the first non-NULL of two fact columns."""
     return fact.join(dim, F.coalesce(F.col(first), F.col(second)) == F.col(dim_key), how)

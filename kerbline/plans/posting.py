@@ -13,12 +13,13 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbline.functions import payments as pay
 from kerbline.functions import timeparts as tp
 from kerbline.functions.stays import station_area
-from kerbline.operators.lookups import assignment_join, constant_key, device_assignments, held_at, latest_payment
-from kerbline.session import cut_lineage
+from kerbline.operators.lookups import assignment_join, constant_key, device_assignments, held_at, latest_payment, packed
+from kerbline.session import cut_lineage, written
 
 FACT_COLUMNS = [
     "transaction_date", "transaction_amount", "settle_date", "settle_amount", "staging_table",
@@ -339,11 +340,13 @@ def processed_changes(staging: DataFrame, fact: DataFrame, table: str) -> DataFr
 
 def payments_changes(payments: DataFrame, sales: DataFrame, fact: DataFrame, file_id: int | None = None) -> DataFrame:
     """L9 for stored payouts: the rows to be flagged now, for VersionedTable.upsert by payment id."""
-    ids = fact.filter(F.col("staging_table") == SALES).select(F.col("staging_record_id").alias("id"))
-    matched = sales.join(ids, "id", "left_semi").select("card_number", "authorization_code")
+    texts = {sales.schema["id"].dataType, fact.schema["staging_record_id"].dataType} == {T.StringType()}
+    key, keys = packed if texts else F.col, ["card_number", "authorization_code"]
+    ids = written(fact.filter(F.col("staging_table") == SALES).select(key("staging_record_id").alias("_id")), "posted-ids")
+    matched = written(sales.select(key("id").alias("_id"), *keys).join(ids, "_id", "left_semi").select(*keys), "posted-keys")
     mine = F.lit(True) if file_id is None else F.col("source_file_id") == file_id
     waiting = payments.filter(~F.col("processed_to_final") & mine)
-    return waiting.join(matched, ["card_number", "authorization_code"], "left_semi").withColumn("processed_to_final", F.lit(True)).select(*payments.columns)
+    return waiting.join(matched, keys, "left_semi").withColumn("processed_to_final", F.lit(True)).select(*payments.columns)
 
 
 def mark_processed(staging: DataFrame, fact: DataFrame, table: str) -> DataFrame:

@@ -24,6 +24,10 @@ SQL_SETTINGS = {
 }
 
 
+# Deletes the shuffle files of a query when it ends; not for queries whose shuffles a later one of the same plan reads.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply SQL_SETTINGS to a session that already runs."""
     for key, value in SQL_SETTINGS.items():
@@ -74,9 +78,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write rows to the shared folder as Parquet and read them back: like cut_lineage, for rows that are read by column
-    or by range more than once. The folder has a fresh name and is left to the cluster's clean-up."""
+    or by range more than once. The folder has a fresh name and is left to the cluster's clean-up. What the rows were
+    shuffled through is deleted at once: the files of a job of several steps are on disk for one step at a time."""
     path = f"{checkpoint_dir(df.sparkSession)}/kerbline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

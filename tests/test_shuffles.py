@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from kerbline.operators import features as fe
 from kerbline.operators import lookups as lk
 from kerbline.operators import operations as op
 from kerbline.operators import permits as pm
+from kerbline.plans import posting as po
+from kerbline.session import SHUFFLE_CLEANUP, written
 
 D, DAY = dt.datetime, dt.timedelta(days=1)
 
@@ -198,3 +201,37 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name, scans", [("settlement_upsert", 1), ("payments_upsert", 1), ("processed_upsert", 1), ("unmatched_visits", 0)])
 def test_line_items_are_read_no_more_than_needed(spark, folder, name, scans):
     assert plan(queries()[name](spark, folder)).count("ReadSchema: struct<l_orderkey") == scans
+
+
+def test_written_rows_leave_no_shuffle_files(spark, tmp_path):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+        return {f.getName() for f in iter(lambda: found.next() if found.hasNext() else None, None) if f.getName().startswith("shuffle_")}
+
+    before, kept = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = written(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "freed")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and rows.count() == 700 and spark.conf.get(SHUFFLE_CLEANUP, kept) in (kept, "false")
+
+
+def test_packed_texts_are_equal_only_if_the_texts_are(spark):
+    texts = ["", "-", "1", "01", "10", "1-2", "1a2", "12", "123", "0123", "123f", "1-2\n", "a", "A", "\u00e9", "99-", "99a", "-1", "--", "1 2", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lk.packed("t").alias("p")).collect()
+    assert len({bytes(r.p) for r in rows if r.t is not None}) == len(texts) - 1 and [r.t for r in rows if r.p is None] == [None]
+    assert {r.t: len(r.p) for r in rows if r.t}["0123"] == 2
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_changed_payouts_are_those_that_get_a_flag(spark, kind):
+    ids = [f"{k}{'-x' * (k % 3 == 0)}" if kind == "string" else k for k in range(12)]
+    sales = spark.createDataFrame([(i, "c" if k % 2 else None, str(k % 4)) for k, i in enumerate(ids * 2)], f"id {kind}, card_number string, authorization_code string")
+    fact = spark.createDataFrame([(po.SALES if k % 5 else "ips_staging", i) for k, i in enumerate([*ids[:7], None])], f"staging_table string, staging_record_id {kind}")
+    paid = spark.createDataFrame([(k, "c" if k % 3 else None, str(k % 5), k % 4 == 0, k % 2) for k in range(40)], "payment_id int, card_number string, authorization_code string, processed_to_final boolean, source_file_id int")
+    for file_id in (None, 1):
+        done = po.mark_payments_processed(paid, sales, fact, file_id).filter("processed_to_final").select("payment_id").exceptAll(paid.filter("processed_to_final").select("payment_id"))
+        got = po.payments_changes(paid, sales, fact, file_id)
+        assert got.columns == paid.columns and all(r.processed_to_final for r in got.collect())
+        assert done.count() > 0 and sorted(r[0] for r in got.select("payment_id").collect()) == sorted(r[0] for r in done.collect())
