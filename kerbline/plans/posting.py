@@ -329,7 +329,7 @@ def apply_settlement(fact: DataFrame, sales: DataFrame, payments: DataFrame) ->
 
 def settlement_changes(fact: DataFrame, sales: DataFrame, payments: DataFrame) -> DataFrame:
     """L8 for a stored fact table: only the rows a payout changes, for VersionedTable.upsert by staging table and id."""
-    return _settled(fact.filter(F.col("staging_table") == SALES), _paid_sales(sales, payments), "inner")
+    return _settled(fact.filter(F.col("staging_table") == SALES), written(_paid_sales(sales, payments), "paid-sales"), "inner")
 
 
 def processed_changes(staging: DataFrame, fact: DataFrame, table: str) -> DataFrame:

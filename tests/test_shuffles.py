@@ -235,3 +235,13 @@ def test_changed_payouts_are_those_that_get_a_flag(spark, kind):
         got = po.payments_changes(paid, sales, fact, file_id)
         assert got.columns == paid.columns and all(r.processed_to_final for r in got.collect())
         assert done.count() > 0 and sorted(r[0] for r in got.select("payment_id").collect()) == sorted(r[0] for r in done.collect())
+
+
+def test_settled_rows_meet_written_payouts(spark):
+    sales = spark.createDataFrame([("a", "c", "1", True), ("b", "c", "2", True), ("d", "c", "1", False), ("e", None, "1", True)], "id string, card_number string, authorization_code string, processed_to_final boolean")
+    paid = spark.createDataFrame([(1, "c", "1", D(2024, 1, 2), 7, False), (2, "c", "1", D(2024, 1, 3), 8, True), (3, "c", "2", None, 9, False)],
+                                 "payment_id int, card_number string, authorization_code string, payment_date timestamp_ntz, payment_amount int, processed_to_final boolean")
+    fact = spark.createDataFrame([(po.SALES, i, D(2023, 1, 1), 1) for i in "abde"] + [("ips_staging", "a", D(2023, 1, 1), 1)], "staging_table string, staging_record_id string, settle_date timestamp_ntz, settle_amount int")
+    df = po.settlement_changes(fact, sales, paid)
+    assert sorted(tuple(r) for r in df.collect()) == [(po.SALES, "a", D(2024, 1, 2), 7), (po.SALES, "b", D(2023, 1, 1), 9)]
+    assert "kerbline-paid-sales" in plan(df)
