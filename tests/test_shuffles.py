@@ -245,3 +245,9 @@ def test_settled_rows_meet_written_payouts(spark):
     df = po.settlement_changes(fact, sales, paid)
     assert sorted(tuple(r) for r in df.collect()) == [(po.SALES, "a", D(2024, 1, 2), 7), (po.SALES, "b", D(2023, 1, 1), 9)]
     assert "kerbline-paid-sales" in plan(df)
+
+
+@pytest.mark.parametrize("name", ["historical_features", "group_split"])
+def test_feature_queries_lay_days_out_once(spark, folder, name):
+    text = plan(queries()[name](spark, folder))
+    assert text.count("ArrowEvalPython") == 1 and "Window" not in text
