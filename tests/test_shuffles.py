@@ -247,7 +247,7 @@ def test_settled_rows_meet_written_payouts(spark):
     assert "kerbline-paid-sales" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["historical_features", "group_split", "temporal_split", "feature_drift"])
+@pytest.mark.parametrize("name", ["historical_features", "group_split", "temporal_split", "feature_drift", "prediction_rows"])
 def test_feature_queries_lay_days_out_once(spark, folder, name):
     text = plan(queries()[name](spark, folder))
     assert text.count("ArrowEvalPython") == 1 and "Window" not in text
